@@ -45,13 +45,14 @@ def result(df, windows):
     return {(r.k, r.day, w): (round(r[f"sum_{w}"], 6), r[f"count_{w}"]) for r in df.collect() for w in windows}
 
 
-ARGS = dict(key=F.col("symbol"), day=F.col("date"), value=F.col("close"), latest=F.col("ingested_at"))
+def args():
+    return dict(key=F.col("symbol"), day=F.col("date"), value=F.col("close"), latest=F.col("ingested_at"))
 
 
 @pytest.mark.parametrize("windows", [(7, 30), (1, 2, 45)])
 def test_rolling_equals_brute_force(spark, windows):
     rows = bars(1)
-    got = rolling(spark.createDataFrame(rows, SCHEMA), windows=windows, **ARGS)
+    got = rolling(spark.createDataFrame(rows, SCHEMA), windows=windows, **args())
     assert result(got, windows) == brute(rows, windows)
     assert all((r.avg_2 is None) == (r.count_2 == 0) for r in got.collect()) if 2 in windows else True
 
@@ -59,7 +60,7 @@ def test_rolling_equals_brute_force(spark, windows):
 def test_corrections_touch_ancestors_and_equal_a_rebuild(spark):
     rows = bars(2)
     rnd = random.Random(3)
-    trees = build_trees(leaves_of(spark.createDataFrame(rows, SCHEMA), **ARGS), (7, 30))
+    trees = build_trees(leaves_of(spark.createDataFrame(rows, SCHEMA), **args()), (7, 30))
     keys = sorted({(s, d) for s, d, *_ in rows})
     late = [(s, d, None if rnd.random() < 0.2 else 50.0, datetime(2030, 1, 1), 1, 1) for s, d in rnd.sample(keys, 40)]
     fix = spark.createDataFrame([(s, (d - date(1970, 1, 1)).days, c) for s, d, c, *_ in late], "k string, d int, v double")
@@ -81,8 +82,8 @@ def test_node_sums():
 
 
 def test_empty_nulls_and_single_rows(spark):
-    assert rolling(spark.createDataFrame([], SCHEMA), **ARGS).count() == 0
+    assert rolling(spark.createDataFrame([], SCHEMA), **args()).count() == 0
     rows = [(None, START, 1.0, None, 1, 1), ("A", None, 1.0, None, 1, 1), ("A", START, None, None, 1, 1), ("A", START, 2.0, None, 1, 1)]
-    assert [tuple(r)[:4] for r in rolling(spark.createDataFrame(rows, SCHEMA), **ARGS).collect()] == [("A", START, 2.0, 1)]
+    assert [tuple(r)[:4] for r in rolling(spark.createDataFrame(rows, SCHEMA), **args()).collect()] == [("A", START, 2.0, 1)]
     with pytest.raises(ValueError):
-        rolling(spark.createDataFrame([], SCHEMA), windows=(0,), **ARGS)
+        rolling(spark.createDataFrame([], SCHEMA), windows=(0,), **args())
