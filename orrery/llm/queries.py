@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orrery.llm import q_pairs, q_records
+from orrery.llm import q_names, q_pairs, q_records
 
-_PARTS = [q_records, q_pairs]
+_PARTS = [q_records, q_pairs, q_names]
 QUERIES = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _PARTS for k, v in m.ORACLE.items()}
