@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm.garble import garbled
 from orrery.llm.leak import leaked, without_leaks
 from orrery.llm.mixture import mixture, shares
 from orrery.llm.tokens import TOKENIZER, with_token_counts
@@ -65,7 +66,23 @@ def p8_shares(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> D
     )
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_matches, p7_clean, p8_mix, p8_shares)}
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled(table(spark, sf_dir, "documents"), ident=F.col("doc_id"), text=F.col("text"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of which some stretch was decoded wrongly."""
+    return _garbled(spark, sf_dir).select(F.col("id").alias("doc_id"))
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the original text as far as it can be restored."""
+    out = _garbled(spark, sf_dir)
+    how = F.when(F.col("by_twin"), "twin").when(F.col("lost"), "in part").otherwise("undone")
+    return out.select(F.col("id").alias("doc_id"), F.col("restored").alias("text"), how.alias("how"), "n_stretches")
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_matches, p7_clean, p8_mix, p8_shares, p9_found, p9_restored)}
 
 _GRAMS = r"""WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_item),
