@@ -14,16 +14,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def search(queries: DataFrame, corpus: DataFrame, *, k: int, match: Column | None = None) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame, *, k: int, match: Column | None = None, block: int = 20_000) -> DataFrame:
     """(qid, id, score, rank): the ``k`` best of ``corpus`` (id, vec) for each of ``queries`` (qid, qvec), by cosine, ties by id.
 
     ``match`` restricts pairs before anything is scored, such as to documents
-    from before the query's date. The queries are a stated set against all rows;
-    only its best k per task and query leave a task.
+    from before the query's date. The queries are a stated set against all rows,
+    taken in blocks of about ``block`` that are broadcast one by one; only the
+    best k of a task and query leave a task.
     """
     unit = lambda v: F.transform(v, lambda x: F.try_divide(x.cast("double"), F.sqrt(dot(v, v))))
     q = queries.withColumn("qvec", unit(F.col("qvec")))
-    pairs = corpus.join(F.broadcast(q), match if match is not None else F.lit(True))
-    best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
-    scored = pairs.select("qid", "id", (dot(F.col("vec"), F.col("qvec")) / F.sqrt(dot(F.col("vec"), F.col("vec")))).alias("score")).where("score IS NOT NULL")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        pairs = corpus.join(F.broadcast(part), match if match is not None else F.lit(True))
+        best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
+        scored = pairs.select("qid", "id", (dot(F.col("vec"), F.col("qvec")) / F.sqrt(dot(F.col("vec"), F.col("vec")))).alias("score")).where("score IS NOT NULL")
+        top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        out = top if out is None else out.unionByName(top)
+    return out

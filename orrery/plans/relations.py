@@ -251,7 +251,7 @@ pr AS (SELECT count(*) AS n_pairs, avg(CASE WHEN x.s = y.s THEN 1 ELSE 0 END) AS
 cl AS (SELECT s, count(*) AS n FROM sic WHERE symbol IN (SELECT symbol FROM tags) GROUP BY s), bs AS (SELECT CAST(sum(n * (n - 1)) AS DOUBLE) / (sum(n) * (sum(n) - 1)) AS base FROM cl)
 SELECT n_pairs, round(share, 7) AS share, round(base, 7) AS base, round(share - base, 7) AS lift FROM pr, bs""",
     "x3_relations": r"""WITH s AS (SELECT id, list_transform(string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(passage, 'Inc\.', 'Inc~', 'g'), 'Corp\.', 'Corp~', 'g'), 'Ltd\.', 'Ltd~', 'g'), 'Co\.', 'Co~', 'g'), 'U\.S\.', 'U~S~', 'g'), '([.!?])\s+', '\1|#|', 'g'), '\|#\|'), lambda x: replace(x, '~', '.')) AS parts, regexp_extract(counterparty, '(\S+)', 1) AS tok FROM filing_mention),
-n AS (SELECT id, CASE WHEN tok <> '' THEN list_filter(parts, lambda x: regexp_matches(x, '(^|[^\p{L}\p{N}_])' || regexp_escape(tok) || '($|[^\p{L}\p{N}_])'))[1] END AS sentence FROM s), l AS (SELECT id, sentence, lower(sentence) AS low FROM n)
+n AS (SELECT id, CASE WHEN tok <> '' THEN list_filter(parts, lambda x: regexp_matches(x, CASE WHEN regexp_matches(tok, '^[\p{L}\p{N}_]') THEN '(^|[^\p{L}\p{N}_])' ELSE '[\p{L}\p{N}_]' END || regexp_escape(tok) || CASE WHEN regexp_matches(tok, '[\p{L}\p{N}_]$') THEN '($|[^\p{L}\p{N}_])' ELSE '[\p{L}\p{N}_]' END))[1] END AS sentence FROM s), l AS (SELECT id, sentence, lower(sentence) AS low FROM n)
 SELECT id, sentence, nullif(regexp_extract(sentence, '(\d+(?:\.\d+)?)%', 1), '') AS pct, coalesce(regexp_matches(sentence, '^\p{Lu}'), false) AS quotable,
   CASE WHEN sentence IS NULL THEN 'unnamed' WHEN low LIKE '%compet%' THEN 'competitor' WHEN low LIKE '%acqui%' OR low LIKE '%sale of%' THEN 'corporate_action' WHEN low LIKE '%supplier%' OR low LIKE '%supplied by%' THEN 'reversed' WHEN low LIKE '%customer%' OR low LIKE '%accounted for%' OR low LIKE '%sales to%' OR low LIKE '%represented%' THEN 'customer' ELSE 'unstated' END AS relation FROM l""",
 }
