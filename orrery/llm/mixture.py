@@ -108,5 +108,5 @@ def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     total = got.agg(F.sum("size")).scalar()
     none = lambda c: F.coalesce(c, F.lit(0))
     return targets.select("src", "share").join(got, "src", "left").select(
-        "src", F.col("share").alias("target_share"), F.coalesce(F.col("size") / total, F.lit(0.0)).alias("actual_share"), none("size").alias("size"), none("records").alias("records"), none("max_copies").alias("max_copies")
+        "src", F.col("share").alias("target_share"), F.coalesce(F.try_divide(F.col("size"), total), F.lit(0.0)).alias("actual_share"), none("size").alias("size"), none("records").alias("records"), none("max_copies").alias("max_copies")
     )
