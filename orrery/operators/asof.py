@@ -67,7 +67,7 @@ def asof_versions(
     version_id: str,
     version_cols: Sequence[str] = (),
     how: str = "inner",
-    shard_rows: int = 500_000,
+    shard_rows: int = 50_000,
     max_shards: int = 512,
 ) -> DataFrame:
     """Join each event to the version in force, by what was known then.

@@ -35,7 +35,7 @@ def rounds(chunks: int, fan_in: int) -> int:
 
 
 def tree_aggregate(
-    df: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[str, Column]], *, fan_in: int = 16, chunks: int | None = None
+    df: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[str, Column]], *, fan_in: int = 8, chunks: int | None = None
 ) -> DataFrame:
     """Aggregate ``df`` by ``keys`` through logarithmic fan-in.
 
