@@ -53,7 +53,7 @@ def clustered_mean(df: DataFrame, value: str, cluster: str) -> DataFrame:
     m = df.agg(F.avg(value).alias("m")).scalar()
     by = df.where(F.col(value).isNotNull()).withColumn("d", F.col(value) - m).groupBy(cluster).agg(F.sum("d").alias("u"), F.sum(value).alias("s"), F.count(F.lit(1)).alias("k"))
     n = F.sum("k")
-    return by.agg((F.sum("s") / n).alias("mean"), (F.sqrt(F.sum(F.col("u") * F.col("u"))) / n).alias("se"), n.alias("n"), F.count(F.lit(1)).alias("n_clusters"))
+    return by.agg((F.sum("s") / n).alias("mean"), (F.sqrt(F.sum(F.col("u") * F.col("u"))) / n).alias("se"), F.coalesce(n, F.lit(0)).alias("n"), F.count(F.lit(1)).alias("n_clusters"))
 
 
 def slopes(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:

@@ -66,9 +66,9 @@ def chain_moves(spark, sf_dir) -> DataFrame:
 
 
 def e5_chain_lag(spark, sf_dir):
-    """Slope of suppliers' next-session excess return on their customer's, per customer with 3 suppliers or more."""
+    """Slope of suppliers' next-session excess return on their customer's, per customer with 2 suppliers or more."""
     m = chain_moves(spark, sf_dir)
-    wide = m.groupBy("dst").agg(F.countDistinct("src").alias("k")).where("k >= 3")
+    wide = m.groupBy("dst").agg(F.countDistinct("src").alias("k")).where("k >= 2")
     return st.slopes(m.join(wide, "dst"), "x", "y", ["dst"]).select("dst", "n", F.round("slope", 7).alias("slope"), F.round("se", 7).alias("se"))
 
 
@@ -166,13 +166,13 @@ ORACLE = {
     "a26_bands": f"WITH {_PAIRS} SELECT CASE WHEN abs(c1) >= 0.3 THEN '0.3+' WHEN abs(c1) >= 0.2 THEN '0.2-0.3' WHEN abs(c1) >= 0.1 THEN '0.1-0.2' ELSE '0-0.1' END AS band, count(*) AS n, round(avg(CASE WHEN sign(c1) = sign(c2) THEN 1 ELSE 0 END), 7) AS agree, round(avg(abs(c2)), 7) AS mean_abs_second FROM sp GROUP BY 1",
     "a27_auc": f"WITH {_PAIRS}, r AS (SELECT CASE WHEN sign(c1) = sign(c2) THEN 1 ELSE 0 END AS y, row_number() OVER (ORDER BY abs(c1), a, b) AS k FROM sp) SELECT round((sum(k * y) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 8) AS auc, CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg FROM r",
     "a28_deciles": f"WITH {_PAIRS}, t AS (SELECT abs(c1) AS s, sign(c1) = sign(c2) AS y FROM sp), q AS (SELECT quantile_cont(s, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM t), u AS (SELECT s, y, len(list_filter(q, lambda e: s >= e)) AS bin FROM t, q) SELECT CAST(bin AS INTEGER) AS bin, round(min(s), 8) AS lo, round(max(s), 8) AS hi, count(*) AS n, round(avg(CASE WHEN y THEN 1 ELSE 0 END), 7) AS rate FROM u GROUP BY bin",
-    "a30_clustered_mean": f"WITH {_EX}, t AS (SELECT a.i, b.x AS y FROM ex a JOIN ex b ON b.symbol = a.symbol AND b.i = a.i + 1 WHERE abs(a.x) >= 0.05), g AS (SELECT i, sum(y - (SELECT avg(y) FROM t)) AS u, sum(y) AS s, count(*) AS k FROM t GROUP BY i) SELECT round(sum(s) / sum(k), 9) AS mean, round(sqrt(sum(u * u)) / sum(k), 9) AS se, CAST(sum(k) AS BIGINT) AS n, count(*) AS n_clusters FROM g",
+    "a30_clustered_mean": f"WITH {_EX}, t AS (SELECT a.i, b.x AS y FROM ex a JOIN ex b ON b.symbol = a.symbol AND b.i = a.i + 1 WHERE abs(a.x) >= 0.05), g AS (SELECT i, sum(y - (SELECT avg(y) FROM t)) AS u, sum(y) AS s, count(*) AS k FROM t GROUP BY i) SELECT round(sum(s) / sum(k), 9) AS mean, round(sqrt(sum(u * u)) / sum(k), 9) AS se, coalesce(CAST(sum(k) AS BIGINT), 0) AS n, count(*) AS n_clusters FROM g",
     "a37_concentration": "WITH b AS (SELECT upper(trim(symbol)) AS symbol, date, max(dollar_vol) AS v FROM bar GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY v DESC NULLS LAST, date) AS k FROM b) SELECT symbol, round(sum(v) FILTER (WHERE k <= 10) / nullif(sum(v), 0), 8) AS top10_share, round(min(log10(v)), 7) AS min_log_volume FROM k GROUP BY 1",
     "a43_labels": "SELECT coalesce(lower(trim(relation)), '') AS relation, coalesce(lower(trim(confidence)), '') AS confidence, count(*) AS n, count(DISTINCT filer_ticker) AS n_filers FROM filing_mention GROUP BY ALL",
     "e4_horizons": " UNION ALL ".join(
         f"SELECT up, CAST({h} AS INTEGER) AS h, count(*) AS n, round(avg(y), 8) AS mean_next FROM (WITH {_EX}, bl AS (SELECT symbol, i // {h} AS blk, sum(x) AS x FROM ex GROUP BY ALL), s AS (SELECT *, stddev_samp(x) OVER (PARTITION BY symbol) AS s FROM bl) SELECT a.x > 0 AS up, b2.x AS y FROM s a JOIN bl b2 ON b2.symbol = a.symbol AND b2.blk = a.blk + 1 WHERE abs(a.x) >= 2 * a.s) GROUP BY up" for h in (2, 5, 10)
     ),
-    "e5_chain_lag": f"WITH {_CHAIN} SELECT dst, n, round(slope, 7) AS slope, round(se, 7) AS se FROM (SELECT dst, {_SLOPE} FROM cm WHERE dst IN (SELECT dst FROM cm GROUP BY dst HAVING count(DISTINCT src) >= 3) GROUP BY dst)",
+    "e5_chain_lag": f"WITH {_CHAIN} SELECT dst, n, round(slope, 7) AS slope, round(se, 7) AS se FROM (SELECT dst, {_SLOPE} FROM cm WHERE dst IN (SELECT dst FROM cm GROUP BY dst HAVING count(DISTINCT src) >= 2) GROUP BY dst)",
     "e6_pooled_lag": f"WITH {_CHAIN}, y AS (SELECT year(d) AS yr, {_SLOPE} FROM cm GROUP BY 1), w AS (SELECT slope AS e, 1 / (se * se) AS w FROM y WHERE se > 0), t AS (SELECT count(*) AS k, sum(w * e) / sum(w) AS pooled, sqrt(1 / sum(w)) AS se, sum(w * e * e) - sum(w * e) ** 2 / sum(w) AS q FROM w) SELECT k, round(pooled, 6) AS pooled, round(se, 6) AS se, round(q, 6) AS q, round(greatest(0.0, (q - (k - 1)) / nullif(q, 0) * 100), 6) AS i2 FROM t",
     "e8_lagged_signs": f"""WITH {PANEL}, hf AS (SELECT (max(i) + 1) // 2 AS h FROM p), c AS (SELECT lag, x.symbol AS x, y.symbol AS y, round({CORR.format(x='CASE WHEN y.i < h THEN x.r END', y='CASE WHEN y.i < h THEN y.r END')}, 9) AS c1, round({CORR.format(x='CASE WHEN x.i >= h THEN x.r END', y='CASE WHEN x.i >= h THEN y.r END')}, 9) AS c2
   FROM p x JOIN (SELECT unnest([1, 2, 5]) AS lag) l ON true JOIN p y ON y.i = x.i + lag AND y.symbol <> x.symbol JOIN hf ON true GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY lag ORDER BY abs(c1) DESC NULLS LAST, x, y) AS k FROM c)
