@@ -122,13 +122,22 @@ class Model:
         for b, n in pairs.items():
             self.log[b] = math.log1p(n)
         self.top = float(self.log.max())
+        self.runs: dict[str, tuple[float, int]] = {}
         #: Characters that stretches read in an encoding don't turn into, as they would do so more often than anyone writes them.
         self.unusual = {(READ[r], c) for (r, c), n in hits.items() if unicodedata.category(c) not in ("Zs", "Cf") and chars.get(c, 0) < n}
         self.rare = {(READ[r], c) for (r, c), n in hits.items() if chars.get(c, 0) < 3 * n}
 
     def mean(self, runs: Sequence[str]) -> tuple[float, int]:
-        b = [x for r in runs for x in _buckets(r)]
-        return (float(self.log[b].mean()), len(b)) if b else (0.0, 0)
+        """(mean over the pairs in ``runs``, their number); what a run adds is kept, as runs recur."""
+        total, n = 0.0, 0
+        for r in runs:
+            if (x := self.runs.get(r)) is None:
+                b = _buckets(r)
+                x = (float(self.log[b].sum()), len(b))
+                if len(self.runs) < 200_000:
+                    self.runs[r] = x
+            total, n = total + x[0], n + x[1]
+        return (total / n, n) if n else (0.0, 0)
 
 
 class Restorer:
@@ -138,7 +147,14 @@ class Restorer:
         self.model = model
         rest = [t for t in TRANSFORMS if t not in learned]
         self.utf8 = [(r, 1) for w, r in learned if w == "utf-8"] + [(r, 2) for w, r in rest if w == "utf-8"]
-        self.others = [(t, 1.0, 4) for t in learned if t[0] != "utf-8"] + [(t, 1.5, 12) for t in rest if t[0] != "utf-8"]
+        #: By the encoding read in: encodings written in, with the least gain and length that they need.
+        self.wide: dict[str, list] = defaultdict(list)
+        self.narrow: dict[str, list] = defaultdict(list)
+        for some, gain, least in ((learned, 1.0, 4), (rest, 1.5, 12)):
+            for written, read in some:
+                if written != "utf-8":
+                    (self.wide if written in _WIDE else self.narrow)[read].append((written, gain, least))
+        self.undone: dict[tuple[str, str, str], str | None] = {}
         self.sure = {r for r, n in self.utf8 if n == 1}
         self.seen: dict[str, tuple[str, ...]] = {}
 
@@ -182,20 +198,41 @@ class Restorer:
                 break
         return text, total
 
+    def _whole(self, text: str, written: str, read: str) -> str | None:
+        """``text`` undone, if all of it can be and is readable."""
+        key = (text, written, read)
+        if key in self.undone:
+            return self.undone[key]
+        x = undo(text, written, read)
+        if x is not None and not all(c in "\n\t\r" or _readable(c) for c in x):
+            x = None
+        if len(text) < 40 and len(self.undone) < 400_000:
+            self.undone[key] = x
+        return x
+
     def _better(self, was: list[str], how, least: int, gain: float) -> list[str] | None:
         """What ``was`` becomes under the transformation in ``how`` (names, and least gain and length) after which it reads best, if much better."""
         now, n = self.model.mean([r for w in was for r in _RUN.findall(w)])
         used = {c for w in was for c in w if c > "\x7f"}
         best = None
-        for (written, read), own_gain, own_least in how:
-            if n < max(least, own_least) or self.model.top - now < max(gain, own_gain) or not used <= _BYTES[read].keys():
-                continue
-            new = [undo(w, written, read) for w in was]
-            if any(x is None or not all(c in "\n\t\r" or _readable(c) for c in x) for x in new):
+        if n < least or self.model.top - now < gain:
+            return None
+        for read, written_in in how.items():
+            if not used <= _BYTES[read].keys():
                 continue
-            then, _ = self.model.mean([r for x in new for r in _RUN.findall(x)])
-            if then - now >= max(gain, own_gain) and (best is None or then > best[0]):
-                best = (then, new)
+            for written, own_gain, own_least in written_in:
+                if n < own_least or self.model.top - now < own_gain:
+                    continue
+                new = []
+                for w in was:
+                    new.append(self._whole(w, written, read))
+                    if new[-1] is None:
+                        break
+                if new[-1] is None:
+                    continue
+                then, _ = self.model.mean([r for x in new for r in _RUN.findall(x)])
+                if then - now >= max(gain, own_gain) and (best is None or then > best[0]):
+                    best = (then, new)
         return best and best[1]
 
     def _undo_other(self, text: str) -> tuple[str, int]:
@@ -203,8 +240,7 @@ class Restorer:
         if not any(len(r) >= 3 for r in _LONG.findall(text)):
             return text, 0
         out, hits = [], 0
-        wide = [o for o in self.others if o[0][0] in _WIDE]
-        narrow = [o for o in self.others if o[0][0] not in _WIDE]
+        wide, narrow = self.wide, self.narrow
         for part in _SENTENCE.split(text):
             if _LONG.search(part):
                 words = _WORDS.findall(part)  # words of mixed letters aren't of an alphabet of their own
