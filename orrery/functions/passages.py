@@ -73,3 +73,20 @@ def clean_html(html: Column) -> Column:
 def quotable(sentence: Column) -> Column:
     """Whether a sentence begins with a capital."""
     return F.coalesce(sentence.rlike(r"^\p{Lu}"), F.lit(False))
+
+
+#: What may follow a company's short name, to tell it from a common word (fixed values).
+DESIGNATOR = r"^[\s,.]{0,3}(Inc|Corp|Corporation|Company|Co\b|Ltd|Limited|plc|PLC|LLC|Holdings|Technologies|Technology|Systems|Semiconductor|Group|N\.V|S\.A|AG|SE)\b"
+
+
+def designated(after: Column) -> Column:
+    """Whether the text right behind a name begins with a designator."""
+    return F.coalesce(after.rlike(DESIGNATOR), F.lit(False))
+
+
+def windows(text: Column, words: Column, radius: int = 420) -> Column:
+    """Array of (word, at, window) for the first place of each of ``words`` in ``text``, with ``radius`` characters to either side."""
+    at = lambda w: F.position(w, text)
+    found = F.filter(words, lambda w: F.contains(text, w))
+    start = lambda w: F.greatest(at(w) - radius, F.lit(1))
+    return F.transform(found, lambda w: F.struct(w.alias("word"), (at(w) - 1).alias("at"), F.substr(text, start(w), at(w) + radius - start(w)).alias("window")))
