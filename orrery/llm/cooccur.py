@@ -12,23 +12,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A basket is first gathered in so many parts, so that no task takes in all of a huge one.
-_PARTS = 16
 
+#: A basket with more than this part of all rows doesn't go through one task; there are at most as many of them.
+_HOT = 512
 
-def _baskets(df: DataFrame, basket: Column, item: Column, max_basket: int | None) -> DataFrame:
-    """(b, n, items): parts of baskets, each item once, with the whole basket's size n."""
-    parts = (
-        df.select(basket.alias("b"), item.alias("i"))
-        .where(F.col("b").isNotNull() & F.col("i").isNotNull())
-        .groupBy("b", F.pmod(F.xxhash64("i"), F.lit(_PARTS)).alias("part"))
-        .agg(F.collect_set("i").alias("items"))
-        .select("b", "items")
-    )
-    sizes = parts.groupBy("b").agg(F.sum(F.size("items").cast("long")).alias("n"))
+
+def _tags(df: DataFrame, basket: Column, item: Column, max_basket: int | None, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(b, i, n) of ordinary baskets, each item once, with the basket's size; the same of hot ones; (b, n) of both."""
+    once = df.select(basket.alias("b"), item.alias("i")).where(F.col("b").isNotNull() & F.col("i").isNotNull()).distinct()
+    sizes = once.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    hot = sizes.where(F.col("n") > F.greatest(sizes.agg((F.sum("n") / _HOT).alias("x")).scalar(), F.lit(float(block))))
     if max_basket is not None:
         sizes = sizes.where(F.col("n") <= max_basket)
-    return parts.join(sizes, "b")
+    ordinary = once.join(F.broadcast(hot.select("b")), "b", "left_anti").join(sizes, "b")
+    return ordinary, once.join(F.broadcast(hot if max_basket is None else hot.where(F.col("n") <= max_basket)), "b"), sizes
 
 
 def _within(items: Column) -> Column:
@@ -54,14 +51,15 @@ def cooccurrence(df: DataFrame, *, basket: Column, item: Column, max_basket: int
     count once, baskets of one item count as baskets, an empty table gives no
     rows, other columns are ignored whatever their names.
     """
-    baskets = _baskets(df, basket, item, max_basket)
-    whole = baskets.where(F.col("n") <= block).groupBy("b").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-    pairs = whole.select(F.explode(_within(F.col("items"))).alias("p"))
+    ordinary, hot, sizes = _tags(df, basket, item, max_basket, block)
+    few, tags = ordinary.where(F.col("n") <= block), ordinary.unionByName(hot)
+    # Both sides lie by basket already, and no basket here has more than a block's items.
+    pairs = few.select("b", F.col("i").alias("item_a")).join(few.select("b", F.col("i").alias("item_b")), "b").where("item_a < item_b").select("item_a", "item_b")
     if max_basket is None or max_basket > block:
         count = F.ceil(F.col("n") / block).cast("int")
         chunks = (
-            baskets.where(F.col("n") > block)
-            .select("b", count.alias("c"), F.explode("items").alias("i"))
+            tags.where(F.col("n") > block)
+            .select("b", count.alias("c"), "i")
             .groupBy("b", "c", F.pmod(F.xxhash64("i", F.lit(17)), F.col("c")).cast("int").alias("chunk"))
             .agg(F.array_sort(F.collect_list("i")).alias("items"))
         )
@@ -74,10 +72,10 @@ def cooccurrence(df: DataFrame, *, basket: Column, item: Column, max_basket: int
                 F.when(F.col("lo") == F.col("hi"), _within(F.col("x")[0])).when(F.size("x") == 2, _across(F.col("x")[0], F.get(F.col("x"), F.lit(1)))).alias("pairs")
             )
         )
-        pairs = pairs.unionByName(cells.select(F.explode("pairs").alias("p")))
-    n_ab = pairs.groupBy("p.item_a", "p.item_b").agg(F.count(F.lit(1)).alias("n_ab")).where(F.col("n_ab") >= min_count)
-    each = baskets.select(F.explode("items").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n_i"))
-    total = baskets.select("b").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+        pairs = pairs.unionByName(cells.select(F.explode("pairs").alias("p")).select("p.*"))
+    n_ab = pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_ab")).where(F.col("n_ab") >= min_count)
+    each = tags.groupBy("i").agg(F.count(F.lit(1)).alias("n_i"))
+    total = sizes.agg(F.count(F.lit(1)).alias("n")).scalar()
     out = n_ab.join(each.select(F.col("i").alias("item_a"), F.col("n_i").alias("n_a")), "item_a")
     out = out.join(each.select(F.col("i").alias("item_b"), F.col("n_i").alias("n_b")), "item_b").withColumn("n_baskets", total)
     lift = F.col("n_ab").cast("double") * F.col("n_baskets") / (F.col("n_a").cast("double") * F.col("n_b"))

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.llm import cooccur
 from orrery.llm.cooccur import cooccurrence
 
 
@@ -34,6 +35,14 @@ def test_equals_brute_force(spark, block, max_basket):
     assert got == brute(rows, max_basket)
 
 
+@pytest.mark.parametrize("max_basket", [None, 9, 40])
+def test_hot_baskets_go_their_own_way(spark, monkeypatch, max_basket):
+    monkeypatch.setattr(cooccur, "_HOT", 4)
+    rows = [(1, f"i{i}", 1, "x") for i in range(60)] + [(b, f"i{i}", 1, "x") for b in range(2, 9) for i in range(b, b + 6)]
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n_baskets) for r in run(spark, rows, block=5, max_basket=max_basket)}
+    assert got == brute(rows, max_basket)
+
+
 def test_scores_and_min_count(spark):
     rows = [(b, i, 0, "") for b, items in enumerate(["ab", "ab", "ac", "d"]) for i in items]
     (r,) = run(spark, rows, min_count=2)
