@@ -82,34 +82,69 @@ def _gram(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return corr, n, same
 
 
+def _cells(values: DataFrame, first: int, block: int) -> DataFrame:
+    """(symbol, k, v, own, lo, hi): each symbol of ``values`` (symbol, i, v) packed into a row, once for every pair of blocks that its own is in."""
+    packed = values.groupBy("symbol").agg(F.collect_list(F.when(F.col("v").isNotNull(), F.struct((F.col("i") - first).alias("k"), "v"))).alias("x"))
+    blocks = F.ceil(packed.agg(F.count(F.lit(1))).scalar() / block).cast("int")
+    rows = packed.select("symbol", F.col("x.k").alias("k"), F.col("x.v").alias("v"), blocks.alias("n")).withColumn("own", F.pmod(F.xxhash64("symbol"), F.col("n")).cast("int"))
+    each = rows.select("symbol", "k", "v", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    return each.select("symbol", "k", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
+def _matrix(f: pd.DataFrame, width: int) -> np.ndarray:
+    """Rows of a cell as a matrix, missing values as NaN."""
+    x = np.full((len(f), width), np.nan)
+    for row, (k, v) in enumerate(zip(f["k"], f["v"])):
+        x[row, np.asarray(k, int)] = v
+    return x
+
+
 def edges_blocked(window: DataFrame, *, first: int, trail: int, min_abs_corr: float = 0.3, block: int = 256) -> DataFrame:
     """As :func:`edges` for the ``trail`` sessions from ``first`` on, by products of blocks of about ``block`` symbols."""
     least = _threshold(min_abs_corr)
-    packed = window.groupBy("symbol").agg(F.collect_list(F.when(F.col("r").isNotNull(), F.struct((F.col("i") - first).alias("k"), "r"))).alias("x"))
-    blocks = F.ceil(packed.agg(F.count(F.lit(1))).scalar() / block).cast("int")
-    rows = packed.select("symbol", F.col("x.k").alias("k"), F.col("x.r").alias("r"), blocks.alias("n")).withColumn("own", F.pmod(F.xxhash64("symbol"), F.col("n")).cast("int"))
-    cells = rows.select("symbol", "k", "r", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).select(
-        "symbol", "k", "r", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
-    )
 
     def product(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("symbol")
-        x = np.full((len(f), trail), np.nan)
-        for row, (k, r) in enumerate(zip(f["k"], f["r"])):
-            x[row, np.asarray(k, int)] = r
+        x = _matrix(f, trail)
         names, own = f["symbol"].to_numpy(), f["own"].to_numpy()
         lo, hi = f["lo"].iat[0], f["hi"].iat[0]
         p, q = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         corr, n, same = _gram(x[p], x[q])
         i, j = np.nonzero(np.abs(corr) >= least)
         if lo == hi:
-            i, j = i[names[p[i]] < names[q[j]]], j[names[p[i]] < names[q[j]]]
+            up = names[p[i]] < names[q[j]]
+            i, j = i[up], j[up]
         s, t = names[p[i]], names[q[j]]
         return pd.DataFrame({"a": np.where(s < t, s, t), "b": np.where(s < t, t, s), "corr": corr[i, j], "n_sessions": n[i, j].astype(int), "same": same[i, j] / trail})
 
+    cells = _cells(window.select("symbol", "i", F.col("r").alias("v")), first, block)
     return _finish(cells.groupBy("lo", "hi").applyInPandas(product, SCHEMA), least)
 
 
+def lagged_blocked(window: DataFrame, lags: list[int], *, first: int, width: int, least: float, block: int = 256) -> DataFrame:
+    """As :func:`lagged` over ``width`` sessions from ``first`` on, for correlations of ``least`` and more, by products of blocks."""
+
+    def product(f: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(f, width)
+        m = ~np.isnan(x)
+        z, m = np.where(m, x, 0.0), m.astype(float)
+        names, own = f["symbol"].to_numpy(), f["own"].to_numpy()
+        lo, hi = f["lo"].iat[0], f["hi"].iat[0]
+        p, q = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        out = []
+        for lag in lags:
+            for a, b in ((p, q), (q, p))[: 1 if lo == hi else 2]:
+                with np.errstate(all="ignore"):
+                    c = z[a, : width - lag] @ z[b, lag:].T / (m[a, : width - lag] @ m[b, lag:].T)
+                i, j = np.nonzero(np.abs(c) >= least)
+                other = a[i] != b[j]
+                i, j = i[other], j[other]
+                out.append(pd.DataFrame({"lag": lag, "x": names[a[i]], "y": names[b[j]], "corr": c[i, j]}))
+        return pd.concat(out)
+
+    cells = _cells(window.select("symbol", "i", F.col("z").alias("v")), first, block)
+    return cells.groupBy("lo", "hi").applyInPandas(product, "lag int, x string, y string, corr double")
+
+
 def lagged(window: DataFrame, lags: list[int]) -> DataFrame:
     """(lag, x, y, corr): correlation of x with y ``lag`` sessions later, over standardised values z (0 where missing) of ``window`` (symbol, i, z)."""
     y = window.select(F.col("symbol").alias("y"), F.col("i").alias("j"), F.col("z").alias("zy"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.columns import norm_symbol
 from orrery.operators import evidence as ev
-from orrery.operators.comovement import edges, edges_blocked, lagged
+from orrery.operators.comovement import edges, edges_blocked, lagged, lagged_blocked
 from orrery.operators.panel import closes, log_returns, panel, session_ends
 from orrery.operators.perspectives import day_trade, quant
 from orrery.operators.shocks import scan
@@ -201,12 +201,22 @@ def a22_market_excess(spark, sf_dir):
     return p.select("symbol", "i", F.round(F.col("r") - F.avg("r").over(Window.partitionBy("i")), 8).alias("excess"))
 
 
-def a25_lagged(spark, sf_dir):
-    """Correlation of every pair at lags of 1, 2 and 5 sessions, of 0.25 and more."""
-    p = bar_panel(spark, sf_dir)
+def _standardised(p: DataFrame) -> DataFrame:
     w = Window.partitionBy("symbol")
     z = F.coalesce(F.try_divide(F.col("r") - F.avg("r").over(w), F.stddev_pop("r").over(w)), F.lit(0.0))
-    return lagged(p.select("symbol", "i", z.alias("z")), [1, 2, 5]).where(F.abs("corr") >= 0.25).select("lag", "x", "y", *_r("corr", digits=7))
+    return p.select("symbol", "i", z.alias("z"))
+
+
+def a25_lagged_blocked(spark, sf_dir):
+    """The same as a25_lagged by products of blocks."""
+    p = durable(bar_panel(spark, sf_dir))
+    n = (p.agg(F.max("i")).first()[0] or 0) + 1
+    return lagged_blocked(_standardised(p), [1, 2, 5], first=0, width=n, least=0.25).select("lag", "x", "y", *_r("corr", digits=7))
+
+
+def a25_lagged(spark, sf_dir):
+    """Correlation of every pair at lags of 1, 2 and 5 sessions, of 0.25 and more."""
+    return lagged(_standardised(bar_panel(spark, sf_dir)), [1, 2, 5]).where(F.abs("corr") >= 0.25).select("lag", "x", "y", *_r("corr", digits=7))
 
 
 def w3_rolling_sigma(spark, sf_dir):
@@ -235,7 +245,7 @@ def e20_default_as_of(spark, sf_dir):
 
 _FUNCS = (
     s1_bar_scan, s2_closes_panel, s5_liquid_symbols, s6_listing_filter, s7_most_liquid, p2_log_returns, p4_window_ends, p7_session_available, p10_coverage, p16_funds, j2_comovement, j2_comovement_blocked,
-    a5_market_scan, g5_followers, n2_neighbourhood, n4_leader_state, n6_evidence, n10_verdicts, n7_quant, n8_day_trade, a22_market_excess, a25_lagged, w3_rolling_sigma, w4_forward_sum, w8_blocks, e20_default_as_of,
+    a5_market_scan, g5_followers, n2_neighbourhood, n4_leader_state, n6_evidence, n10_verdicts, n7_quant, n8_day_trade, a22_market_excess, a25_lagged, a25_lagged_blocked, w3_rolling_sigma, w4_forward_sum, w8_blocks, e20_default_as_of,
 )
 #: Names of data-preparation problems are pN_...; these are the survey's, so P becomes f (filter).
 QUERIES = {("f" + f.__name__[1:] if f.__name__[0] == "p" else f.__name__): f for f in _FUNCS}
@@ -323,3 +333,4 @@ SELECT lag, x.symbol AS x, y.symbol AS y, round(sum(x.z * y.z) / count(*), 7) AS
     "w8_blocks": f"WITH {PANEL} SELECT symbol, i // 5 AS block, round(exp(sum(ln(1 + r))) - 1, 8) AS ret, count(*) AS n FROM p WHERE r > -1 GROUP BY ALL",
     "e20_default_as_of": f"WITH {PANEL} SELECT strftime(max(d), '%Y-%m-%d') AS as_of, count(DISTINCT d) AS n_sessions, count(DISTINCT symbol) AS n_symbols FROM p",
 }
+ORACLE["a25_lagged_blocked"] = ORACLE["a25_lagged"]

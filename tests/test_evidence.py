@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import evidence as ev
-from orrery.operators.comovement import edges, edges_blocked
+from orrery.operators.comovement import edges, edges_blocked, lagged, lagged_blocked
 from orrery.operators.panel import closes, panel, session_ends
 from orrery.operators.shocks import scan
 
@@ -108,6 +108,15 @@ def test_comovement_equals_pandas(spark, block):
     assert all(e.ci_low <= e.corr + 1e-9 and e.corr <= e.ci_high + 1e-9 for e in rows.values())
 
 
+@pytest.mark.parametrize("block", [3, 100])
+def test_lagged_products_equal_the_join(spark, block):
+    p = to_panel(spark, series())
+    z = p.select("symbol", "i", F.coalesce("r", F.lit(0.0)).alias("z"))
+    want = {(r.lag, r.x, r.y): r["corr"] for r in lagged(z, [1, 3]).collect() if abs(r["corr"]) >= 1e-5}
+    got = {(r.lag, r.x, r.y): r["corr"] for r in lagged_blocked(z, [1, 3], first=0, width=90, least=1e-5, block=block).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+
+
 def test_threshold_is_checked(spark):
     with pytest.raises(ValueError):
         edges(spark.createDataFrame([], "symbol string, i int, r double"), trail=10, min_abs_corr=float("nan"))
