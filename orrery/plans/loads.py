@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import passages
 from orrery.operators import records as rec
+from orrery.plans import relations
 from orrery.plans.market import bars, latest_sic
 from orrery.sources.tables import table
 
@@ -58,10 +59,10 @@ def k8_sectors(spark, sf_dir):
 
 
 def k11_reclassified(spark, sf_dir):
-    """Mentions whose relation the passage states otherwise, updated in place."""
+    """Mentions with the relation that their passage states, where it names the counterparty at all."""
     m = table(spark, sf_dir, "filing_mention").select("id", "counterparty", "passage", "relation")
     says = passages.relation(passages.naming_sentence(F.col("passage"), F.col("counterparty")))
-    changes = m.select("id", says.alias("relation")).where("relation IN ('customer', 'competitor')")
+    changes = m.select("id", says.alias("said")).where("said <> 'unnamed'").withColumnRenamed("said", "relation")
     return rec.update_from(m.select("id", "relation"), changes, ["id"])
 
 
@@ -85,4 +86,5 @@ ORACLE = {
     "k5_merge_fields": f"SELECT symbol, exchange, coalesce(s.sic, CASE WHEN ticker IS NOT NULL THEN '0000' END) AS sic FROM (SELECT ticker, ticker AS symbol, exchange FROM company_ref) FULL JOIN {_SIC} s USING (symbol)",
     "k8_sectors": f"SELECT symbol, sic FROM {_SIC} WHERE sic IS NOT NULL",
     "t12_best_edges": "SELECT supplier, customer, strftime(filing_date, '%Y-%m-%d') AS day, edge_id FROM (SELECT upper(trim(supplier)) AS supplier, upper(trim(customer)) AS customer, filing_date, edge_id, row_number() OVER (PARTITION BY upper(trim(supplier)), upper(trim(customer)), filing_date ORDER BY coalesce(trim(pct_revenue), '') = '', length(coalesce(passage, '')) DESC, edge_id) AS k FROM supply_edge WHERE filing_date IS NOT NULL) WHERE k = 1",
+    "k11_reclassified": f"WITH said AS ({relations.ORACLE['x3_relations']}) SELECT m.id, CASE WHEN said.relation <> 'unnamed' THEN said.relation ELSE m.relation END AS relation FROM filing_mention m JOIN said USING (id)",
 }

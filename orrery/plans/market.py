@@ -334,3 +334,6 @@ SELECT lag, x.symbol AS x, y.symbol AS y, round(sum(x.z * y.z) / count(*), 7) AS
     "e20_default_as_of": f"WITH {PANEL} SELECT strftime(max(d), '%Y-%m-%d') AS as_of, count(DISTINCT d) AS n_sessions, count(DISTINCT symbol) AS n_symbols FROM p",
 }
 ORACLE["a25_lagged_blocked"] = ORACLE["a25_lagged"]
+_VERDICT = f"""{_EVID}, sm AS (SELECT cid, round_even(sum(weight), 3) AS eff, sum(CASE WHEN supports THEN CAST(round_even(weight, 4) AS DECIMAL(12,4)) ELSE 0 END) AS pro, sum(CASE WHEN supports THEN 0 ELSE CAST(round_even(weight, 4) AS DECIMAL(12,4)) END) AS con,
+  count(*) FILTER (WHERE supports) AS np, count(*) FILTER (WHERE NOT supports) AS nc FROM evid GROUP BY cid),
+vd AS (SELECT c.*, CASE WHEN coalesce(eff, 0) < 1 THEN 'neutral' WHEN pro > con THEN 'corroborated' WHEN con > pro THEN 'contradicted' ELSE 'neutral' END AS verdict, coalesce(eff, 0.0) AS eff, coalesce(np, 0) AS np, coalesce(nc, 0) AS nc FROM cand c JOIN (SELECT DISTINCT cid FROM near) USING (cid) LEFT JOIN sm USING (cid))"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery.operators import evidence as ev
 from orrery.operators import statistics as st
 from orrery.operators.panel import correlation
-from orrery.plans.market import CORR, PANEL, bar_panel, candidates
+from orrery.plans.market import _VERDICT, CORR, PANEL, bar_panel, candidates
 from orrery.plans.relations import _SUPPLY, _TAGS, _pmi_sql, dated_tags, pmi_edges, supply_edges
 from orrery.plans.tests_of_relations import _EX, excess
 from orrery.sources.durable import durable
@@ -200,4 +200,7 @@ SELECT round(sum(s) / sum(k), 8) AS mean, round(sqrt(sum(u * u)) / sum(k), 8) AS
     "w7_growth": f"WITH {PANEL} SELECT symbol, i, round(exp(sum(ln(1 + r)) OVER (PARTITION BY symbol ORDER BY i)), 6) AS growth FROM p WHERE r > -1",
     "f17_liquid_sigma": f"WITH {PANEL} SELECT symbol, round(stddev_samp(r), 8) AS sigma FROM p GROUP BY 1 HAVING stddev_samp(r) >= 1e-3",
     "f18_split": f"WITH {PANEL} SELECT CASE WHEN d < DATE '2024-07-01' THEN 'discovery' ELSE 'validation' END AS part, count(DISTINCT i) AS n_sessions, count(r) AS n_returns, min(i) AS first, max(i) AS last, true AS apart FROM p GROUP BY 1",
+    "e3_verdict_returns": f"""WITH {_VERDICT}, ex AS (SELECT symbol, i, r - avg(r) OVER (PARTITION BY i) AS x FROM p WHERE r IS NOT NULL),
+y AS (SELECT vd.cid, verdict, direction, h, sum(x) AS x FROM vd JOIN (SELECT unnest([2, 5, 10, 21]) AS h) k ON true JOIN ex ON ex.symbol = vd.symbol AND ex.i > vd.i AND ex.i <= vd.i + h GROUP BY ALL)
+SELECT verdict, h, count(*) AS n, round(avg(CASE WHEN direction = 'up' THEN x ELSE -x END), 8) AS mean_excess FROM y GROUP BY ALL""",
 }

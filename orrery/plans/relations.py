@@ -254,4 +254,7 @@ SELECT n_pairs, round(share, 7) AS share, round(base, 7) AS base, round(share -
 n AS (SELECT id, CASE WHEN tok <> '' THEN list_filter(parts, lambda x: regexp_matches(x, CASE WHEN regexp_matches(tok, '^[\p{L}\p{N}_]') THEN '(^|[^\p{L}\p{N}_])' ELSE '[\p{L}\p{N}_]' END || regexp_escape(tok) || CASE WHEN regexp_matches(tok, '[\p{L}\p{N}_]$') THEN '($|[^\p{L}\p{N}_])' ELSE '[\p{L}\p{N}_]' END))[1] END AS sentence FROM s), l AS (SELECT id, sentence, lower(sentence) AS low FROM n)
 SELECT id, sentence, nullif(regexp_extract(sentence, '(\d+(?:\.\d+)?)%', 1), '') AS pct, coalesce(regexp_matches(sentence, '^\p{Lu}'), false) AS quotable,
   CASE WHEN sentence IS NULL THEN 'unnamed' WHEN low LIKE '%compet%' THEN 'competitor' WHEN low LIKE '%acqui%' OR low LIKE '%sale of%' THEN 'corporate_action' WHEN low LIKE '%supplier%' OR low LIKE '%supplied by%' THEN 'reversed' WHEN low LIKE '%customer%' OR low LIKE '%accounted for%' OR low LIKE '%sales to%' OR low LIKE '%represented%' THEN 'customer' ELSE 'unstated' END AS relation FROM l""",
+    "x5_proximity": rf"""WITH m AS (SELECT id, passage, greatest(instr(passage, regexp_extract(counterparty, '(\S+)', 1)) - 1, 0) AS at_ FROM filing_mention WHERE passage IS NOT NULL),
+n AS (SELECT *, substring(passage, greatest(at_ - 120, 0) + 1, at_ + 120 - greatest(at_ - 120, 0)) AS near FROM m)
+SELECT id, CASE WHEN regexp_matches(near, '{passages.COMPETITOR}') OR regexp_matches(near, '{passages.SUPPLIER}') THEN 'unknown' WHEN regexp_matches(passage, '{passages.CUSTOMER}') THEN 'customer' ELSE 'unknown' END AS label FROM n""",
 }

@@ -15,7 +15,7 @@ from orrery.operators.comovement import edges as comovement_edges
 from orrery.operators.graphs import both_ways
 from orrery.operators.panel import session_ends
 from orrery.operators.shocks import scan
-from orrery.plans.market import BAR, CORR, PANEL, bar_panel, bars, candidates, latest_sic
+from orrery.plans.market import _VERDICT, CORR, PANEL, bar_panel, bars, candidates, latest_sic
 from orrery.plans.relations import _TAGS, _pmi_sql, dated_tags, pmi_edges
 from orrery.plans.training import distinct_tags
 from orrery.sources.durable import durable
@@ -172,4 +172,6 @@ SELECT symbol, round(z, 7) AS z, symbol IN (SELECT a FROM pmi UNION SELECT b FRO
 nr AS (SELECT a AS c, b AS x FROM e UNION ALL SELECT b, a FROM e) SELECT c AS centre, (SELECT count(*) FROM e WHERE e.a IN (SELECT x FROM nr q WHERE q.c = k.c) AND e.b IN (SELECT x FROM nr q WHERE q.c = k.c)) AS n_edges, k * (k - 1) // 2 AS n_possible FROM (SELECT c, count(*) AS k FROM nr GROUP BY c) k""",
     "a34_share_test": "WITH g AS (SELECT CAST(count(*) FILTER (WHERE relation = 'customer') AS DOUBLE) AS n1, avg(CASE WHEN pct_revenue IS NULL THEN 0.0 ELSE 1.0 END) FILTER (WHERE relation = 'customer') AS p1, CAST(count(*) FILTER (WHERE relation IS DISTINCT FROM 'customer') AS DOUBLE) AS n2, avg(CASE WHEN pct_revenue IS NULL THEN 0.0 ELSE 1.0 END) FILTER (WHERE relation IS DISTINCT FROM 'customer') AS p2 FROM filing_mention), h AS (SELECT *, (n1 * p1 + n2 * p2) / (n1 + n2) AS p FROM g) SELECT CAST(n1 AS BIGINT) AS n1, round(p1, 8) AS p1, CAST(n2 AS BIGINT) AS n2, round(p2, 8) AS p2, round((p1 - p2) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2)), 6) AS z, round(2.8 * sqrt(p * (1 - p) * (1 / n1 + 1 / n2)), 8) AS mde FROM h",
     "x4_clean": r"SELECT id, regexp_replace(regexp_replace(regexp_replace('<p class=''x''>' || passage || '</p>&nbsp;<br/>' || chr(10) || ' end', '<[^>]+>', ' ', 'g'), '&#\d+;|&[a-z]+;', ' ', 'g'), '\s+', ' ', 'g') AS text FROM filing_mention WHERE passage IS NOT NULL",
+    "n11_review": f"WITH {_VERDICT} SELECT count(*) FILTER (WHERE verdict = 'contradicted') AS n_contradicted, count(*) AS n, count(*) FILTER (WHERE verdict = 'contradicted') > 0 AS halt FROM vd",
+    "e17_golden": f"WITH {_VERDICT} SELECT c.symbol, strftime(c.as_of, '%Y-%m-%d') AS as_of, c.direction, coalesce(verdict, 'no_assessment') AS verdict, format('{{:.6f}}', coalesce(eff, 0.0)) AS effective_evidence, coalesce(np, 0) AS n_supporting, coalesce(nc, 0) AS n_contradicting FROM cand c LEFT JOIN vd USING (cid)",
 }
