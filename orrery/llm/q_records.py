@@ -69,4 +69,16 @@ ORACLE = {
   {_PICK.format(f"chars, trust, {_DAY}, {_AT}, edge_id", "chars IS NOT NULL")} AS passage_edge_id,
   {_PICK.format(f"day, {_AT}, edge_id", "day IS NOT NULL")} AS date_edge_id
 FROM e WHERE supplier <> '' AND customer <> '' GROUP BY supplier, customer HAVING count(*) >= 2""",
+    # Every combination of values of a pair, tried one by one.
+    "p2_consistent": f"""{_EDGES}, f AS (SELECT e.*, CASE WHEN share > 0 AND share <= 100 THEN share END AS pv, CASE WHEN chars IS NOT NULL THEN trim(passage) END AS gv FROM e JOIN supply_edge USING (edge_id) WHERE e.supplier <> '' AND e.customer <> ''),
+pc AS (SELECT supplier, customer, pv AS v, max(row((trust + 1) / 4.0::DOUBLE, {_DAY}, {_AT}, edge_id)) AS o FROM f WHERE pv IS NOT NULL GROUP BY ALL),
+gc AS (SELECT supplier, customer, gv AS v, max(row(chars, trust, {_DAY}, {_AT}, edge_id)) AS o, arg_max(pv, row(trust, {_DAY}, {_AT}, edge_id)) FILTER (WHERE pv IS NOT NULL) AS need FROM f WHERE gv IS NOT NULL GROUP BY ALL),
+dc AS (SELECT supplier, customer, day AS v, max(row(day, {_AT}, edge_id)) AS o, arg_max(pv, row(trust, {_DAY}, {_AT}, edge_id)) FILTER (WHERE pv IS NOT NULL) AS need FROM f WHERE day IS NOT NULL GROUP BY ALL),
+pr AS (SELECT DISTINCT supplier, customer FROM f),
+p AS (SELECT supplier, customer, v, o[4] AS id, o[1] AS sc, row_number() OVER (PARTITION BY supplier, customer ORDER BY o DESC) AS k FROM pc UNION ALL SELECT supplier, customer, NULL, 0, 0.0, 1000000 FROM pr),
+g AS (SELECT supplier, customer, v, o[5] AS id, 1 - 1 / (1 + o[1])::DOUBLE AS sc, need, row_number() OVER (PARTITION BY supplier, customer ORDER BY o DESC) AS k FROM gc UNION ALL SELECT supplier, customer, NULL, 0, 0.0, NULL, 1000000 FROM pr),
+d AS (SELECT supplier, customer, v, o[3] AS id, (date_diff('day', DATE '1970-01-01', v) + 1000000) / 2000000.0::DOUBLE AS sc, need, row_number() OVER (PARTITION BY supplier, customer ORDER BY o DESC) AS k FROM dc UNION ALL SELECT supplier, customer, NULL, 0, 0.0, NULL, 1000000 FROM pr),
+a AS (SELECT supplier, customer, p.id AS pid, g.id AS gid, d.id AS did, p.v AS pv, g.v AS gv, d.v AS dv, row_number() OVER (PARTITION BY supplier, customer ORDER BY p.sc + g.sc + d.sc DESC, p.k, g.k, d.k) AS r
+  FROM p JOIN g USING (supplier, customer) JOIN d USING (supplier, customer) WHERE (g.need IS NULL OR coalesce(p.v = g.need, false)) AND (d.need IS NULL OR coalesce(p.v = d.need, false)))
+SELECT supplier, customer, pid AS pct_edge_id, gid AS passage_edge_id, did AS date_edge_id, CAST(pv AS VARCHAR) AS pct_revenue, gv AS passage, CAST(dv AS VARCHAR) AS filing_date FROM a WHERE r = 1""",
 }
