@@ -92,4 +92,10 @@ hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))"""
 ORACLE = {
     "p7_found": f"{_GRAMS} SELECT doc_id, item_id FROM hit",
     "p7_clean": f"{_GRAMS} SELECT doc_id, source, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)",
+    # Matching runs of 12 words that follow each other are one longer match.
+    "p7_matches": rf"""{_GRAMS}, dp AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 11)) AS i FROM dw WHERE len(w) >= 12)),
+ip AS (SELECT item_id, j, array_to_string(w[j + 1:j + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(0, len(w) - 11)) AS j FROM iw WHERE len(w) >= 12)),
+h AS (SELECT doc_id, item_id, i, j, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM dp JOIN ip USING (g)),
+r AS (SELECT doc_id, item_id, min(i) AS doc_word, min(j) AS item_word, count(*) + 11 AS n_words FROM h GROUP BY doc_id, item_id, i - j, run)
+SELECT doc_id, item_id, n_words, doc_word, item_word FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, doc_word, item_word) AS k FROM r) WHERE k = 1""",
 }
