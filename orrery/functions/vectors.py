@@ -30,7 +30,8 @@ def search(queries: DataFrame, corpus: DataFrame, *, k: int, match: Column | Non
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
         pairs = corpus.join(F.broadcast(part), match if match is not None else F.lit(True))
         best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
-        scored = pairs.select("qid", "id", F.try_divide(dot(F.col("vec"), F.col("qvec")), F.sqrt(dot(F.col("vec"), F.col("vec")))).alias("score")).where("score IS NOT NULL")
-        top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        scored = pairs.select("qid", "id", F.try_divide(dot(F.col("vec"), F.col("qvec")), F.sqrt(dot(F.col("vec"), F.col("vec")))).alias("score"))
+        # Pairs without a score rank last; left out only here, they aren't scored twice.
+        top = scored.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & F.col("score").isNotNull())
         out = top if out is None else out.unionByName(top)
     return out
