@@ -11,8 +11,10 @@ clean original agree once everything else is taken out. What the rest tells:
    that explain nothing another doesn't being dropped.
 3. Every record is searched for stretches that a learned transformation undoes.
    One that no twin showed must explain more of a record before it is believed.
+   A record that differs from a clean twin by a learned transformation is
+   garbled, whatever the search says.
 
-Counts over the whole corpus tell readable text from unreadable where the bytes
+Counts over the distinct texts of the corpus tell readable text from unreadable where the bytes
 alone don't: how often a character occurs, against how often a stretch would
 turn into it (correct text that happens to look garbled would turn into
 characters that nobody writes), and how often pairs of neighbouring characters
@@ -143,8 +145,10 @@ class Model:
 class Restorer:
     """Undoes transformations in texts, the learned ones in order, then others on more evidence."""
 
-    def __init__(self, learned: Sequence[tuple[str, str]], model: Model):
+    def __init__(self, learned: Sequence[tuple[str, str]], model: Model, proven: frozenset[tuple[str, str]] = frozenset()):
         self.model = model
+        #: (encoding read in, character) of stretches that twins show; these aren't refused as unusual.
+        self.proven = proven
         rest = [t for t in TRANSFORMS if t not in learned]
         self.utf8 = [(r, 1) for w, r in learned if w == "utf-8"] + [(r, 2) for w, r in rest if w == "utf-8"]
         #: By the encoding read in: encodings written in, with the least gain and length that they need.
@@ -162,7 +166,8 @@ class Restorer:
         c = undo(stretch, "utf-8", read)
         if c and "\x80" <= c <= "\x9f" and any("\x80" <= x <= "\x9f" for x in stretch):
             return c  # a step on the way back from text that was garbled twice
-        return c if c is not None and all(map(_readable, c)) and (read, c) not in (self.model.unusual if read in self.sure else self.model.rare) else None
+        refused = self.model.unusual if read in self.sure else self.model.rare
+        return c if c is not None and all(map(_readable, c)) and ((read, c) in self.proven or (read, c) not in refused) else None
 
     def _reads(self, run: str) -> tuple[str, ...]:
         """Encodings in which something in a run of characters would turn into others."""
@@ -283,12 +288,12 @@ def _count(runs: Counter, pairs: Counter, chars: Counter, hits: Counter) -> None
 
 
 def _corpus_model(texts: DataFrame) -> Model:
-    """Counts over all of ``texts`` (i, t). What comes back is bounded by the buckets and by the characters there are."""
+    """Counts over the distinct texts of ``texts`` (i, t), so that copies tell nothing. What comes back is bounded by the buckets and by the characters there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, pairs, chars, hits = Counter(), Counter(), Counter(), Counter()
         for b in batches:
-            for t in b.column(1).to_pylist():
+            for t in b.column(0).to_pylist():
                 runs.update(_RUN.findall(t))
             if len(runs) > 100_000:
                 _count(runs, pairs, chars, hits)
@@ -297,7 +302,7 @@ def _corpus_model(texts: DataFrame) -> Model:
         rows = [(-2, b, n) for b, n in pairs.items()] + [(-1, ord(c), n) for c, n in chars.items()] + [(k, ord(c), n) for (k, c), n in hits.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["k", "x", "n"])
 
-    rows = texts.where(F.col("t").rlike(r"[^\x00-\x7F]")).mapInArrow(count, "k long, x long, n long").groupBy("k", "x").agg(F.sum("n").alias("n")).collect()
+    rows = texts.where(F.col("t").rlike(r"[^\x00-\x7F]")).select("t").distinct().mapInArrow(count, "k long, x long, n long").groupBy("k", "x").agg(F.sum("n").alias("n")).collect()
     return Model({r.x: r.n for r in rows if r.k == -2}, {chr(r.x): r.n for r in rows if r.k == -1}, {(r.k, chr(r.x)): r.n for r in rows if r.k >= 0})
 
 
@@ -319,6 +324,17 @@ def _explains(g: str, c: str, t: tuple[str, str]) -> bool:
     return bool(c) and g != c and undo(g, *t) == c
 
 
+def _steps(g: str, c: str, learned: Sequence[tuple[str, str]]) -> set[tuple[str, tuple[str, str]]]:
+    """The texts on the way from ``g`` back to ``c``, each with the learned transformation that it is undone by; UTF-8 may be garbled twice."""
+    out = set()
+    for t in learned:
+        if _explains(g, c, t):
+            out.add((g, t))
+        elif t[0] == "utf-8" and (x := undo(g, *t)):
+            out.update(step for u in learned if u[0] == "utf-8" and _explains(x, c, u) for step in ((g, t), (x, u)))
+    return out
+
+
 def _twins(texts: DataFrame, model) -> DataFrame:
     """(i, t, r): records in a group of twins, with the group's cleanest text."""
     skeleton = F.regexp_replace("t", r"[^\x00-\x7F]+", "")
@@ -340,14 +356,20 @@ def _twins(texts: DataFrame, model) -> DataFrame:
     return judged.join(best, "h").select("i", "t", "r")
 
 
-def learn_transforms(twins: DataFrame, min_support: int = 2) -> list[tuple[str, str]]:
-    """Transformations that explain at least ``min_support`` different runs of ``twins`` (i, t, r), most first."""
+def twin_runs(twins: DataFrame) -> DataFrame:
+    """(g, c): the different runs in which texts differ from the cleanest one of their ``twins`` (i, t, r)."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = sorted({x for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist()) if t != r for x in aligned_runs(t, r)})
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in p], pa.string()), pa.array([y for _, y in p], pa.string())], ["g", "c"])
 
+    return twins.mapInArrow(runs, "g string, c string").distinct()
+
+
+def learn_transforms(runs: DataFrame, min_support: int = 2) -> list[tuple[str, str]]:
+    """Transformations that explain at least ``min_support`` of the different ``runs`` (g, c) of twins, most first."""
+
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both: Counter = Counter()
         for b in batches:
@@ -358,7 +380,7 @@ def learn_transforms(twins: DataFrame, min_support: int = 2) -> list[tuple[str,
         keys = list(both)
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.int32()) for i in (0, 1)] + [pa.array([both[k] for k in keys], pa.int64())], ["a", "b", "n"])
 
-    pairs = twins.mapInArrow(runs, "g string, c string").distinct().mapInArrow(explain, "a int, b int, n long")
+    pairs = runs.mapInArrow(explain, "a int, b int, n long")
     n = defaultdict(int, {(r.a, r.b): r.n for r in pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()})
     kept: list[int] = []
     for a in sorted((a for a in range(len(TRANSFORMS)) if n[a, a] >= min_support), key=lambda a: (-n[a, a], a)):
@@ -367,11 +389,28 @@ def learn_transforms(twins: DataFrame, min_support: int = 2) -> list[tuple[str,
     return [TRANSFORMS[a] for a in kept]
 
 
+def proven_stretches(runs: DataFrame, learned: Sequence[tuple[str, str]]) -> frozenset[tuple[str, str]]:
+    """(encoding read in, character) of the stretches that ``runs`` (g, c) of twins show; as many as there are characters at most."""
+
+    def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shown = set()
+        for b in batches:
+            for g, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for x, (written, read) in _steps(g, c, learned):
+                    if written == "utf-8":
+                        shown.update((read, undo(m.group(), written, read)) for m in _PATTERNS[read].finditer(x))
+        rows = sorted((read, c) for read, c in shown if c)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["read", "c"])
+
+    return frozenset((r.read, r.c) for r in runs.mapInArrow(prove, "read string, c string").distinct().collect())
+
+
 def garbled(df: DataFrame, *, ident: Column, text: Column) -> DataFrame:
     """(id, restored, n_stretches, lost, by_twin): the records of which some stretch is garbled.
 
     ``restored`` is the original as far as it can be had: the clean twin's text
-    where there is one, else the text with its garbled stretches undone;
+    where there is one, else the text with its garbled stretches undone. A
+    clean twin also proves a record garbled in which no stretch was found;
     ``lost`` tells that characters are gone for good (and no twin has them).
 
     Defined cases: null texts and ids are left out, texts in ASCII are never
@@ -384,11 +423,13 @@ def garbled(df: DataFrame, *, ident: Column, text: Column) -> DataFrame:
     texts = df.select(ident.alias("i"), text.cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     model = sc.broadcast(_corpus_model(texts))
     twins = durable(_twins(texts, model))
-    learned = learn_transforms(twins)
+    runs = durable(twin_runs(twins))
+    learned = learn_transforms(runs)
+    proven = proven_stretches(runs, learned)
     kind = texts.schema["i"].dataType.simpleString()
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        undo_all = Restorer(learned, model.value)
+        undo_all = Restorer(learned, model.value, proven)
         for b in batches:
             rows = []
             for k, t in enumerate(b.column(1).to_pylist()):
@@ -401,11 +442,26 @@ def garbled(df: DataFrame, *, ident: Column, text: Column) -> DataFrame:
                 ["i", "restored", "n", "lost"],
             )
 
+    def by_twin_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Records that the search passes over, with the number of their runs that a learned transformation turns into their twin's."""
+        undo_all = Restorer(learned, model.value, proven)
+        for b in batches:
+            rows = []
+            for k, (t, r) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                if n := sum(bool(_steps(g, c, learned)) for g, c in aligned_runs(t, r)):
+                    _, found, lost = undo_all(t)
+                    if not found and not lost:
+                        rows.append((k, n))
+            at = pa.array([k for k, _ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array([n for _, n in rows], pa.int64())], ["i", "r", "n"])
+
     schema = f"i {kind}, restored string, n long, lost boolean"
     found = texts.where(F.col("t").rlike(r"[^\x00-\x7F]")).mapInArrow(restore, schema)
     # A twin's text is the original only if it isn't garbled itself.
     clean = durable(twins.where("t <> r").select("i", "r").distinct())
     bad = clean.select(F.md5("r").alias("i"), F.col("r").alias("t")).distinct().mapInArrow(restore, "i string, restored string, n long, lost boolean").select(F.col("i").alias("h"))
+    shown = twins.where("t <> r").mapInArrow(by_twin_only, f"i {kind}, r string, n long").join(bad, F.md5("r") == F.col("h"), "left_anti")
+    found = found.unionByName(shown.select("i", F.col("r").alias("restored"), "n", F.lit(False).alias("lost")))
     originals = clean.join(bad, F.md5("r") == F.col("h"), "left_anti").groupBy("i").agg(F.min("r").alias("r"))
     out = found.join(originals, "i", "left")
     return out.select(

@@ -58,6 +58,39 @@ def test_empty_and_repeated(spark):
     assert [r.restored for r in got] == [row[1].replace("Ã©", "é").replace("Ã¯", "ï")] * 2
 
 
+def run(spark, rows):
+    return {r.id: r for r in garbled(spark.createDataFrame(rows, "doc long, text string"), ident=F.col("doc"), text=F.col("text")).collect()}
+
+
+def test_copies_of_a_garbled_text_do_not_make_its_characters_unusual(spark):
+    rnd = random.Random(1)
+    rows = [(i, clean_text(rnd)) for i in range(200)]
+    rows += [(300 + i, f"Den gode smørrebrød number {i} is on the menu of the day.") for i in range(10)]
+    rows += [(400 + i, garble("One and the same notice about smørrebrød, sent over and over.", "utf-8", "cp1252")) for i in range(60)]
+    rows += [(500, garble("Another text that has smørrebrød as well, without a twin.", "utf-8", "cp1252"))]
+    assert run(spark, rows).keys() == {*range(400, 460), 500}
+
+
+def test_what_twins_prove_is_not_refused(spark):
+    rnd = random.Random(2)
+    rows = [(i, clean_text(rnd)) for i in range(200)]
+    rows += [(300 + i, garble(rows[i][1], "utf-8", "cp1252")) for i in range(40)]
+    rows += [(400, "The place called Ŵyre has a clean notice of its own here."), (401, garble("The place called Ŵyre has a clean notice of its own here.", "utf-8", "cp1252"))]
+    rows += [(410 + i, garble(f"Nobody else writes of Ŵyre, in {i} texts without any twin.", "utf-8", "cp1252")) for i in range(5)]
+    assert {401, *range(410, 415)} <= run(spark, rows).keys()
+
+
+def test_a_clean_twin_brings_a_record_back(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice(RUSSIAN) for _ in range(20)) + f" {rnd.randrange(10**6)} and so on and so forth.") for i in range(200)]
+    rows += [(300 + i, garble(rows[i][1], "cp1251", "latin-1")) for i in range(20)]
+    short = "The only word of the answer was Да and nothing more."
+    rows += [(400, short), (401, garble(short, "cp1251", "latin-1"))]
+    got = run(spark, rows)
+    assert got.keys() == {*range(300, 320), 401}
+    assert got[401].restored == short and got[401].by_twin and not got[401].lost and got[401].n_stretches == 1
+
+
 def test_alignment_and_undo():
     assert aligned_runs("SÃ£o é â€“ x", "São é – x") == {("Ã£", "ã"), ("â€“", "–")}
     assert aligned_runs("ï»¿a", "a") == {("ï»¿", "")}
