@@ -23,15 +23,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where(often).select(F.col("item_a").alias("symbol_a"), F.col("item_b").alias("symbol_b"))
 
 
-def p4_association(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and association of all pairs that share at least 4 articles, articles of any width included."""
-    pairs = cooccurrence(table(spark, sf_dir, "news_symbol"), basket=F.col("article_id"), item=norm_symbol(F.col("symbol")), min_count=4)
+def _association(spark: SparkSession, sf_dir: str, min_count: int) -> DataFrame:
+    pairs = cooccurrence(table(spark, sf_dir, "news_symbol"), basket=F.col("article_id"), item=norm_symbol(F.col("symbol")), min_count=min_count)
     return pairs.select(
         F.col("item_a").alias("symbol_a"), F.col("item_b").alias("symbol_b"), "n_ab", "n_a", "n_b", "n_baskets", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi")
     )
 
 
-QUERIES = {"p4_found": p4_found, "p4_association": p4_association}
+def p4_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and association of all pairs that share at least 4 articles, articles of any width included."""
+    return _association(spark, sf_dir, 4)
+
+
+def p4_association_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all pairs that share an article."""
+    return _association(spark, sf_dir, 1)
+
+
+QUERIES = {"p4_found": p4_found, "p4_association": p4_association, "p4_association_all": p4_association_all}
 
 _TAGS = """WITH tags AS (SELECT DISTINCT article_id, upper(trim(symbol)) AS symbol FROM news_symbol WHERE article_id IS NOT NULL AND trim(symbol) <> ''),
 t AS (SELECT * FROM tags {}),
@@ -45,3 +54,4 @@ ORACLE = {
     "p4_association": _TAGS.format("")
     + "SELECT *, round(CAST(n_ab AS DOUBLE) * n_baskets / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, round(ln(CAST(n_ab AS DOUBLE) * n_baskets / (CAST(n_a AS DOUBLE) * n_b)), 6) AS pmi FROM x",
 }
+ORACLE["p4_association_all"] = ORACLE["p4_association"].replace(" HAVING count(*) >= 4", "")

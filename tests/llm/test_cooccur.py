@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import cooccur
 from orrery.llm.cooccur import cooccurrence
+from orrery.llm.q_pairs import QUERIES
 
 
 def brute(rows, max_basket=None):
@@ -51,3 +52,10 @@ def test_scores_and_min_count(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_association_of_all_pairs_has_rare_ones(spark, tmp_path):
+    rows = [(b, i) for b, items in enumerate(["ab", "ab", "ab", "ab", "cd", "e"]) for i in items]
+    spark.createDataFrame(rows, "article_id long, symbol string").write.parquet(str(tmp_path / "news_symbol.parquet"))
+    got = {(r.symbol_a, r.symbol_b): (r.n_ab, r.lift) for r in QUERIES["p4_association_all"](spark, str(tmp_path)).collect()}
+    assert got == {("A", "B"): (4, 1.5), ("C", "D"): (1, 6.0)}
