@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.panel import correlation
@@ -145,6 +145,48 @@ def lagged_blocked(window: DataFrame, lags: list[int], *, first: int, width: int
     return cells.groupBy("lo", "hi").applyInPandas(product, "lag int, x string, y string, corr double")
 
 
+def lagged_pearson(window: DataFrame, lags: list[int], *, first: int, width: int, top: int, min_n: int = 0, block: int = 128) -> DataFrame:
+    """(lag, x, y, c, n): the ``top`` correlations of x with y ``lag`` sessions later at each lag, by size, x and y.
+
+    Pearson's over the n sessions of ``window`` (symbol, i, r) in which both have returns, to 9 digits; pairs of
+    fewer than ``min_n`` are left out, those without a correlation come last. Each product of blocks gives its own
+    ``top``, of which the overall ones are part.
+    """
+
+    def product(f: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(f, width)
+        there = np.zeros(x.shape)
+        for row, k in enumerate(f["k"]):
+            there[row, np.asarray(k, int)] = 1.0
+        m = ~np.isnan(x)
+        n = np.maximum(m.sum(axis=1, keepdims=True), 1)
+        z = np.where(m, x - np.where(m, x, 0.0).sum(axis=1, keepdims=True) / n, 0.0)
+        m = m.astype(float)
+        names, own = f["symbol"].to_numpy(), f["own"].to_numpy()
+        lo, hi = f["lo"].iat[0], f["hi"].iat[0]
+        p, q = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        out = []
+        for lag in lags:
+            for a, b in ((p, q), (q, p))[: 1 if lo == hi else 2]:
+                za, ma, zb, mb = z[a, : max(width - lag, 0)], m[a, : max(width - lag, 0)], z[b, lag:], m[b, lag:]
+                with np.errstate(all="ignore"):
+                    n = ma @ mb.T
+                    sa, sb, qa, qb = za @ mb.T, ma @ zb.T, (za * za) @ mb.T, ma @ (zb * zb).T
+                    va, vb = qa - sa * sa / n, qb - sb * sb / n
+                    c = np.where((va > 1e-12 * qa) & (vb > 1e-12 * qb), (za @ zb.T - sa * sb / n) / np.sqrt(va * vb), np.nan)
+                i, j = np.nonzero((there[a, : max(width - lag, 0)] @ there[b, lag:].T > 0) & (n >= min_n))
+                other = a[i] != b[j]
+                i, j = i[other], j[other]
+                r = pd.DataFrame({"lag": lag, "x": names[a[i]], "y": names[b[j]], "c": np.round(c[i, j], 9), "n": n[i, j].astype(int)})
+                out.append(r.assign(s=-r["c"].abs()).sort_values(["s", "x", "y"]).head(top).drop(columns="s"))
+        return pd.concat(out)
+
+    cells = _cells(window.select("symbol", "i", F.coalesce("r", F.lit(float("nan"))).alias("v")), first, block)
+    some = cells.groupBy("lo", "hi").applyInPandas(product, "lag int, x string, y string, c double, n long").withColumn("c", F.nanvl("c", F.lit(None).cast("double")))
+    k = F.row_number().over(Window.partitionBy("lag").orderBy(F.abs("c").desc_nulls_last(), "x", "y"))
+    return some.withColumn("k", k).where(F.col("k") <= top).drop("k")
+
+
 def lagged(window: DataFrame, lags: list[int]) -> DataFrame:
     """(lag, x, y, corr): correlation of x with y ``lag`` sessions later, over standardised values z (0 where missing) of ``window`` (symbol, i, z)."""
     y = window.select(F.col("symbol").alias("y"), F.col("i").alias("j"), F.col("z").alias("zy"))

@@ -112,6 +112,11 @@ def sign_test(k: int, n: int) -> float:
     return min(1.0, 2 * tail)
 
 
+def binomial_greater(k: int, n: int) -> float:
+    """One-sided p of k successes or more in n fair trials."""
+    return sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n
+
+
 def bootstrap_mean(df: DataFrame, value: str, *, replicates: int = 200, seed: int = 0) -> DataFrame:
     """(mean, lo, hi): a 95 % interval of the mean, from Poisson-weighted replicates that need no resampling of rows."""
     d = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("id"))

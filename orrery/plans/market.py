@@ -219,6 +219,13 @@ def a25_lagged(spark, sf_dir):
     return lagged(_standardised(bar_panel(spark, sf_dir)), [1, 2, 5]).where(F.abs("corr") >= 0.25).select("lag", "x", "y", *_r("corr", digits=7))
 
 
+def a25_lagged_all(spark, sf_dir):
+    """The same at lags of 1, 2, 3, 5 and 10 sessions."""
+    p = durable(bar_panel(spark, sf_dir))
+    n = (p.agg(F.max("i")).first()[0] or 0) + 1
+    return lagged_blocked(_standardised(p), [1, 2, 3, 5, 10], first=0, width=n, least=0.25).select("lag", "x", "y", *_r("corr", digits=7))
+
+
 def w3_rolling_sigma(spark, sf_dir):
     """Deviation over the last 20 rows where all of them have returns."""
     w = Window.partitionBy("symbol").orderBy("i").rowsBetween(-19, 0)
@@ -245,7 +252,7 @@ def e20_default_as_of(spark, sf_dir):
 
 _FUNCS = (
     s1_bar_scan, s2_closes_panel, s5_liquid_symbols, s6_listing_filter, s7_most_liquid, p2_log_returns, p4_window_ends, p7_session_available, p10_coverage, p16_funds, j2_comovement, j2_comovement_blocked,
-    a5_market_scan, g5_followers, n2_neighbourhood, n4_leader_state, n6_evidence, n10_verdicts, n7_quant, n8_day_trade, a22_market_excess, a25_lagged, a25_lagged_blocked, w3_rolling_sigma, w4_forward_sum, w8_blocks, e20_default_as_of,
+    a5_market_scan, g5_followers, n2_neighbourhood, n4_leader_state, n6_evidence, n10_verdicts, n7_quant, n8_day_trade, a22_market_excess, a25_lagged_all, a25_lagged, a25_lagged_blocked, w3_rolling_sigma, w4_forward_sum, w8_blocks, e20_default_as_of,
 )
 #: Names of data-preparation problems are pN_...; these are the survey's, so P becomes f (filter).
 QUERIES = {("f" + f.__name__[1:] if f.__name__[0] == "p" else f.__name__): f for f in _FUNCS}
@@ -334,6 +341,7 @@ SELECT lag, x.symbol AS x, y.symbol AS y, round(sum(x.z * y.z) / count(*), 7) AS
     "e20_default_as_of": f"WITH {PANEL} SELECT strftime(max(d), '%Y-%m-%d') AS as_of, count(DISTINCT d) AS n_sessions, count(DISTINCT symbol) AS n_symbols FROM p",
 }
 ORACLE["a25_lagged_blocked"] = ORACLE["a25_lagged"]
+ORACLE["a25_lagged_all"] = ORACLE["a25_lagged"].replace("[1, 2, 5]", "[1, 2, 3, 5, 10]")
 _VERDICT = f"""{_EVID}, sm AS (SELECT cid, round_even(sum(weight), 3) AS eff, sum(CASE WHEN supports THEN CAST(round_even(weight, 4) AS DECIMAL(12,4)) ELSE 0 END) AS pro, sum(CASE WHEN supports THEN 0 ELSE CAST(round_even(weight, 4) AS DECIMAL(12,4)) END) AS con,
   count(*) FILTER (WHERE supports) AS np, count(*) FILTER (WHERE NOT supports) AS nc FROM evid GROUP BY cid),
 vd AS (SELECT c.*, CASE WHEN coalesce(eff, 0) < 1 THEN 'neutral' WHEN pro > con THEN 'corroborated' WHEN con > pro THEN 'contradicted' ELSE 'neutral' END AS verdict, coalesce(eff, 0.0) AS eff, coalesce(np, 0) AS np, coalesce(nc, 0) AS nc FROM cand c JOIN (SELECT DISTINCT cid FROM near) USING (cid) LEFT JOIN sm USING (cid))"""

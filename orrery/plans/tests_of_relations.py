@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators import statistics as st
+from orrery.operators.comovement import lagged_pearson
 from orrery.operators.panel import correlation
 from orrery.plans.market import CORR, PANEL, bar_panel, bars
 from orrery.plans.relations import _SUPPLY, supply_edges
@@ -95,6 +96,47 @@ def e8_lagged_signs(spark, sf_dir, top=200):
     return best.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.signum("c1") == F.signum("c2")).alias("n_agree"), F.round(F.avg(F.abs("c1")), 7).alias("mean_first"), F.round(F.avg(F.abs("c2")), 7).alias("mean_second"))
 
 
+#: Lags in sessions of the lag matrix.
+LAGS = (1, 2, 3, 5, 10)
+
+
+def lagged_pairs(pairs: DataFrame, p: DataFrame) -> DataFrame:
+    """(x, y, lag, c, n): correlation of x with y ``lag`` sessions later in ``p`` (symbol, i, r), for the distinct ``pairs`` (x, y, lag) with such sessions."""
+    x = pairs.join(p.select(F.col("symbol").alias("x"), "i", F.col("r").alias("rx")), "x")
+    y = p.select(F.col("symbol").alias("y"), F.col("i").alias("j"), F.col("r").alias("ry"))
+    both = x.withColumn("j", F.col("i") + F.col("lag")).join(y, ["y", "j"])
+    return both.groupBy("x", "y", "lag").agg(F.round(correlation(F.col("rx"), F.col("ry")), 9).alias("c"), F.count(F.col("rx") + F.col("ry")).alias("n"))
+
+
+def halves(spark, sf_dir) -> tuple[DataFrame, DataFrame, int]:
+    """The panel (symbol, i, r) of the first and of the second half of all sessions, and the session where this begins."""
+    p = durable(bar_panel(spark, sf_dir).select("symbol", "i", "r"))
+    half = ((p.agg(F.max("i")).first()[0] or 0) + 1) // 2
+    return p.where(F.col("i") < half), p.where(F.col("i") >= half), half
+
+
+def e8_lag_matrix(spark, sf_dir, top=1000):
+    """Whether the ``top`` correlations of the first half at each lag keep their sign in the second, against the second with its sessions shuffled.
+
+    ``p`` is that of as many agreeing signs or more by chance. ``holds`` is the
+    reference's rule: 60 % agree, with a mean of 0.03 and more and p under 0.01,
+    and the shuffled sessions stay more than 2 points behind.
+    """
+    first, second, half = halves(spark, sf_dir)
+    best = durable(lagged_pearson(first, list(LAGS), first=0, width=half, top=top).select("x", "y", "lag", F.col("c").alias("c1")))
+    place = second.select("i").distinct().withColumn("k", F.row_number().over(Window.orderBy(F.md5(F.col("i").cast("string")), "i")))  # a calendar is small
+    shuffled = second.join(F.broadcast(place), "i").select("symbol", F.col("k").alias("i"), "r")
+    pairs = best.select("x", "y", "lag")
+    out = best.join(lagged_pairs(pairs, second).select("x", "y", "lag", F.col("c").alias("c2")), ["x", "y", "lag"], "left")
+    out = out.join(lagged_pairs(pairs, shuffled).select("x", "y", "lag", F.col("c").alias("c0")), ["x", "y", "lag"], "left")
+    same = lambda c: F.count_if(F.signum("c1") == F.signum(c))
+    per = out.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), same("c2").alias("n_agree"), same("c0").alias("n_shuffled"), F.round(F.avg(F.abs("c1")), 7).alias("mean_first"), F.round(F.avg(F.abs("c2")), 7).alias("mean_second"))
+    rows = [(*r, round(st.binomial_greater(r.n_agree, r.n), 9)) for r in per.collect()]  # one a lag
+    out = spark.createDataFrame(rows, "lag int, n long, n_agree long, n_shuffled long, mean_first double, mean_second double, p double")
+    holds = (10 * F.col("n_agree") >= 6 * F.col("n")) & (F.col("mean_second") >= 0.03) & (F.col("p") < 0.01) & (50 * F.col("n_shuffled") < 50 * F.col("n_agree") - F.col("n"))
+    return out.withColumn("holds", F.coalesce(holds, F.lit(False)))
+
+
 def e4_horizons(spark, sf_dir):
     """Excess returns compounded over blocks of 2, 5 and 10 sessions after a move of 2 deviations, by its sign."""
     e = durable(excess(spark, sf_dir))
@@ -150,7 +192,7 @@ def a43_labels(spark, sf_dir):
     return table(spark, sf_dir, "filing_mention").groupBy(F.coalesce(F.lower(F.trim("relation")), F.lit("")).alias("relation"), F.coalesce(F.lower(F.trim("confidence")), F.lit("")).alias("confidence")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("filer_ticker").alias("n_filers"))
 
 
-_FUNCS = (a19_first_events, a26_bands, a27_auc, a28_deciles, a30_clustered_mean, a37_concentration, a43_labels, e4_horizons, e5_chain_lag, e6_pooled_lag, e8_lagged_signs, e14_intraday_lag, e15_round_trips)
+_FUNCS = (a19_first_events, a26_bands, a27_auc, a28_deciles, a30_clustered_mean, a37_concentration, a43_labels, e4_horizons, e5_chain_lag, e6_pooled_lag, e8_lag_matrix, e8_lagged_signs, e14_intraday_lag, e15_round_trips)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _PAIRS = f"""{PANEL}, hf AS (SELECT (max(i) + 1) // 2 AS h FROM p),
@@ -177,6 +219,15 @@ ORACLE = {
     "e8_lagged_signs": f"""WITH {PANEL}, hf AS (SELECT (max(i) + 1) // 2 AS h FROM p), c AS (SELECT lag, x.symbol AS x, y.symbol AS y, round({CORR.format(x='CASE WHEN y.i < h THEN x.r END', y='CASE WHEN y.i < h THEN y.r END')}, 9) AS c1, round({CORR.format(x='CASE WHEN x.i >= h THEN x.r END', y='CASE WHEN x.i >= h THEN y.r END')}, 9) AS c2
   FROM p x JOIN (SELECT unnest([1, 2, 5]) AS lag) l ON true JOIN p y ON y.i = x.i + lag AND y.symbol <> x.symbol JOIN hf ON true GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY lag ORDER BY abs(c1) DESC NULLS LAST, x, y) AS k FROM c)
 SELECT lag, count(*) AS n, count(*) FILTER (WHERE sign(c1) = sign(c2)) AS n_agree, round(avg(abs(c1)), 7) AS mean_first, round(avg(abs(c2)), 7) AS mean_second FROM k WHERE k <= 200 GROUP BY lag""",
+    "e8_lag_matrix": f"""WITH {PANEL}, hf AS (SELECT (max(i) + 1) // 2 AS h FROM p), l AS (SELECT unnest([1, 2, 3, 5, 10]) AS lag),
+c1 AS (SELECT lag, x.symbol AS x, y.symbol AS y, round({CORR.format(x='x.r', y='y.r')}, 9) AS c1 FROM p x JOIN l ON true JOIN p y ON y.i = x.i + lag AND y.symbol <> x.symbol JOIN hf ON y.i < h GROUP BY ALL),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lag ORDER BY abs(c1) DESC NULLS LAST, x, y) AS k FROM c1) WHERE k <= 1000),
+s AS (SELECT p.* FROM p JOIN hf ON i >= h), pl AS (SELECT i, row_number() OVER (ORDER BY md5(CAST(i AS VARCHAR)), i) AS k FROM (SELECT DISTINCT i FROM s)), sh AS (SELECT symbol, k AS i, r FROM s JOIN pl USING (i)),
+c2 AS (SELECT lag, x, y, round({CORR.format(x='a.r', y='b.r')}, 9) AS c2 FROM k JOIN s a ON a.symbol = x JOIN s b ON b.symbol = y AND b.i = a.i + lag GROUP BY ALL),
+c0 AS (SELECT lag, x, y, round({CORR.format(x='a.r', y='b.r')}, 9) AS c0 FROM k JOIN sh a ON a.symbol = x JOIN sh b ON b.symbol = y AND b.i = a.i + lag GROUP BY ALL),
+g AS (SELECT lag, count(*) AS n, count(*) FILTER (WHERE sign(c1) = sign(c2)) AS n_agree, count(*) FILTER (WHERE sign(c1) = sign(c0)) AS n_shuffled, round(avg(abs(c1)), 7) AS mean_first, round(avg(abs(c2)), 7) AS mean_second FROM k LEFT JOIN c2 USING (lag, x, y) LEFT JOIN c0 USING (lag, x, y) GROUP BY lag),
+t AS (SELECT *, round(list_sum(list_transform(generate_series(n_agree, n), lambda m: exp(lgamma(n + 1) - lgamma(m + 1) - lgamma(n - m + 1) - n * ln(2)))), 9) AS p FROM g)
+SELECT *, coalesce(10 * n_agree >= 6 * n AND mean_second >= 0.03 AND p < 0.01 AND 50 * n_shuffled < 50 * n_agree - n, false) AS holds FROM t""",
     "e14_intraday_lag": """WITH b AS (SELECT event_type AS key, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS t, CAST(count(*) AS DOUBLE) AS v FROM events WHERE ts IS NOT NULL GROUP BY ALL),
 c AS (SELECT y.key, lag, covar_pop(x.v, y.v) / nullif(stddev_pop(x.v) * stddev_pop(y.v), 0) AS corr, count(*) AS n FROM b x JOIN (SELECT unnest(generate_series(-6, 6)) AS lag) l ON true JOIN b y ON y.t = x.t + lag AND y.key <> 'purchase' WHERE x.key = 'purchase' GROUP BY ALL)
 SELECT key AS event_type, CAST(lag AS INTEGER) AS lag, round(corr, 7) AS corr, n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(abs(corr), 12) DESC, lag) AS k FROM c WHERE n >= 12 AND corr IS NOT NULL) WHERE k = 1""",
