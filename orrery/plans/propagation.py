@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from orrery.operators import evidence as ev
 from orrery.operators import statistics as st
+from orrery.operators.comovement import lagged_pearson
 from orrery.operators.panel import correlation
 from orrery.plans.market import _VERDICT, CORR, PANEL, bar_panel, candidates
 from orrery.plans.relations import _SUPPLY, _TAGS, _pmi_sql, dated_tags, pmi_edges, supply_edges
-from orrery.plans.tests_of_relations import _EX, excess
+from orrery.plans.tests_of_relations import _EX, excess, halves, lagged_pairs
 from orrery.sources.durable import durable
 
 
@@ -141,6 +142,38 @@ def e9_chains(spark, sf_dir, top=100):
     return chains.join(later, ["x", "z"]).agg(F.count(F.lit(1)).alias("n_chains"), F.count_if(F.signum(F.col("c1") * F.col("c2")) == F.signum("c3")).alias("n_agree"), F.round(F.avg(F.abs("c3")), 7).alias("mean_abs"))
 
 
+def _draw(k, salt: str):
+    """A number of 32 bits that ``k`` gives."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(salt), k.cast("string"))), 1, 8), 16, 10).cast("long")
+
+
+def e9_lag_chains(spark, sf_dir, top=300):
+    """Whether x leads z by three sessions alike in both halves, for chains of the ``top`` links x, y at lag 1 and y, z at lag 2 of the first, and for as many random pairs.
+
+    ``p`` is that of as many agreeing signs of chains or more by chance. Pairs
+    without a correlation in both halves (30 sessions at least) aren't tested.
+    """
+    first, second, half = halves(spark, sf_dir)
+    legs = durable(lagged_pearson(first, [1, 2], first=0, width=half, top=top, min_n=30).where("c IS NOT NULL"))
+    one, two = legs.where("lag = 1").select("x", "y"), legs.where("lag = 2").select(F.col("x").alias("y"), F.col("y").alias("z"))
+    chains = one.join(two, "y").where("z <> x").select(F.lit("chain").alias("kind"), "x", F.col("z").alias("y"))
+    names = first.union(second).where("r IS NOT NULL").select("symbol").distinct().withColumn("at", F.row_number().over(Window.orderBy("symbol")) - 1)  # a list of symbols is small
+    m = names.agg(F.count(F.lit(1)).alias("m")).first()[0]
+    n = chains.count()
+    k = F.col("id")
+    at = F.pmod(_draw(k, "x"), F.lit(max(m, 1)))
+    draws = spark.range(n if m > 1 else 0).select(at.alias("at"), F.pmod(at + 1 + F.pmod(_draw(k, "z"), F.lit(max(m - 1, 1))), F.lit(max(m, 1))).alias("to"))
+    random = draws.join(names.withColumnRenamed("symbol", "x"), "at").join(names.select(F.col("at").alias("to"), F.col("symbol").alias("y")), "to").select(F.lit("random").alias("kind"), "x", "y")
+    both = durable(chains.unionByName(random).withColumn("lag", F.lit(3)))
+    pairs = both.select("x", "y", "lag").distinct()
+    c = lambda p, name: lagged_pairs(pairs, p).where("n >= 30").select("x", "y", F.col("c").alias(name))
+    t = both.join(c(first, "c1"), ["x", "y"], "left").join(c(second, "c2"), ["x", "y"], "left")
+    ok = F.col("c1").isNotNull() & F.col("c2").isNotNull()
+    per = t.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_tested"), F.count_if(F.signum("c1") == F.signum("c2")).alias("n_agree"), F.round(F.avg(F.when(ok, F.abs("c1"))), 7).alias("mean_first"), F.round(F.avg(F.when(ok, F.abs("c2"))), 7).alias("mean_second"))
+    rows = [(*r, round(st.binomial_greater(r.n_agree, r.n_tested), 9)) for r in per.collect()]  # two
+    return spark.createDataFrame(rows, "kind string, n long, n_tested long, n_agree long, mean_first double, mean_second double, p double")
+
+
 def e11_shock_partners(spark, sf_dir):
     """Next-session excess return, signed by the shock, of suppliers of shocked customers against that of all others that day."""
     first = supply_edges(spark, sf_dir).groupBy("src", "dst").agg(F.min("day").alias("first")).where("src <> dst")
@@ -173,7 +206,7 @@ def f18_split(spark, sf_dir):
     return out.withColumn("apart", F.when(F.col("part") == "discovery", F.col("last")).otherwise(F.col("first")) >= 0)
 
 
-_FUNCS = (j9_hop_map, e10_hop_horizon, e10_interaction, e1_threshold_test, e3_verdict_returns, j18_month_pmi, e7_comention_lead, e9_chains, e11_shock_partners, w7_growth, f17_liquid_sigma, f18_split)
+_FUNCS = (j9_hop_map, e10_hop_horizon, e10_interaction, e1_threshold_test, e3_verdict_returns, j18_month_pmi, e7_comention_lead, e9_chains, e9_lag_chains, e11_shock_partners, w7_growth, f17_liquid_sigma, f18_split)
 QUERIES = {f.__name__: f for f in _FUNCS}
 _HOP = """fe AS (SELECT src, dst, min(day) AS day FROM sup WHERE src <> dst GROUP BY ALL), h1 AS (SELECT dst AS lead, src AS member, 1 AS hop, day AS since FROM fe),
 h2 AS (SELECT h1.lead, fe.src AS member, 2 AS hop, min(greatest(h1.since, fe.day)) AS since FROM h1 JOIN fe ON fe.dst = h1.member AND fe.src <> h1.lead WHERE NOT EXISTS (SELECT 1 FROM h1 q WHERE q.lead = h1.lead AND q.member = fe.src) GROUP BY ALL),
@@ -194,6 +227,16 @@ x AS (SELECT bt.symbol, e.i, avg(e.x) AS x FROM bt JOIN ex e ON e.symbol = partn
     "e9_chains": f"""WITH {PANEL}, hf AS (SELECT (max(i) + 1) // 2 AS h FROM p), l1 AS (SELECT x.symbol AS x, y.symbol AS y, round({CORR.format(x='x.r', y='y.r')}, 9) AS c FROM p x JOIN p y ON y.i = x.i + 1 AND y.symbol <> x.symbol JOIN hf ON x.i < h AND y.i < h GROUP BY ALL HAVING count(x.r + y.r) >= 30),
 lg AS (SELECT * FROM l1 WHERE c IS NOT NULL ORDER BY abs(c) DESC, x, y LIMIT 100), l2 AS (SELECT x.symbol AS x, y.symbol AS z, round({CORR.format(x='x.r', y='y.r')}, 9) AS c FROM p x JOIN p y ON y.i = x.i + 2 AND y.symbol <> x.symbol JOIN hf ON x.i >= h AND y.i >= h GROUP BY ALL HAVING count(x.r + y.r) >= 30)
 SELECT count(*) AS n_chains, count(*) FILTER (WHERE sign(a.c * b.c) = sign(l2.c)) AS n_agree, round(avg(abs(l2.c)), 7) AS mean_abs FROM lg a JOIN lg b ON b.x = a.y AND b.y <> a.x JOIN l2 ON l2.x = a.x AND l2.z = b.y AND l2.c IS NOT NULL""",
+    "e9_lag_chains": f"""WITH {PANEL}, hf AS (SELECT (max(i) + 1) // 2 AS h FROM p), f AS (SELECT p.* FROM p JOIN hf ON i < h), s AS (SELECT p.* FROM p JOIN hf ON i >= h),
+l AS (SELECT lag, x.symbol AS x, y.symbol AS y, round({CORR.format(x='x.r', y='y.r')}, 9) AS c FROM f x JOIN (SELECT unnest([1, 2]) AS lag) l ON true JOIN f y ON y.i = x.i + lag AND y.symbol <> x.symbol GROUP BY ALL HAVING count(x.r + y.r) >= 30),
+lg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lag ORDER BY abs(c) DESC, x, y) AS k FROM l WHERE c IS NOT NULL) WHERE k <= 300),
+ch AS (SELECT a.x, b.y FROM lg a JOIN lg b ON a.lag = 1 AND b.lag = 2 AND b.x = a.y AND b.y <> a.x), nm AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS a, count(*) OVER () AS m FROM (SELECT DISTINCT symbol FROM p WHERE r IS NOT NULL)),
+d AS (SELECT k, CAST('0x' || md5('x' || k)[1:8] AS BIGINT) AS u, CAST('0x' || md5('z' || k)[1:8] AS BIGINT) AS v FROM (SELECT unnest(range(0, (SELECT count(*) FROM ch))) AS k)),
+rd AS (SELECT a.symbol AS x, b.symbol AS y FROM d JOIN nm a ON a.a = u % a.m JOIN nm b ON b.a = (u % b.m + 1 + v % (b.m - 1)) % b.m),
+al AS (SELECT 'chain' AS kind, * FROM ch UNION ALL SELECT 'random', * FROM rd), pr AS (SELECT DISTINCT x, y FROM al),
+{", ".join(f"c{k} AS (SELECT pr.x, pr.y, round({CORR.format(x='a.r', y='b.r')}, 9) AS c{k} FROM pr JOIN {t} a ON a.symbol = pr.x JOIN {t} b ON b.symbol = pr.y AND b.i = a.i + 3 GROUP BY ALL HAVING count(a.r + b.r) >= 30)" for k, t in ((1, "f"), (2, "s")))},
+g AS (SELECT kind, count(*) AS n, count(c1 + c2) AS n_tested, count(*) FILTER (WHERE sign(c1) = sign(c2)) AS n_agree, round(avg(CASE WHEN c2 IS NOT NULL THEN abs(c1) END), 7) AS mean_first, round(avg(CASE WHEN c1 IS NOT NULL THEN abs(c2) END), 7) AS mean_second FROM al LEFT JOIN c1 USING (x, y) LEFT JOIN c2 USING (x, y) GROUP BY kind)
+SELECT *, round(list_sum(list_transform(generate_series(n_agree, n_tested), lambda m: exp(lgamma(n_tested + 1) - lgamma(m + 1) - lgamma(n_tested - m + 1) - n_tested * ln(2)))), 9) AS p FROM g""",
     "e11_shock_partners": f"""WITH {_EX}, {_SUPPLY}, {_SHOCK}, fe AS (SELECT src, dst, min(day) AS first FROM sup WHERE src <> dst GROUP BY ALL), pt AS (SELECT s.i, dst, sign(z) AS sg, avg(e.x) AS yp FROM sh s JOIN fe ON dst = s.symbol AND first <= s.d JOIN ex e ON e.symbol = src AND e.i = s.i + 1 GROUP BY ALL),
 al AS (SELECT i - 1 AS i, avg(x) AS ya FROM ex GROUP BY 1), t AS (SELECT i, sg * (yp - ya) AS diff FROM pt JOIN al USING (i)), g AS (SELECT i, sum(diff - (SELECT avg(diff) FROM t)) AS u, sum(diff) AS s, count(*) AS k FROM t GROUP BY i)
 SELECT round(sum(s) / sum(k), 8) AS mean, round(sqrt(sum(u * u)) / sum(k), 8) AS se, coalesce(CAST(sum(k) AS BIGINT), 0) AS n, count(*) AS n_clusters FROM g""",

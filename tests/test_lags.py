@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from orrery.operators import statistics as st
+from orrery.plans import propagation
 from orrery.plans.tests_of_relations import QUERIES
 
 
@@ -29,5 +30,18 @@ def test_every_lag_is_held_against_shuffled_sessions(spark, market):
     assert {r.n for r in many.values()} == {56} and not any(r.holds for r in many.values())
 
 
+def test_chains_of_two_different_lags_are_held_against_random_pairs(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    r = rng.normal(0, 0.01, (240, 12))
+    r[1:, 1] = r[:-1, 0] + rng.normal(0, 0.001, 239)
+    r[2:, 2] = r[:-2, 1] + rng.normal(0, 0.001, 238)
+    close = 100 * np.cumprod(1 + r, axis=0)
+    spark.createDataFrame([(f"S{k}", date(2024, 1, 1) + timedelta(days=i), float(close[i, k])) for i in range(240) for k in range(12)], "symbol string, date date, close double").write.parquet(str(tmp_path / "bar.parquet"))
+    got = {r.kind: r for r in propagation.QUERIES["e9_lag_chains"](spark, str(tmp_path), top=1).collect()}
+    assert got["chain"].n == got["chain"].n_agree == got["random"].n == 1 and got["chain"].mean_second > 0.9 and got["chain"].p == 0.5
+    wide = {r.kind: r for r in propagation.QUERIES["e9_lag_chains"](spark, str(tmp_path)).collect()}
+    assert wide["chain"].n == wide["random"].n == 12 * 11 * 10 and wide["chain"].mean_second < 0.2
+
+
 def test_binomial_greater():
     assert st.binomial_greater(0, 5) == 1 and st.binomial_greater(5, 5) == 1 / 32 and st.binomial_greater(3, 4) == 5 / 16 and st.binomial_greater(0, 0) == 1
