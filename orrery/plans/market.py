@@ -228,9 +228,18 @@ def a25_lagged_all(spark, sf_dir):
 
 def w3_rolling_sigma(spark, sf_dir):
     """Deviation over the last 20 rows where all of them have returns."""
-    w = Window.partitionBy("symbol").orderBy("i").rowsBetween(-19, 0)
+    return _rolling_sigma(spark, sf_dir, 20)
+
+
+def w3_rolling_sigma_60(spark, sf_dir):
+    """The same over the last 60."""
+    return _rolling_sigma(spark, sf_dir, 60)
+
+
+def _rolling_sigma(spark, sf_dir, rows: int) -> DataFrame:
+    w = Window.partitionBy("symbol").orderBy("i").rowsBetween(1 - rows, 0)
     p = bar_panel(spark, sf_dir).withColumn("n", F.count("r").over(w)).withColumn("sigma", F.stddev_samp("r").over(w))
-    return p.where("n = 20").select("symbol", "i", F.round("sigma", 8).alias("sigma"))
+    return p.where(F.col("n") == rows).select("symbol", "i", F.round("sigma", 8).alias("sigma"))
 
 
 def w4_forward_sum(spark, sf_dir):
@@ -252,7 +261,7 @@ def e20_default_as_of(spark, sf_dir):
 
 _FUNCS = (
     s1_bar_scan, s2_closes_panel, s5_liquid_symbols, s6_listing_filter, s7_most_liquid, p2_log_returns, p4_window_ends, p7_session_available, p10_coverage, p16_funds, j2_comovement, j2_comovement_blocked,
-    a5_market_scan, g5_followers, n2_neighbourhood, n4_leader_state, n6_evidence, n10_verdicts, n7_quant, n8_day_trade, a22_market_excess, a25_lagged_all, a25_lagged, a25_lagged_blocked, w3_rolling_sigma, w4_forward_sum, w8_blocks, e20_default_as_of,
+    a5_market_scan, g5_followers, n2_neighbourhood, n4_leader_state, n6_evidence, n10_verdicts, n7_quant, n8_day_trade, a22_market_excess, a25_lagged_all, a25_lagged, a25_lagged_blocked, w3_rolling_sigma_60, w3_rolling_sigma, w4_forward_sum, w8_blocks, e20_default_as_of,
 )
 #: Names of data-preparation problems are pN_...; these are the survey's, so P becomes f (filter).
 QUERIES = {("f" + f.__name__[1:] if f.__name__[0] == "p" else f.__name__): f for f in _FUNCS}
@@ -341,6 +350,7 @@ SELECT lag, x.symbol AS x, y.symbol AS y, round(sum(x.z * y.z) / count(*), 7) AS
     "e20_default_as_of": f"WITH {PANEL} SELECT strftime(max(d), '%Y-%m-%d') AS as_of, count(DISTINCT d) AS n_sessions, count(DISTINCT symbol) AS n_symbols FROM p",
 }
 ORACLE["a25_lagged_blocked"] = ORACLE["a25_lagged"]
+ORACLE["w3_rolling_sigma_60"] = ORACLE["w3_rolling_sigma"].replace("ROWS 19 PRECEDING", "ROWS 59 PRECEDING").replace("n = 20", "n = 60")
 ORACLE["a25_lagged_all"] = ORACLE["a25_lagged"].replace("[1, 2, 5]", "[1, 2, 3, 5, 10]")
 _VERDICT = f"""{_EVID}, sm AS (SELECT cid, round_even(sum(weight), 3) AS eff, sum(CASE WHEN supports THEN CAST(round_even(weight, 4) AS DECIMAL(12,4)) ELSE 0 END) AS pro, sum(CASE WHEN supports THEN 0 ELSE CAST(round_even(weight, 4) AS DECIMAL(12,4)) END) AS con,
   count(*) FILTER (WHERE supports) AS np, count(*) FILTER (WHERE NOT supports) AS nc FROM evid GROUP BY cid),

@@ -40,12 +40,26 @@ def shocks_after(spark, sf_dir, sigma: float = 2.0, window: int = 20) -> DataFra
     return e.where((F.col("n") == window) & (F.col("s") >= 1e-3)).withColumn("z", F.col("x") / F.col("s")).where(F.abs("z") >= sigma).select("symbol", "i", "d", "x", "z")
 
 
-def _hop_rows(spark, sf_dir) -> DataFrame:
+def moves_after(spark, sf_dir, sigma: float = 2.0, move: int = 3, trail: int = 60) -> DataFrame:
+    """(symbol, i, d, x, z): excess returns over ``move`` sessions up to i of ``sigma`` and more deviations of the ``trail`` sessions before these.
+
+    All sessions of both windows must have returns. Moves end every ``move``
+    sessions, so that none is counted twice.
+    """
+    w = Window.partitionBy("symbol").orderBy("i")
+    recent, before = w.rangeBetween(1 - move, 0), w.rangeBetween(1 - move - trail, -move)
+    e = excess(spark, sf_dir).withColumns({"m": F.sum("x").over(recent), "k": F.count("x").over(recent), "n": F.count("x").over(before), "s": F.stddev_samp("x").over(before)})
+    z = F.col("x") / (F.col("s") * F.sqrt(F.lit(float(move))))
+    e = e.where((F.col("k") == move) & (F.col("n") == trail) & (F.col("s") >= 1e-3) & (F.col("i") % move == move - 1)).withColumn("x", F.col("m"))
+    return e.withColumn("z", z).where(F.abs("z") >= sigma).select("symbol", "i", "d", "x", "z")
+
+
+def _hop_rows(spark, sf_dir, shocks=shocks_after, horizons=(1, 5)) -> DataFrame:
     """(lead, member, hop, h, i, x, y): a lead's shock and the sum of a member's excess returns over the next h sessions."""
     m = durable(hop_map(durable(supply_edges(spark, sf_dir))))
-    s = shocks_after(spark, sf_dir).withColumnRenamed("symbol", "lead")
+    s = shocks(spark, sf_dir).withColumnRenamed("symbol", "lead")
     e = excess(spark, sf_dir).select(F.col("symbol").alias("member"), F.col("i").alias("j"), F.col("x").alias("y"))
-    hit = m.join(s, "lead").where(F.col("since") <= F.col("d")).select("lead", "member", "hop", "i", "x", F.explode(F.array(F.lit(1), F.lit(5))).alias("h"))
+    hit = m.join(s, "lead").where(F.col("since") <= F.col("d")).select("lead", "member", "hop", "i", "x", F.explode(F.array(*map(F.lit, horizons))).alias("h"))
     j = hit.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("i") + F.col("h")))).join(e, ["member", "j"])
     return j.groupBy("lead", "member", "hop", "h", "i", "x").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).where("n = h")
 
@@ -55,6 +69,12 @@ def e10_hop_horizon(spark, sf_dir):
     return st.slopes(_hop_rows(spark, sf_dir), "x", "y", ["hop", "h"]).select("hop", "h", "n", F.round("slope", 7).alias("slope"), F.round("se", 7).alias("se"))
 
 
+def e10_hop_horizons(spark, sf_dir):
+    """Slope of suppliers' returns over 1, 2, 3, 5 and 10 sessions on their customer's move of 3 sessions, by hops away."""
+    rows = _hop_rows(spark, sf_dir, moves_after, (1, 2, 3, 5, 10))
+    return st.slopes(rows, "x", "y", ["hop", "h"]).select("hop", "h", "n", F.round("slope", 7).alias("slope"), F.round("se", 7).alias("se"))
+
+
 def e10_interaction(spark, sf_dir):
     """Regression of those returns on shock, hop, and both, with errors clustered by session."""
     r = durable(_hop_rows(spark, sf_dir).where("h = 5").withColumn("second", (F.col("hop") - 1).cast("double")).withColumn("x_second", F.col("x") * F.col("second")))
@@ -176,8 +196,16 @@ def e9_lag_chains(spark, sf_dir, top=300):
 
 def e11_shock_partners(spark, sf_dir):
     """Next-session excess return, signed by the shock, of suppliers of shocked customers against that of all others that day."""
+    return _partners(spark, sf_dir, shocks_after(spark, sf_dir))
+
+
+def e11_move_partners(spark, sf_dir):
+    """The same after moves of 3 sessions."""
+    return _partners(spark, sf_dir, moves_after(spark, sf_dir))
+
+
+def _partners(spark, sf_dir, s: DataFrame) -> DataFrame:
     first = supply_edges(spark, sf_dir).groupBy("src", "dst").agg(F.min("day").alias("first")).where("src <> dst")
-    s = shocks_after(spark, sf_dir)
     e = durable(excess(spark, sf_dir))
     nxt = e.select("symbol", (F.col("i") - 1).alias("i"), F.col("x").alias("y"))
     hit = s.select(F.col("symbol").alias("dst"), "i", "d", F.signum("z").alias("sg")).join(first, "dst").where(F.col("first") <= F.col("d"))
@@ -206,12 +234,14 @@ def f18_split(spark, sf_dir):
     return out.withColumn("apart", F.when(F.col("part") == "discovery", F.col("last")).otherwise(F.col("first")) >= 0)
 
 
-_FUNCS = (j9_hop_map, e10_hop_horizon, e10_interaction, e1_threshold_test, e3_verdict_returns, j18_month_pmi, e7_comention_lead, e9_chains, e9_lag_chains, e11_shock_partners, w7_growth, f17_liquid_sigma, f18_split)
+_FUNCS = (j9_hop_map, e10_hop_horizon, e10_hop_horizons, e10_interaction, e1_threshold_test, e3_verdict_returns, j18_month_pmi, e7_comention_lead, e9_chains, e9_lag_chains, e11_shock_partners, e11_move_partners, w7_growth, f17_liquid_sigma, f18_split)
 QUERIES = {f.__name__: f for f in _FUNCS}
 _HOP = """fe AS (SELECT src, dst, min(day) AS day FROM sup WHERE src <> dst GROUP BY ALL), h1 AS (SELECT dst AS lead, src AS member, 1 AS hop, day AS since FROM fe),
 h2 AS (SELECT h1.lead, fe.src AS member, 2 AS hop, min(greatest(h1.since, fe.day)) AS since FROM h1 JOIN fe ON fe.dst = h1.member AND fe.src <> h1.lead WHERE NOT EXISTS (SELECT 1 FROM h1 q WHERE q.lead = h1.lead AND q.member = fe.src) GROUP BY ALL),
 hop AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2)"""
 _SHOCK = """sh AS (SELECT symbol, i, d, x, x / s AS z FROM (SELECT *, count(x) OVER w AS n, stddev_samp(x) OVER w AS s FROM ex WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE n = 20 AND s >= 1e-3 AND abs(x / s) >= 2)"""
+_MOVE = """sh AS (SELECT symbol, i, d, m AS x, m / (s * sqrt(3)) AS z FROM (SELECT *, sum(x) OVER v AS m, count(x) OVER v AS k, count(x) OVER w AS n, stddev_samp(x) OVER w AS s FROM ex
+  WINDOW v AS (PARTITION BY symbol ORDER BY i RANGE BETWEEN 2 PRECEDING AND CURRENT ROW), w AS (PARTITION BY symbol ORDER BY i RANGE BETWEEN 62 PRECEDING AND 3 PRECEDING)) WHERE k = 3 AND n = 60 AND s >= 1e-3 AND i % 3 = 2 AND abs(m / (s * sqrt(3))) >= 2)"""
 _MONTH = """mo AS (SELECT DISTINCT date_trunc('month', d) AS m FROM sess),
 one AS (SELECT m, symbol, CAST(count(*) AS DOUBLE) AS n FROM dt JOIN mo ON day < m GROUP BY ALL HAVING count(*) >= 10), tot AS (SELECT m, CAST(count(DISTINCT article_id) AS DOUBLE) AS t FROM dt JOIN mo ON day < m GROUP BY ALL),
 ab AS (SELECT m, x.symbol AS a, y.symbol AS b, CAST(count(*) AS DOUBLE) AS n FROM dt x JOIN dt y ON x.article_id = y.article_id AND x.symbol < y.symbol JOIN mo ON x.day < m GROUP BY ALL HAVING count(*) >= 5),
@@ -247,3 +277,5 @@ SELECT round(sum(s) / sum(k), 8) AS mean, round(sqrt(sum(u * u)) / sum(k), 8) AS
 y AS (SELECT vd.cid, verdict, direction, h, sum(x) AS x FROM vd JOIN (SELECT unnest([2, 5, 10, 21]) AS h) k ON true JOIN ex ON ex.symbol = vd.symbol AND ex.i > vd.i AND ex.i <= vd.i + h GROUP BY ALL)
 SELECT verdict, h, count(*) AS n, round(avg(CASE WHEN direction = 'up' THEN x ELSE -x END), 8) AS mean_excess FROM y GROUP BY ALL""",
 }
+ORACLE["e10_hop_horizons"] = ORACLE["e10_hop_horizon"].replace(_SHOCK, _MOVE).replace("unnest([1, 5])", "unnest([1, 2, 3, 5, 10])")
+ORACLE["e11_move_partners"] = ORACLE["e11_shock_partners"].replace(_SHOCK, _MOVE)

@@ -1,4 +1,4 @@
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -43,5 +43,19 @@ def test_chains_of_two_different_lags_are_held_against_random_pairs(spark, tmp_p
     assert wide["chain"].n == wide["random"].n == 12 * 11 * 10 and wide["chain"].mean_second < 0.2
 
 
+def test_moves_of_three_sessions_over_sixty(spark, tmp_path):
+    """S0 moves in three small steps, none of them a shock of its own, after 62 and more quiet sessions."""
+    r = np.where(np.arange(120)[:, None] % 2, 0.01, -0.01) * np.array([1, 1, -1, -1])
+    r[81:84, 0] = 0.015
+    close = 100 * np.cumprod(1 + r, axis=0)
+    spark.createDataFrame([(f"S{k}", date(2024, 1, 1) + timedelta(days=i), float(close[i, k])) for i in range(120) for k in range(4)], "symbol string, date date, close double").write.parquet(str(tmp_path / "bar.parquet"))
+    edges = [(k, f"S{k}", "S0", "20", date(2023, 1, 1), "manual", "", datetime(2023, 1, 2)) for k in (1, 2)]
+    spark.createDataFrame(edges, "edge_id long, supplier string, customer string, pct_revenue string, filing_date date, confidence string, passage string, ingested_at timestamp").write.parquet(str(tmp_path / "supply_edge.parquet"))
+    got = [(x.symbol, x.i) for x in propagation.moves_after(spark, str(tmp_path)).collect()]
+    assert got == [("S0", 83)]
+    assert "S0" not in {x.symbol for x in propagation.shocks_after(spark, str(tmp_path)).where("i BETWEEN 81 AND 83").collect()}
+    assert {(x.hop, x.h, x.n) for x in propagation.QUERIES["e10_hop_horizons"](spark, str(tmp_path)).collect()} == {(1, h, 2) for h in (1, 2, 3, 5, 10)}
+
+
 def test_binomial_greater():
     assert st.binomial_greater(0, 5) == 1 and st.binomial_greater(5, 5) == 1 / 32 and st.binomial_greater(3, 4) == 5 / 16 and st.binomial_greater(0, 0) == 1
