@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.garble import garbled
 from orrery.llm.leak import leaked, without_leaks
-from orrery.llm.mixture import mixture, shares
+from orrery.llm.mixture import mixture_of, shares
 from orrery.llm.tokens import TOKENIZER, with_token_counts
 from orrery.sources.tables import table
 
@@ -43,26 +43,27 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "mix_target").select(F.lower(F.trim("source")).alias("src"), F.col("target_share").alias("share"), F.col("max_repeats").cast("long").alias("cap"))
 
 
-def _mix(spark: SparkSession, sf_dir: str, tokenizer: str) -> DataFrame:
+def _mix(spark: SparkSession, sf_dir: str, tokenizer: str) -> tuple[DataFrame, int, list[str]]:
     text = F.col("text")
     # Prose counts for more than tables of figures, and fragments for less.
     letters = F.length(F.regexp_replace(text, r"[^\p{L}\s]", "")) / F.greatest(F.length(text), F.lit(1))
     weight = F.greatest(letters * letters * F.least(F.length(text) / 400, F.lit(1.0)), F.lit(0.05))
     cols = {"src": F.lower(F.trim("source")), "id": F.col("doc_id"), "weight": weight}
-    return mixture(with_token_counts(table(spark, sf_dir, "documents"), text, cols, tokenizer, "size"), _targets(spark, sf_dir))
+    return mixture_of(with_token_counts(table(spark, sf_dir, "documents"), text, cols, tokenizer, "size"), _targets(spark, sf_dir))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """The documents of the mix, each with its tokens and how often it is repeated."""
-    mix = _mix(spark, sf_dir, tokenizer)
+    mix, *_ = _mix(spark, sf_dir, tokenizer)
     return mix.select(F.col("id").alias("doc_id"), F.col("src").alias("source"), F.col("size").alias("n_tokens"), F.col("copies").alias("repeats"))
 
 
 def p8_shares(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Each source's target and actual share of the mix."""
-    out = shares(_mix(spark, sf_dir, tokenizer), _targets(spark, sf_dir))
+    """Each source's target, its actual share of the mix and of the corpus's size, and why it has less than its target."""
+    mix, *rest = _mix(spark, sf_dir, tokenizer)
+    out = shares(mix, _targets(spark, sf_dir), *rest)
     return out.select(
-        F.col("src").alias("source"), "target_share", F.round("actual_share", 6).alias("actual_share"), F.col("size").alias("n_tokens"), F.col("records").alias("n_documents"), F.col("max_copies").alias("max_repeats_used")
+        F.col("src").alias("source"), "target_share", F.round("actual_share", 6).alias("actual_share"), F.round("share_of_total", 6).alias("share_of_total"), F.col("size").alias("n_tokens"), F.col("records").alias("n_documents"), F.col("max_copies").alias("max_repeats_used"), "short"
     )
 
 

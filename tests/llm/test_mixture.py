@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.llm import mixture as mx
-from orrery.llm.mixture import allocate, exponential_key, mixture, shares
+from orrery.llm.mixture import allocate, exponential_key, mixture, mixture_of, shares
 from orrery.llm.tokens import TOKENIZER, with_token_counts
 
 REC = "src string, id long, size long, weight double, digit int, extra int"
@@ -19,7 +19,8 @@ def mix(spark, recs, targets, **kw):
 
 def brute(spark, recs, targets):
     """The same by sorting each source whole."""
-    keys = {r.id: r.key for r in spark.createDataFrame(recs, REC).select("id", exponential_key(F.col("id"), F.col("weight"), 0).alias("key")).collect()}
+    weight = {r[1]: r[3] or 0.0 for r in recs}
+    keys = {r.id: (weight[r.id] <= 0, r.key) for r in spark.createDataFrame(recs, REC).select("id", exponential_key(F.col("id"), F.col("weight"), 0).alias("key")).collect()}
     corpus = sum(r[2] or 0 for r in recs)
     out = {}
     for src, share, cap, _ in targets:
@@ -40,16 +41,23 @@ def brute(spark, recs, targets):
 TARGETS = [("a", 0.5, 9, 1), ("b", 0.2, 2, 1), ("c", 0.3, 1, 1), ("none", 0.0, 3, 1)]
 
 
-@pytest.mark.parametrize("ways", [1024, 4])
-def test_equals_sorting_each_source_whole(spark, ways, monkeypatch):
-    monkeypatch.setattr(mx, "_WAYS", ways)
-    rnd = random.Random(ways)
-    recs = [(rnd.choice("aaaabccccccccd"), i, rnd.randrange(1, 500), rnd.choice([0.01, 0.5, 1.0, 3.0]), 1, 1) for i in range(1500)]
+@pytest.mark.parametrize("bits", [10, 2])
+def test_equals_sorting_each_source_whole(spark, bits, monkeypatch):
+    monkeypatch.setattr(mx, "_BITS", bits)
+    rnd = random.Random(bits)
+    recs = [(rnd.choice("aaaabccccccccd"), i, rnd.randrange(1, 500), rnd.choice([1e-300, 1e-9, 0.01, 0.5, 1.0, 3.0, 1e12]), 1, 1) for i in range(1500)]
     recs += [("a", 9001, 10, 0.0, 1, 1), ("a", 9002, 10, None, 1, 1), ("b", None, 10, 1.0, 1, 1), (None, 9003, 10, 1.0, 1, 1), ("a", 9004, None, 1.0, 1, 1)]
     got, want = mix(spark, recs, TARGETS), brute(spark, recs, TARGETS)
     assert {k: n for k, n in got.items()} == {k: n for k, n in want.items()}
 
 
+def test_budget_that_ends_among_records_without_weight(spark):
+    recs = [("a", i, 10, 1.0 if i < 50 else 0.0, 1, 1) for i in range(400)] + [("z", 1000, 1000, 1.0, 1, 1)]
+    targets = [("a", 0.5, 1, 1)]
+    got = mix(spark, recs, targets)
+    assert got == brute(spark, recs, targets) and all(("a", i) in got for i in range(50)) and len(got) == 250
+
+
 def test_complete_passes_come_first_and_caps_hold():
     assert allocate({"a": 100, "b": 10}, 1000, {"a": (0.25, 9), "b": (0.3, 5), "c": (0.45, 1)}) == {"a": (2, 50), "b": (5, 0)}
 
@@ -58,9 +66,10 @@ def test_shares_are_met(spark):
     rnd = random.Random(4)
     recs = [(s, 1000 * k + i, rnd.randrange(50, 150), 1.0, 1, 1) for k, (s, n) in enumerate([("a", 900), ("b", 90), ("c", 9)]) for i in range(n)]
     targets = spark.createDataFrame([("a", 0.6, 1, 1), ("b", 0.3, 5, 1), ("c", 0.1, 3, 1), ("z", 0.0, 1, 1)], TGT)
-    m = mixture(spark.createDataFrame(recs, REC), targets)
-    by = {r.src: r for r in shares(m, targets).collect()}
-    corpus = sum(r[2] for r in recs)
+    m, corpus, capped = mixture_of(spark.createDataFrame(recs, REC), targets)
+    by = {r.src: r for r in shares(m, targets, corpus, capped).collect()}
+    assert corpus == sum(r[2] for r in recs)
+    assert (by["a"].short, by["c"].short, by["z"].short) == ("next record", "cap", "")
     for s, share in (("a", 0.6), ("b", 0.3)):
         assert 0 <= share * corpus - by[s]["size"] <= 151
     assert by["c"].max_copies == 3 and by["c"].records == 9 and (by["z"]["size"], by["z"].actual_share) == (0, 0.0)
