@@ -144,7 +144,7 @@ def shares(mix: DataFrame, targets: DataFrame, corpus: int, capped: Sequence[str
     total = got.agg(F.sum("size")).scalar()
     none = lambda c: F.coalesce(c, F.lit(0))
     lacks = none("size") < F.floor(F.col("share") * corpus + 1e-6)
-    short = F.when(~lacks | F.col("share").isNull(), "").when(F.col("size").isNull(), "no records").when(F.col("max_copies") >= F.col("cap"), "cap").otherwise("next record")
+    short = F.when(~lacks | F.col("share").isNull(), "").when(F.col("size").isNull(), "no records").when(F.col("src").isin(*capped), "cap").otherwise("next record")
     return targets.select("src", "share").join(got, "src", "left").select(
         "src", F.col("share").alias("target_share"), F.coalesce(F.try_divide(F.col("size"), total), F.lit(0.0)).alias("actual_share"), F.coalesce(F.try_divide(F.col("size"), F.lit(corpus)), F.lit(0.0)).alias("share_of_total"), none("size").alias("size"), none("records").alias("records"), none("max_copies").alias("max_copies"), short.alias("short")
     )
