@@ -9,17 +9,18 @@ precedence ``(valid_from, known_at, tie-break)`` over the activations up to
 ``t``. A running maximum needs only its value at the start of a time slice to
 go on alone, which is what makes splitting an entity by time exact:
 
-1. a (key, day) histogram, combined map-side, finds keys that hold more rows
-   than a shard should and cuts their time axis into slices of about equal
-   numbers of rows; a single day too large for a shard is salted besides;
+1. a (key, day) histogram, combined map-side and written once, finds keys that
+   hold more rows than a shard should and cuts their time axis into slices of
+   about ``shard_rows`` rows; a single day too large for a shard is salted besides;
 2. each slice gets the one preceding winner as carry-in, and the versions that
    activate within it (replicated to the salts, if any);
 3. every (key, slice, salt) is merged on its own: one sort by time and one
-   running maximum. No shard needs another, and none is larger than intended.
+   running maximum. No shard needs another, and a shard's size doesn't grow with
+   the input.
 
-What is broadcast is the slice table: it has at most ``max_shards`` keys and
-about twice as many cuts, whatever the input's size, because a key is hot only
-from ``total rows / max_shards`` rows on.
+The cuts are broadcast while there are at most ``max_broadcast`` of them, which
+is counted; beyond, they are joined by key, and Spark splits that join's hot
+partitions (the cuts of a key are few, its events can lie anywhere).
 """
 
 from __future__ import annotations
@@ -30,21 +31,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.columns import DAY_MICROS, date_micros, micros, micros_day
+from orrery.sources.durable import durable
 
 
-def _hot_slices(events: DataFrame, shard_rows: int, max_shards: int) -> DataFrame:
-    """(k, cuts) of hot keys: cuts is a sorted array of (first day, salts)."""
+def _hot_slices(events: DataFrame, shard_rows: int) -> DataFrame:
+    """(k, slice, d, salts): the slices of keys with more than ``shard_rows`` events, their first days, and over how many salts each goes."""
     days = events.groupBy("k", micros_day(F.col("t")).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    target = F.greatest(F.lit(shard_rows).cast("double"), days.agg((F.sum("n") / max_shards).alias("x")).scalar())
-    by_key = days.groupBy("k").agg(F.sum("n").alias("all")).where(F.col("all") > target)
-    w = Window.partitionBy("k").orderBy("d")
+    all_days, upto = Window.partitionBy("k"), Window.partitionBy("k").orderBy("d")
     return (
-        days.join(F.broadcast(by_key.select("k")), "k")
-        .withColumn("slice", F.floor((F.sum("n").over(w) - F.col("n")) / target))
+        days.withColumn("all", F.sum("n").over(all_days))
+        .where(F.col("all") > shard_rows)
+        .withColumn("slice", F.floor((F.sum("n").over(upto) - F.col("n")) / shard_rows))
         .groupBy("k", "slice")
-        .agg(F.min("d").alias("d"), F.ceil(F.sum("n") / target).cast("int").alias("salts"))
-        .groupBy("k")
-        .agg(F.array_sort(F.collect_list(F.struct("d", "salts"))).alias("cuts"))
+        .agg(F.min("d").alias("d"), F.ceil(F.sum("n") / shard_rows).cast("int").alias("salts"))
     )
 
 
@@ -67,8 +66,8 @@ def asof_versions(
     version_id: str,
     version_cols: Sequence[str] = (),
     how: str = "inner",
-    shard_rows: int = 50_000,
-    max_shards: int = 512,
+    shard_rows: int = 200_000,
+    max_broadcast: int = 100_000,
 ) -> DataFrame:
     """Join each event to the version in force, by what was known then.
 
@@ -98,7 +97,9 @@ def asof_versions(
         F.struct(valid_from.alias("vf"), known_at.alias("ka"), F.col(version_id).alias("id"), F.struct(*out_cols).alias("v")).alias("p"),
     ).where(F.col("k").isNotNull() & F.col("p.vf").isNotNull() & F.col("p.ka").isNotNull())
 
-    hot = F.broadcast(_hot_slices(placed, shard_rows, max_shards))
+    slices = durable(_hot_slices(placed, shard_rows))
+    by_key = slices.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("d", "salts"))).alias("cuts"))
+    hot = F.broadcast(by_key) if slices.count() <= max_broadcast else by_key
     ev_s = placed.join(hot, "k", "left").withColumn("slice", _slice_of(F.col("cuts"), micros_day(F.col("t"))))
     ev_s = ev_s.select(
         "k",

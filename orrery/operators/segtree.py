@@ -135,36 +135,53 @@ def build_trees(leaves: DataFrame, windows: Sequence[int]) -> DataFrame:
 def correct_trees(trees: DataFrame, corrections: DataFrame, windows: Sequence[int]) -> DataFrame:
     """Apply late values (k, d, v) to ``trees``; only the ancestors of changed leaves change.
 
-    One correction per key and day; a null value takes the day's value away.
-    Corrections outside the days that a key's trees span are an error of the
-    caller's and are ignored: extending a calendar means building its new shard.
+    A null value takes the day's value away; of several for one key and day the
+    largest counts, nulls last. Days before the first or after the last of a key
+    extend its calendar: shards that it lacked are added, their halo filled from
+    the last tree before them. Keys without trees get theirs.
     """
     size, halo = _size(windows)
     span = size - halo
-    own = F.floor(F.col("d") / span).cast("int")
-    late = (
-        corrections.select("k", "d", F.col("v").cast("double").alias("v"), F.explode(_shards(own, span, halo)).alias("shard"))
-        .groupBy("k", "shard")
-        .agg(F.collect_list(F.struct((F.col("d") - F.col("shard") * span + halo).alias("off"), F.coalesce("v", F.lit(0.0)).alias("v"), F.col("v").isNotNull().cast("int").alias("n"))).alias("c"))
-    )
-    rows = trees.join(late, ["k", "shard"], "left").select("k", "shard", "lo", "hi", "sums", "counts", F.col("c.off").alias("off"), F.col("c.v").alias("v"), F.col("c.n").alias("n"))
+    shard = lambda c: F.floor(F.col(c) / span).cast("int")
+    given = corrections.where("k IS NOT NULL AND d IS NOT NULL").select("k", F.col("d").cast("int").alias("d"), F.col("v").cast("double").alias("v"))
+    ends = lambda df, lo, hi: df.groupBy("k").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    bounds = ends(ends(trees, "lo", "hi").unionByName(ends(given, "d", "d")), "lo", "hi")
+    grid = bounds.select("k", "lo", "hi", F.explode(F.sequence(shard("lo"), shard("hi"))).alias("shard"))
+    leaf = lambda v, rank: F.struct(F.lit(rank).alias("rank"), v.isNotNull().cast("int").alias("n"), F.coalesce(v, F.lit(0.0)).alias("v"))
+    late = given.select("k", F.explode(_shards(shard("d"), span, halo)).alias("shard"), "d", "v").select("k", "shard", (F.col("d") - F.col("shard") * span + halo).alias("off"), leaf(F.col("v"), 1).alias("x"))
+    if halo:
+        last = trees.where(F.col("shard") == shard("hi")).join(given.select("k").distinct(), "k", "left_semi")
+        tail = F.arrays_zip(F.slice("sums", 2 * size - halo + 1, halo).alias("v"), F.slice("counts", 2 * size - halo + 1, halo).alias("n"))
+        tail = last.select("k", (F.col("shard") + 1).alias("shard"), F.posexplode(tail).alias("off", "t")).where("t.n > 0")
+        late = late.unionByName(tail.select("k", "shard", "off", leaf(F.col("t.v"), 0).alias("x")))
+    # A tree that is there has its halo already; the tail of the one before it names shards that aren't.
+    late = late.groupBy("k", "shard", "off").agg(F.max("x").alias("x")).groupBy("k", "shard").agg(F.collect_list(F.struct("off", "x.v", "x.n")).alias("c"))
+    rows = grid.join(trees.select("k", "shard", "sums", "counts"), ["k", "shard"], "left").join(late, ["k", "shard"], "left")
+    rows = rows.select("k", "shard", "lo", "hi", "sums", "counts", F.col("c.off").alias("off"), F.col("c.v").alias("v"), F.col("c.n").alias("n"))
+
+    def trees_of(col: pa.Array, kind: type) -> np.ndarray:
+        out = np.zeros((len(col), 2 * size), kind)
+        there = np.flatnonzero(np.asarray(col.is_valid()))
+        out[there] = np.asarray(col.flatten()).reshape(-1, 2 * size)
+        return out
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sums = np.asarray(b.column(4).flatten()).reshape(-1, 2 * size).copy()
-            counts = np.asarray(b.column(5).flatten()).reshape(-1, 2 * size).copy()
-            row, off = _ragged(b.column(6))
-            node = np.asarray(off).astype(np.int64) + size if len(off) else np.zeros(0, np.int64)
-            dv = np.asarray(_ragged(b.column(7))[1]) - sums[row, node] if len(off) else np.zeros(0)
-            dn = np.asarray(_ragged(b.column(8))[1]) - counts[row, node] if len(off) else np.zeros(0, np.int32)
-            while len(node) and node[0] >= 1:
-                np.add.at(sums, (row, node), dv)
-                np.add.at(counts, (row, node), dn)
-                node = node >> 1
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(i) for i in range(4)], _lists(sums, pa.float64()), _lists(counts, pa.int32())],
-                ["k", "shard", "lo", "hi", "sums", "counts"],
-            )
+        for batch in batches:
+            for s in range(0, batch.num_rows, 512):
+                b = batch.slice(s, 512)
+                sums, counts = trees_of(b.column(4), np.float64), trees_of(b.column(5), np.int32)
+                row, off = _ragged(b.column(6))
+                node = np.asarray(off).astype(np.int64) + size if len(off) else np.zeros(0, np.int64)
+                dv = np.asarray(_ragged(b.column(7))[1]) - sums[row, node] if len(off) else np.zeros(0)
+                dn = np.asarray(_ragged(b.column(8))[1]) - counts[row, node] if len(off) else np.zeros(0, np.int32)
+                while len(node) and node[0] >= 1:
+                    np.add.at(sums, (row, node), dv)
+                    np.add.at(counts, (row, node), dn)
+                    node = node >> 1
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(i) for i in range(4)], _lists(sums, pa.float64()), _lists(counts, pa.int32())],
+                    ["k", "shard", "lo", "hi", "sums", "counts"],
+                )
 
     return rows.mapInArrow(apply, TREE_SCHEMA)
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from orrery.functions.columns import norm_symbol
 from orrery.operators.asof import asof_versions
-from orrery.operators.segtree import rolling
+from orrery.operators.segtree import build_trees, correct_trees, leaves_of, rolling, trailing
 from orrery.operators.treeagg import tree_aggregate
+from orrery.sources.durable import durable
 from orrery.sources.tables import table
 
 
@@ -66,30 +67,32 @@ def p1_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return won.withColumn("version_id", F.coalesce("version_id", F.lit(0)))
 
 
-def _tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = distinct_tags(spark, sf_dir)
+def _tag_counts(spark: SparkSession, sf_dir: str, tags: DataFrame) -> DataFrame:
     both = tags.select(
+        F.xxhash64("article_id", "symbol").alias("tag"),
         F.explode(
             F.array(
                 F.struct(F.lit("symbol").alias("key_kind"), F.col("symbol").alias("key_value")),
                 F.struct(F.lit("article").alias("key_kind"), F.col("article_id").cast("string").alias("key_value")),
             )
-        ).alias("x")
-    ).select("x.*")
-    return tree_aggregate(both, ["key_kind", "key_value"], {"n_tags": ("count", F.lit(1))})
+        ).alias("x"),
+    ).select("tag", "x.*")
+    rows = 2 * table(spark, sf_dir, "news_symbol").count()  # from the files' footers
+    return tree_aggregate(both, ["key_kind", "key_value"], {"n_tags": ("count", F.lit(1))}, rows=rows, spread=F.col("tag"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols with at least 1 % of all distinct tags, articles with at least 50 distinct symbols."""
-    counts = _tag_counts(spark, sf_dir)
-    total = counts.where("key_kind = 'symbol'").agg(F.sum("n_tags").alias("n")).scalar()
+    tags = distinct_tags(spark, sf_dir)
+    counts = _tag_counts(spark, sf_dir, tags)
+    total = tags.agg(F.count(F.lit(1)).alias("n")).scalar()
     hot = F.when(F.col("key_kind") == "symbol", F.col("n_tags") * 100 >= total).otherwise(F.col("n_tags") >= 50)
     return counts.where(hot).select("key_kind", "key_value")
 
 
 def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct tags of every symbol and every article."""
-    return _tag_counts(spark, sf_dir)
+    return _tag_counts(spark, sf_dir, distinct_tags(spark, sf_dir))
 
 
 def _rolling_close(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,9 +113,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rolling_close(spark, sf_dir).where((F.col("count_7") > 0) & high).select(F.col("k").alias("symbol"), F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
-def p5_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals and averages of close over the last 7 and 30 days, for every symbol and calendar day."""
-    r = _rolling_close(spark, sf_dir)
+def _rounded(r: DataFrame) -> DataFrame:
     return r.select(
         F.col("k").alias("symbol"),
         F.date_format("day", "yyyy-MM-dd").alias("day"),
@@ -122,7 +123,21 @@ def p5_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p3_found, p3_counts, p5_found, p5_rolling)}
+def p5_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals and averages of close over the last 7 and 30 days, for every symbol and calendar day."""
+    return _rounded(_rolling_close(spark, sf_dir))
+
+
+def p5_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from stored trees of the first four fifths of all deliveries, corrected by what came later."""
+    bars = table(spark, sf_dir, "bar").select(norm_symbol(F.col("symbol")).alias("symbol"), "date", "close", "ingested_at")
+    first = F.coalesce(F.col("ingested_at") <= bars.agg(F.percentile_approx("ingested_at", 0.8).alias("t")).scalar(), F.lit(True))
+    args = {"key": F.col("symbol"), "day": F.col("date"), "value": F.col("close"), "latest": F.col("ingested_at")}
+    trees = durable(build_trees(leaves_of(bars.where(first), **args), (7, 30)))
+    return _rounded(trailing(correct_trees(trees, leaves_of(bars.where(~first), **args), (7, 30)), (7, 30)))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p3_found, p3_counts, p5_found, p5_rolling, p5_corrected)}
 
 _TAGS = "tags AS (SELECT DISTINCT article_id, upper(trim(symbol)) AS symbol FROM news_symbol WHERE article_id IS NOT NULL AND trim(symbol) <> '')"
 _EVENTS = f"""WITH {_TAGS},
@@ -151,3 +166,4 @@ ORACLE = {
     "p5_found": f"{_CLOSES} SELECT symbol, day FROM roll WHERE c7 > 0 AND s7 / c7 >= 1.15 * (s30 / c30) * (1 - 1e-12)",
     "p5_rolling": f"{_CLOSES} SELECT symbol, day, round(coalesce(s7, 0), 4) AS sum_7, round(coalesce(s30, 0), 4) AS sum_30, c7 AS count_7, c30 AS count_30, round(s7 / c7, 6) AS avg_7, round(s30 / c30, 6) AS avg_30 FROM roll",
 }
+ORACLE["p5_corrected"] = ORACLE["p5_rolling"]

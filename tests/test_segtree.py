@@ -72,6 +72,18 @@ def test_corrections_touch_ancestors_and_equal_a_rebuild(spark):
     assert 0 < max(changed) <= 2 * 10 and sum(c > 0 for c in changed) <= 2
 
 
+@pytest.mark.parametrize("windows", [(7, 30), (1,)])
+def test_corrections_extend_the_calendar(spark, windows):
+    rows = bars(5)
+    days = sorted({d for _, d, *_ in rows})
+    early = [r for r in rows if days[len(days) // 3] <= r[1] <= days[len(days) // 2]]
+    far = [("A", days[-1] + timedelta(days=900), 7.0, datetime(2031, 1, 1), 1, 1), ("A", days[0] - timedelta(days=700), None, datetime(2031, 1, 1), 1, 1), ("NEW", days[0], 3.0, datetime(2031, 1, 1), 1, 1)]
+    late = [r for r in rows if r not in early] + far
+    df = lambda x: leaves_of(spark.createDataFrame(x, SCHEMA), **args())
+    fixed = correct_trees(build_trees(df(early), windows), df(late), windows)
+    assert result(trailing(fixed, windows), windows) == brute(early + late, windows)
+
+
 def test_node_sums():
     t = np.zeros((2, 16), np.int64)
     t[:, 8:] = np.arange(16).reshape(2, 8)
