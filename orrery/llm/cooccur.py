@@ -13,19 +13,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: A basket with more than this part of all rows doesn't go through one task; there are at most as many of them.
-_HOT = 512
+#: A basket with more distinct items doesn't go through one task of a join by basket.
+HOT_ITEMS = 1_000_000
+#: As many baskets may be broadcast by their keys; they can't be more than all rows by ``HOT_ITEMS``.
+_MAX_BROADCAST = 100_000
 
 
-def _tags(df: DataFrame, basket: Column, item: Column, max_basket: int | None, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(b, i, n) of ordinary baskets, each item once, with the basket's size; the same of hot ones; (b, n) of both."""
-    once = df.select(basket.alias("b"), item.alias("i")).where(F.col("b").isNotNull() & F.col("i").isNotNull()).distinct()
+def _tags(df: DataFrame, basket: Column, item: Column, max_basket: int | None) -> tuple[DataFrame, DataFrame]:
+    """(b, i, n): each item of a basket once, with the basket's size; and (b, n).
+
+    Rows of hot baskets find their size by broadcast. Beyond what may be
+    broadcast they are joined like the others, and Spark splits that join's hot
+    partitions.
+    """
+    named = df.select(basket.alias("b"), item.alias("i")).where(F.col("b").isNotNull() & F.col("i").isNotNull())
+    most = named.count() // HOT_ITEMS  # hot baskets at most
+    once = named.distinct()
     sizes = once.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.where(F.col("n") > F.greatest(sizes.agg((F.sum("n") / _HOT).alias("x")).scalar(), F.lit(float(block))))
-    if max_basket is not None:
-        sizes = sizes.where(F.col("n") <= max_basket)
-    ordinary = once.join(F.broadcast(hot.select("b")), "b", "left_anti").join(sizes, "b")
-    return ordinary, once.join(F.broadcast(hot if max_basket is None else hot.where(F.col("n") <= max_basket)), "b"), sizes
+    wanted = sizes if max_basket is None else sizes.where(F.col("n") <= max_basket)
+    if not 0 < most <= _MAX_BROADCAST:
+        return once.join(wanted, "b"), wanted
+    hot = sizes.where(F.col("n") > HOT_ITEMS)
+    tags = once.join(F.broadcast(hot.select("b")), "b", "left_anti").join(wanted, "b")
+    if max_basket is None or max_basket > HOT_ITEMS:
+        tags = tags.unionByName(once.join(F.broadcast(hot if max_basket is None else hot.where(F.col("n") <= max_basket)), "b"))
+    return tags, wanted
 
 
 def _within(items: Column) -> Column:
@@ -51,8 +63,10 @@ def cooccurrence(df: DataFrame, *, basket: Column, item: Column, max_basket: int
     count once, baskets of one item count as baskets, an empty table gives no
     rows, other columns are ignored whatever their names.
     """
-    ordinary, hot, sizes = _tags(df, basket, item, max_basket, block)
-    few, tags = ordinary.where(F.col("n") <= block), ordinary.unionByName(hot)
+    tags, sizes = _tags(df, basket, item, max_basket)
+    few = tags.where(F.col("n") <= block)
+    # The work of a cell is the square of its size: cells are dealt out by number, not by bytes.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Both sides lie by basket already, and no basket here has more than a block's items.
     pairs = few.select("b", F.col("i").alias("item_a")).join(few.select("b", F.col("i").alias("item_b")), "b").where("item_a < item_b").select("item_a", "item_b")
     if max_basket is None or max_basket > block:
@@ -68,6 +82,7 @@ def cooccurrence(df: DataFrame, *, basket: Column, item: Column, max_basket: int
             chunks.select("b", "chunk", "items", other)
             .groupBy("b", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
             .agg(F.collect_list("items").alias("x"))
+            .repartition(tasks, "b", "lo", "hi")
             .select(
                 F.when(F.col("lo") == F.col("hi"), _within(F.col("x")[0])).when(F.size("x") == 2, _across(F.col("x")[0], F.get(F.col("x"), F.lit(1)))).alias("pairs")
             )

@@ -15,9 +15,9 @@ def _wide(c: str):
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of symbols that share at least 4 articles of at most 8 symbols, 4 times as many as chance would give."""
+    """Pairs of symbols that share at least 4 articles of at most 8 symbols, 4 times as many as chance would give; those of more than 4 symbols are cut in two."""
     pairs = cooccurrence(
-        table(spark, sf_dir, "news_symbol"), basket=F.col("article_id"), item=norm_symbol(F.col("symbol")), max_basket=8, min_count=4
+        table(spark, sf_dir, "news_symbol"), basket=F.col("article_id"), item=norm_symbol(F.col("symbol")), max_basket=8, min_count=4, block=4
     )
     often = _wide("n_ab") * _wide("n_baskets") >= _wide("n_a") * _wide("n_b") * 4
     return pairs.where(often).select(F.col("item_a").alias("symbol_a"), F.col("item_b").alias("symbol_b"))

@@ -7,15 +7,23 @@ by itself may join values that never belonged together, so the choice is a
 search: branch and bound over whole bundles, maximising the sum of their
 scores, bounded by the best that the bundles not yet chosen could still add.
 
-Groups may be of any size. Candidates are combined map-side, every group is cut
-to a short list of each bundle's best before it reaches one task (the ranking
-is limited on the map side too), and the search tells whether anything outside
-the short list could still win. Groups for which it could are searched again
-with longer lists until the result is proven, so nothing is lost to the cut.
+While it goes down, the search propagates: what a choice demands fixes the
+bundle it is demanded of, and leaves others only the candidates that demand the
+same or nothing, found by index. The bound counts only what is still allowed.
+
+Groups may be of any size. Candidates are combined map-side, first by value,
+then by what they demand: of candidates that demand the same, and of which
+nothing is demanded, only the best can be in the best choice. A group is cut to
+a short list of each bundle's best of those before it reaches one task, and the
+search tells whether anything outside the short list could still win. Groups
+for which it could are searched again with longer lists until the result is
+proven, so nothing is lost to the cut. Without rules, dominance leaves one
+candidate a bundle and the search has nothing to choose.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -54,36 +62,104 @@ def branch_and_bound(lists: Sequence[Sequence[dict]], rules: Sequence[tuple[int,
     none doesn't satisfy it. Of equal totals the earlier bundles' better
     candidates win.
     """
-    best_rest = [0.0] * (len(lists) + 1)
-    for b in range(len(lists) - 1, -1, -1):
-        best_rest[b] = best_rest[b + 1] + (weights[b] * lists[b][0]["score"] if lists[b] else 0.0)
-    best: list = [-1.0, [None] * len(lists)]
-    chosen: list[dict | None] = [None] * len(lists)
+    n = len(lists)
+    rank = [{v: k for k, v in reversed([(k, c["value"]) for k, c in enumerate(own)])} for own in lists]
+    #: By rule and demanded value: the ranks of the candidates that demand it.
+    asking: list[dict] = []
+    for r, (d, _) in enumerate(rules):
+        by_need: dict = {}
+        for k, c in enumerate(lists[d]):
+            by_need.setdefault(c["need"][r], []).append(k)
+        asking.append(by_need)
+    best: list = [-1.0, [None] * n]
+    chosen: list[dict | None] = [None] * n
+    #: Value that a bundle has or must have; a chosen none is fixed to None.
+    fixed: dict[int, str | None] = {}
+    must = [0] * n
+
+    def allowed(b: int) -> Iterator[int]:
+        """Ranks that bundle ``b`` may still have, best first."""
+        if must[b]:
+            k = rank[b].get(fixed[b])
+            ways: Iterator[int] = iter(() if k is None else (k,))
+        else:
+            own = [r for r, (d, y) in enumerate(rules) if d == b and y in fixed]
+            if not own:
+                return iter(range(len(lists[b])))
+            few = min(own, key=lambda r: len(asking[r].get(fixed[rules[r][1]], ())) + len(asking[r].get(None, ())))
+            same = asking[few].get(fixed[rules[few][1]], []) if fixed[rules[few][1]] is not None else []
+            ways = heapq.merge(same, asking[few].get(None, []))
+        return (k for k in ways if all(lists[b][k]["need"][r] is None or lists[b][k]["need"][r] == fixed[y] for r, (d, y) in enumerate(rules) if d == b and y in fixed))
+
+    def rest(b: int) -> float | None:
+        """The most that bundles from ``b`` on can still add; None if one of them can't be what it must be."""
+        total = 0.0
+        for x in range(b, n):
+            k = next(allowed(x), None)
+            if k is None and must[x]:
+                return None
+            total += weights[x] * lists[x][k]["score"] if k is not None else 0.0
+        return total
 
-    def fits(b: int) -> bool:
+    def fits(b: int, c: dict | None) -> bool:
+        """Whether what earlier bundles demand, and what ``c`` demands of them, holds."""
+        return c is None or all(need is None or y > b or y not in fixed or fixed[y] == need for need, (d, y) in zip(c["need"], rules) if d == b)
+
+    def take(b: int, c: dict | None, total: float) -> None:
+        if not fits(b, c):
+            return
+        chosen[b] = c
+        before = fixed.get(b), b in fixed
+        fixed[b] = c["value"] if c else None
+        set_, ok = [], True
         for r, (d, y) in enumerate(rules):
-            if max(d, y) == b and chosen[d] is not None and (need := chosen[d]["need"][r]) is not None:
-                if chosen[y] is None or chosen[y]["value"] != need:
-                    return False
-        return True
+            if d == b and c is not None and (need := c["need"][r]) is not None and y > b:
+                if y in fixed:
+                    ok = ok and fixed[y] == need
+                else:
+                    fixed[y], must[y] = need, 1
+                    set_.append(y)
+        if ok:
+            go(b + 1, total + (weights[b] * c["score"] if c else 0.0))
+        for y in set_:
+            del fixed[y]
+            must[y] = 0
+        if before[1]:
+            fixed[b] = before[0]
+        else:
+            del fixed[b]
+        chosen[b] = None
 
     def go(b: int, total: float) -> None:
-        if total + best_rest[b] <= best[0]:
+        more = rest(b)
+        if more is None or total + more <= best[0]:
             return
-        if b == len(lists):
+        if b == n:
             best[:] = [total, list(chosen)]
             return
-        for c in [*lists[b], None]:
-            chosen[b] = c
-            if fits(b):
-                go(b + 1, total + (weights[b] * c["score"] if c else 0.0))
-        chosen[b] = None
+        after = rest(b + 1)  # choosing only takes away from it
+        if after is None:
+            return
+        for k in list(allowed(b)):
+            if total + weights[b] * lists[b][k]["score"] + after <= best[0]:
+                break  # those behind it score no more
+            take(b, lists[b][k], total)
+        if not must[b] and total + after > best[0]:
+            take(b, None, total)
 
     go(0, 0.0)
     root = all((not own and c is None) or (own and c is own[0]) for own, c in zip(lists, best[1]))
     return best[1], best[0], root
 
 
+def _dominant(cands: DataFrame, rules: Sequence[tuple[int, int]]) -> DataFrame:
+    """``cands`` without those that demand the same as a better one of their bundle, where nothing is demanded of the bundle."""
+    asked = F.col("b").isin(*{y for _, y in rules}) if rules else F.lit(False)
+    needs = [F.col(f"need{r}") for r in range(len(rules))]
+    key = [F.when(asked, F.coalesce("value", F.col("o.id").cast("string"))).alias("v"), *[c.value.alias(f"n{r}") for r, c in enumerate(needs)]]
+    return cands.groupBy("g", "b", *key).agg(F.max(F.struct("o", "value", *needs)).alias("x")).select("g", "b", "x.*")
+
+
 def _candidates(df: DataFrame, keys: Sequence[str], row_id: str, bundles: Sequence[Bundle], rules: Sequence[tuple[int, int]]) -> DataFrame:
     """(g, b, o, value, need0...): one row per group, bundle and value, with its best order and what it demands."""
     order = [
@@ -170,7 +246,9 @@ def survivors(
     df = df.dropna(subset=list(keys))
     sizes = df.groupBy(F.struct(*keys).alias("g")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= min_rows)
     weights = [b.weight for b in bundles]
-    cands = _candidates(df, keys, row_id, bundles, pairs)
+    cands = _dominant(_candidates(df, keys, row_id, bundles, pairs), pairs)
+    if pairs:
+        cands = durable(cands)  # groups may be searched several times
 
     def solve(groups: DataFrame, cands: DataFrame, m: int) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("g", "b").orderBy(F.col("o").desc()))

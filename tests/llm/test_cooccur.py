@@ -38,7 +38,7 @@ def test_equals_brute_force(spark, block, max_basket):
 
 @pytest.mark.parametrize("max_basket", [None, 9, 40])
 def test_hot_baskets_go_their_own_way(spark, monkeypatch, max_basket):
-    monkeypatch.setattr(cooccur, "_HOT", 4)
+    monkeypatch.setattr(cooccur, "HOT_ITEMS", 20)
     rows = [(1, f"i{i}", 1, "x") for i in range(60)] + [(b, f"i{i}", 1, "x") for b in range(2, 9) for i in range(b, b + 6)]
     got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n_baskets) for r in run(spark, rows, block=5, max_basket=max_basket)}
     assert got == brute(rows, max_basket)

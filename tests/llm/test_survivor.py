@@ -72,3 +72,35 @@ def test_very_long_values(spark):
     rows = [("k", i, "x" * (200_000 + i), 5 + i, "u", 5, "", 0) for i in range(3)]
     (r,) = survivors(spark.createDataFrame(rows, SCHEMA), ["k"], "id", bundles(), rules=[("a", "b")]).collect()
     assert (r.a_id, len(r.a)) == (2, 200_002)
+
+
+@pytest.mark.parametrize("rules", [[(0, 1)], [(1, 0), (2, 0)], [(0, 2), (1, 2)], [(0, 1), (1, 2), (2, 0)], []])
+def test_search_equals_trying_everything(rules):
+    rnd = random.Random(str(rules))
+    for _ in range(200):
+        lists = []
+        for b in range(3):
+            own = [{"id": 10 * b + k, "score": rnd.choice([0.125, 0.25, 0.5, 0.75]), "value": f"{b}{k}", "need": [rnd.choice([None, *(f"{y}{j}" for j in range(4))]) if d == b else None for d, y in rules]} for k in range(rnd.randrange(5))]
+            lists.append(sorted(own, key=lambda c: -c["score"]))
+        weights = [rnd.choice([0.5, 1.0, 2.0]) for _ in range(3)]
+        fit = lambda c: all(c[d] is None or c[d]["need"][r] is None or (c[y] is not None and c[y]["value"] == c[d]["need"][r]) for r, (d, y) in enumerate(rules))
+        tops = [(sum(w * x["score"] for w, x in zip(weights, c) if x), c) for c in itertools.product(*[[*own, None] for own in lists]) if fit(c)]
+        most = max(t for t, _ in tops)
+        choice, total, _ = branch_and_bound(lists, rules, weights)
+        assert abs(total - most) < 1e-9 and tuple(choice) == next(c for t, c in tops if abs(t - total) < 1e-9)
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 0, 2)])
+def test_large_conflict_ends(order):
+    """Dates and passages that each demand another share, in any order of bundles."""
+    at = {b: k for k, b in enumerate(order)}
+    n = 10_000
+    share = [{"id": k, "score": 1 - k / (2 * n), "value": f"p{k}", "need": [None, None]} for k in range(n)]
+    date = [{"id": k, "score": 1 - k / (2 * n), "value": f"d{k}", "need": [f"p{n - 1 - k}", None]} for k in range(n)]
+    text = [{"id": k, "score": 1 - k / (2 * n), "value": f"t{k}", "need": [None, f"p{(7 * k + 3) % n}"]} for k in range(n)]
+    lists = [[share, date, text][b] for b in order]
+    choice, total, _ = branch_and_bound(lists, [(at[1], at[0]), (at[2], at[0])], [1, 1, 1])
+    demand = {f"p{(7 * k + 3) % n}": k for k in range(n)}
+    # By share: all three, or the share with nothing that demands another; or a date or passage with its share.
+    best = max(3 - (k + (n - 1 - k) + demand[f"p{k}"]) / (2 * n) for k in range(n))
+    assert abs(total - best) < 1e-9
