@@ -1,33 +1,46 @@
 """Text that was decoded with the wrong character encoding.
 
-Bytes below 128 mean the same in nearly all encodings, so a garbled text and its
-clean original agree once everything else is taken out. What the rest tells:
-
-1. Records that agree on their ASCII characters but not in full are twins. Of
-   each group of twins the cleanest is compared with every other one, run by
-   run of the characters between the ASCII ones.
-2. Each differing run is tried against (encoding written, encoding read) pairs;
-   pairs that explain runs of twins are the learned transformations, the ones
-   that explain nothing another doesn't being dropped.
-3. Every record is searched for stretches that a learned transformation undoes.
-   One that no twin showed must explain more of a record before it is believed.
-   A record that differs from a clean twin by a learned transformation is
-   garbled, whatever the search says.
-
-Counts over the distinct texts of the corpus tell readable text from unreadable where the bytes
-alone don't: how often a character occurs, against how often a stretch would
-turn into it (correct text that happens to look garbled would turn into
-characters that nobody writes), and how often pairs of neighbouring characters
-occur, hashed into a fixed number of buckets.
+Bytes below 128 mean the same in nearly all encodings, so a garbled sentence and
+its clean original agree once everything else is taken out. What the rest tells:
+
+1. Every record is cut into sentences, each kept as a hash of its ASCII
+   characters, where the others stand among them, and these others, run by run.
+   Copies become one. Records that share a sentence are near-twins, whatever
+   else they say.
+2. A garbled sentence has as many characters in each run as its original has
+   bytes there, and wherever a byte comes again so does its character, whatever
+   it was read as. Sentences are joined on their ASCII characters and this form
+   (of bytes in UTF-8, in encodings of two bytes a character, or of characters),
+   and the joined runs aligned character by character: each aligned pair tells
+   which character a byte was read as, or which character another one stands for.
+3. What the pairs tell is put together into tables: a table grows from the
+   reading most often seen by those seen together with it, as long as no
+   character stands for two bytes. An encoding that agrees with a table fills in
+   the bytes no pair has shown; a table that none agrees with is used as it is.
+4. Every record is searched for stretches that a learned table turns back into
+   text. A sentence that a table turns into another sentence of the corpus is
+   garbled, whatever the search says, and where characters are gone for good a
+   clean near-twin has them.
+
+Counts over the distinct sentences of the corpus tell readable text from
+unreadable where the bytes alone don't: how often a character occurs, against how
+often a stretch would turn into it (correct text that happens to look garbled
+would turn into characters that nobody writes), and how often pairs of
+neighbouring characters occur, hashed into a fixed number of buckets.
+
+Characters written as entities of markup count as the characters they stand for.
 """
 
 from __future__ import annotations
 
+import hashlib
+import html
 import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +49,26 @@ from pyspark.sql import functions as F
 
 from orrery.sources.durable import durable
 
-#: Encodings that texts are wrongly read in; one byte a character.
+#: Encodings that may fill in what the pairs don't show of a reading; one byte a character.
 READ = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "cp866", "iso8859-15", "cp1254", "iso8859-5", "cp1253", "cp1257")
-#: Encodings other than UTF-8 that texts were written in.
-WRITTEN = ("cp1251", "koi8-r", "cp866", "iso8859-5", "euc_jp", "cp932", "euc_kr", "gb2312", "cp1253", "iso8859-7")
-#: Those that take two bytes for a character; the second may look like ASCII, so whole sentences are undone.
-_WIDE = frozenset(("euc_jp", "cp932", "euc_kr", "gb2312"))
-TRANSFORMS = tuple((w, r) for w in ("utf-8", *WRITTEN) for r in READ if w != r)
+#: The same of what was written one byte a character, and in two.
+NARROW = ("cp1251", "koi8-r", "cp866", "iso8859-5", "cp1253", "iso8859-7", "cp1250", "iso8859-2")
+WIDE = ("euc_jp", "euc_kr", "gb2312")
 
 _BUCKETS = 1 << 18
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _LONG = re.compile(r"[^\x00-\x7f]{2,}")
 _WORDS = re.compile(r"(?<![A-Za-z\x80-\U0010ffff])[^\x00-\x7f]+(?![A-Za-z\x80-\U0010ffff])")
-_SENTENCE = re.compile(r"(\n+|(?<=[.!?])\s+)")
+#: Sentences end by ASCII characters only, so that garbled and clean text fall into the same ones.
+_SENTENCE = re.compile(r"([\n\r]+|(?<=[.!?])[ \t]+)")
+_ENTITIES = re.compile(r"(?:&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});){2,}")
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
-#: Records with fewer ASCII characters are twins of too many.
-_SKELETON = 20
+#: What may be garbled at all.
+_SUSPECT = r"[^\x00-\x7F]|&#?\w+;&#?\w+;"
+#: ASCII characters, a run of others being as good as two, from which on they tell a twin; where forms are compared too, any number will do.
+_TELLING = 20
+#: Rows that may be broadcast; more are joined by key.
+_BROADCAST_ROWS = 200_000
 
 
 def _high(read: str) -> list[str]:
@@ -65,34 +82,58 @@ def _high(read: str) -> list[str]:
     return out
 
 
-_BYTES = {r: {c: 128 + i for i, c in enumerate(_high(r))} for r in READ}
+@dataclass(frozen=True)
+class Reading:
+    """The byte that each character stands for, where bytes were read one a character."""
 
+    name: str
+    own: dict[str, int]
 
-def _bytes(text: str, read: str) -> bytes | None:
-    """The bytes that were read as ``text``."""
-    own = _BYTES[read]
-    try:
-        return bytes(ord(c) if c < "\x80" else own[c] for c in text)
-    except KeyError:
-        return None
+    def back(self, text: str) -> bytes | None:
+        """The bytes that were read as ``text``."""
+        try:
+            return bytes(ord(c) if c < "\x80" else self.own[c] for c in text)
+        except KeyError:
+            return None
+
+    def undo(self, text: str, written: str) -> str | None:
+        b = self.back(text)
+        try:
+            return b.decode(written) if b is not None else None
+        except UnicodeDecodeError:
+            return None
+
+    def stretches(self) -> re.Pattern:
+        """Characters whose bytes are one character in UTF-8."""
+        by = defaultdict(list)
+        for c, b in self.own.items():
+            by[b].append(re.escape(c))
+
+        def some(a: int, b: int) -> str:
+            chars = "".join(x for k in range(a, b + 1) for x in by[k])
+            return f"[{chars}]" if chars else r"(?!)"
+
+        tail = some(0x80, 0xBF)
+        return re.compile(f"{some(0xC2, 0xDF)}{tail}|{some(0xE0, 0xEF)}{tail}{{2}}|{some(0xF0, 0xF4)}{tail}{{3}}")
 
 
-def undo(text: str, written: str, read: str) -> str | None:
-    b = _bytes(text, read)
-    try:
-        return b.decode(written) if b is not None else None
-    except UnicodeDecodeError:
-        return None
+CODECS = {r: Reading(r, {c: 128 + i for i, c in enumerate(_high(r))}) for r in READ}
+_PATTERNS = {r: x.stretches() for r, x in CODECS.items()}
 
 
-def _utf8_pattern(read: str) -> re.Pattern:
-    high = _high(read)
-    some = lambda a, b: "[" + "".join(re.escape(high[i - 128]) for i in range(a, b + 1)) + "]"
-    tail = some(0x80, 0xBF)
-    return re.compile(f"{some(0xC2, 0xDF)}{tail}|{some(0xE0, 0xEF)}{tail}{{2}}|{some(0xF0, 0xF4)}{tail}{{3}}")
+@dataclass(frozen=True)
+class Transform:
+    """What was written, and what it was read as."""
 
+    written: str
+    reading: Reading
 
-_PATTERNS = {r: _utf8_pattern(r) for r in READ}
+    def undo(self, text: str) -> str | None:
+        return self.reading.undo(text, self.written)
+
+
+#: Every combination of the encodings above, for corpora without twins.
+UNTAUGHT = tuple(Transform(w, CODECS[r]) for w in ("utf-8", *NARROW, *WIDE, "cp932") for r in READ if w != r)
 
 
 def _readable(c: str) -> bool:
@@ -141,53 +182,59 @@ class Model:
             total, n = total + x[0], n + x[1]
         return (total / n, n) if n else (0.0, 0)
 
+    def doubt(self, runs: Sequence[str]) -> list[float]:
+        """The less the cleaner: characters lost, characters, unusual neighbours."""
+        return [float(sum(len(_LOST.findall(r)) for r in runs)), float(sum(map(len, runs))), -self.mean(runs)[0]]
+
 
 class Restorer:
-    """Undoes transformations in texts, the learned ones in order, then others on more evidence."""
+    """Undoes transformations in texts, the learned ones in order, then ``untaught`` ones on more evidence."""
 
-    def __init__(self, learned: Sequence[tuple[str, str]], model: Model, proven: frozenset[tuple[str, str]] = frozenset()):
+    def __init__(self, learned: Sequence[Transform], model: Model, proven: frozenset[tuple[str, str]] = frozenset(), untaught: Sequence[Transform] = ()):
         self.model = model
-        #: (encoding read in, character) of stretches that twins show; these aren't refused as unusual.
+        #: (name of a reading, character) of stretches that twins show; these aren't refused as unusual.
         self.proven = proven
-        rest = [t for t in TRANSFORMS if t not in learned]
-        self.utf8 = [(r, 1) for w, r in learned if w == "utf-8"] + [(r, 2) for w, r in rest if w == "utf-8"]
-        #: By the encoding read in: encodings written in, with the least gain and length that they need.
-        self.wide: dict[str, list] = defaultdict(list)
-        self.narrow: dict[str, list] = defaultdict(list)
+        taught = {(t.written, t.reading.name) for t in learned}
+        rest = [t for t in untaught if (t.written, t.reading.name) not in taught]
+        self.utf8 = [(t.reading, 1) for t in learned if t.written == "utf-8"] + [(t.reading, 2) for t in rest if t.written == "utf-8"]
+        self.patterns = {r.name: r.stretches() for r, _ in self.utf8}
+        #: Transformations with the least gain and length that they need; those of two bytes a character may take ASCII along.
+        self.wide: list = []
+        self.narrow: list = []
         for some, gain, least in ((learned, 1.0, 4), (rest, 1.5, 12)):
-            for written, read in some:
-                if written != "utf-8":
-                    (self.wide if written in _WIDE else self.narrow)[read].append((written, gain, least))
-        self.undone: dict[tuple[str, str, str], str | None] = {}
-        self.sure = {r for r, n in self.utf8 if n == 1}
+            for t in some:
+                if t.written != "utf-8":
+                    (self.wide if t.written in (*WIDE, "cp932") else self.narrow).append((t, gain, least))
+        self.undone: dict[tuple[str, int], str | None] = {}
+        self.sure = {r.name for r, n in self.utf8 if n == 1}
         self.seen: dict[str, tuple[str, ...]] = {}
 
-    def _char(self, stretch: str, read: str) -> str | None:
-        c = undo(stretch, "utf-8", read)
+    def _char(self, stretch: str, read: Reading) -> str | None:
+        c = read.undo(stretch, "utf-8")
         if c and "\x80" <= c <= "\x9f" and any("\x80" <= x <= "\x9f" for x in stretch):
             return c  # a step on the way back from text that was garbled twice
-        refused = self.model.unusual if read in self.sure else self.model.rare
-        return c if c is not None and all(map(_readable, c)) and ((read, c) in self.proven or (read, c) not in refused) else None
+        refused = self.model.unusual if read.name in self.sure else self.model.rare
+        return c if c is not None and all(map(_readable, c)) and ((read.name, c) in self.proven or (read.name, c) not in refused) else None
 
     def _reads(self, run: str) -> tuple[str, ...]:
-        """Encodings in which something in a run of characters would turn into others."""
+        """Readings in which something in a run of characters would turn into others."""
         if (r := self.seen.get(run)) is None:
-            r = tuple(read for read, _ in self.utf8 if any(self._char(m.group(), read) for m in _PATTERNS[read].finditer(run)))
+            r = tuple(read.name for read, _ in self.utf8 if any(self._char(m.group(), read) for m in self.patterns[read.name].finditer(run)))
             if len(self.seen) < 200_000:
                 self.seen[run] = r
         return r
 
     def _undo_utf8(self, text: str) -> tuple[str, int]:
         total = 0
-        for _ in range(4):  # text that was garbled several times over
+        while True:  # text that was garbled several times over; each layer taken off makes it shorter
             reads = {r for run in set(_LONG.findall(text)) for r in self._reads(run)}
             changed = 0
             for read, least in self.utf8 if reads else ():
-                if read not in reads:
+                if read.name not in reads:
                     continue
                 hits = 0
 
-                def one(m: re.Match, read: str = read) -> str:
+                def one(m: re.Match, read: Reading = read) -> str:
                     nonlocal hits
                     c = self._char(m.group(), read)
                     if c is None or _as_it_stands(m.string, m.start(), m.end()):
@@ -195,70 +242,63 @@ class Restorer:
                     hits += 1
                     return c
 
-                new = _PATTERNS[read].sub(one, text)
+                new = self.patterns[read.name].sub(one, text)
                 if hits >= least:
                     text, changed = new, changed + hits
             total += changed
             if not changed:
-                break
-        return text, total
+                return text, total
 
-    def _whole(self, text: str, written: str, read: str) -> str | None:
+    def _whole(self, text: str, k: int, t: Transform) -> str | None:
         """``text`` undone, if all of it can be and is readable."""
-        key = (text, written, read)
-        if key in self.undone:
-            return self.undone[key]
-        x = undo(text, written, read)
+        if (text, k) in self.undone:
+            return self.undone[text, k]
+        x = t.undo(text)
         if x is not None and not all(c in "\n\t\r" or _readable(c) for c in x):
             x = None
         if len(text) < 40 and len(self.undone) < 400_000:
-            self.undone[key] = x
+            self.undone[text, k] = x
         return x
 
-    def _better(self, was: list[str], how, least: int, gain: float) -> list[str] | None:
-        """What ``was`` becomes under the transformation in ``how`` (names, and least gain and length) after which it reads best, if much better."""
+    def _better(self, was: list[str], how: list, least: int, gain: float) -> list[str] | None:
+        """What ``was`` becomes under the transformation in ``how`` after which it reads best, if much better."""
         now, n = self.model.mean([r for w in was for r in _RUN.findall(w)])
-        used = {c for w in was for c in w if c > "\x7f"}
         best = None
         if n < least or self.model.top - now < gain:
             return None
-        for read, written_in in how.items():
-            if not used <= _BYTES[read].keys():
+        for t, own_gain, own_least in how:
+            if n < own_least or self.model.top - now < own_gain:
                 continue
-            for written, own_gain, own_least in written_in:
-                if n < own_least or self.model.top - now < own_gain:
-                    continue
-                new = []
-                for w in was:
-                    new.append(self._whole(w, written, read))
-                    if new[-1] is None:
-                        break
+            new = []
+            for w in was:
+                new.append(self._whole(w, id(t), t))
                 if new[-1] is None:
-                    continue
-                then, _ = self.model.mean([r for x in new for r in _RUN.findall(x)])
-                if then - now >= max(gain, own_gain) and (best is None or then > best[0]):
-                    best = (then, new)
+                    break
+            if new[-1] is None:
+                continue
+            then, _ = self.model.mean([r for x in new for r in _RUN.findall(x)])
+            if then - now >= max(gain, own_gain) and (best is None or then > best[0]):
+                best = (then, new)
         return best and best[1]
 
     def _undo_other(self, text: str) -> tuple[str, int]:
         """Sentences and words that read much better as written in another encoding."""
-        if not any(len(r) >= 3 for r in _LONG.findall(text)):
+        if not self.wide and not self.narrow:
             return text, 0
         out, hits = [], 0
-        wide, narrow = self.wide, self.narrow
         for part in _SENTENCE.split(text):
             if _LONG.search(part):
                 words = _WORDS.findall(part)  # words of mixed letters aren't of an alphabet of their own
-                if new := self._better([part], wide, 6, 1.0):
+                if self.wide and (new := self._better([part], self.wide, 6, 1.0)):
                     part, hits = new[0], hits + 1
-                elif words and max(map(len, words)) >= 3 and (new := self._better(words, narrow, 4, 1.0)):
+                elif words and (new := self._better(words, self.narrow, 4, 1.0)):
                     table = iter(new)
                     part, hits = _WORDS.sub(lambda _: next(table), part), hits + 1
                 else:
 
                     def one(m: re.Match) -> str:
                         nonlocal hits
-                        new = self._better([m.group()], narrow, 5, 1.5) if len(m.group()) >= 4 else None
+                        new = self._better([m.group()], self.narrow, 5, 1.5)
                         hits += bool(new)
                         return new[0] if new else m.group()
 
@@ -266,13 +306,69 @@ class Restorer:
             out.append(part)
         return "".join(out), hits
 
+    def _undo_entities(self, text: str) -> tuple[str, int]:
+        """Runs of entities that stand for garbled characters; others stay as they are."""
+        total = 0
+
+        def one(m: re.Match) -> str:
+            nonlocal total
+            stand_for = html.unescape(m.group())
+            new, n = self._undo_utf8(stand_for) if not stand_for.isascii() else (stand_for, 0)
+            total += n
+            return new if n else m.group()
+
+        return (_ENTITIES.sub(one, text), total) if "&" in text else (text, 0)
+
     def __call__(self, text: str) -> tuple[str, int, bool]:
         """(text as far as it can be restored, stretches found, whether some are lost)."""
-        if text.isascii():
-            return text, 0, False
-        new, a = self._undo_other(text)
+        new, e = self._undo_entities(text)
+        if new.isascii():
+            return new, e, False
+        new, a = self._undo_other(new)
         new, b = self._undo_utf8(new)
-        return new, a + b, bool(_LOST.search(new))
+        return new, a + b + e, bool(_LOST.search(new))
+
+
+def dissect(sentence: str) -> tuple[str, list[int], list[str]]:
+    """(ASCII characters, where the runs of others stand among them, these runs)."""
+    parts = _RUN.split(sentence)
+    at, place = [], 0
+    for p in parts[:-1]:
+        place += len(p)
+        at.append(place)
+    return "".join(parts), at, _RUN.findall(sentence)
+
+
+def weave(plain: str, at: Sequence[int], runs: Sequence[str]) -> str:
+    """The sentence again."""
+    out, last = [], 0
+    for k, r in zip(at, runs):
+        out += [plain[last:k], r]
+        last = k
+    return "".join([*out, plain[last:]])
+
+
+def _hash(plain: str) -> int:
+    return int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _sentences(texts: DataFrame) -> DataFrame:
+    """(i, n, h, size, at, runs): the n-th sentence of record i, if it has characters beyond ASCII, without its ASCII characters, of which ``h`` is the hash."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("k", pa.int64()), ("n", pa.int32()), ("h", pa.int64()), ("size", pa.int32()), ("at", pa.list_(pa.int32())), ("runs", pa.list_(pa.string()))])
+        for b in batches:
+            rows = []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                for n, s in enumerate(_SENTENCE.split(t)):
+                    if not s.isascii():
+                        plain, at, runs = dissect(s)
+                        rows.append((k, n, _hash(plain), len(plain), at, runs))
+            cols = [pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(cols[0]), *cols[1:]], ["i", *schema.names[1:]])
+
+    kind = texts.schema["i"].dataType.simpleString()
+    return texts.where(F.col("t").rlike(r"[^\x00-\x7F]")).mapInArrow(cut, f"i {kind}, n int, h long, size int, at array<int>, runs array<string>")
 
 
 def _count(runs: Counter, pairs: Counter, chars: Counter, hits: Counter) -> None:
@@ -283,18 +379,17 @@ def _count(runs: Counter, pairs: Counter, chars: Counter, hits: Counter) -> None
             chars[c] += n
         for k, read in enumerate(READ) if len(run) > 1 else ():
             for m in _PATTERNS[read].finditer(run):
-                if (c := undo(m.group(), "utf-8", read)) and _readable(c):
+                if (c := CODECS[read].undo(m.group(), "utf-8")) and _readable(c):
                     hits[k, c] += n
 
 
-def _corpus_model(texts: DataFrame) -> Model:
-    """Counts over the distinct texts of ``texts`` (i, t), so that copies tell nothing. What comes back is bounded by the buckets and by the characters there are."""
+def _corpus_model(distinct: DataFrame) -> Model:
+    """Counts over the distinct sentences (runs). What comes back is bounded by the buckets and by the characters there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, pairs, chars, hits = Counter(), Counter(), Counter(), Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                runs.update(_RUN.findall(t))
+            runs.update(b.column(0).flatten().to_pylist())
             if len(runs) > 100_000:
                 _count(runs, pairs, chars, hits)
                 runs.clear()
@@ -302,168 +397,285 @@ def _corpus_model(texts: DataFrame) -> Model:
         rows = [(-2, b, n) for b, n in pairs.items()] + [(-1, ord(c), n) for c, n in chars.items()] + [(k, ord(c), n) for (k, c), n in hits.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["k", "x", "n"])
 
-    rows = texts.where(F.col("t").rlike(r"[^\x00-\x7F]")).select("t").distinct().mapInArrow(count, "k long, x long, n long").groupBy("k", "x").agg(F.sum("n").alias("n")).collect()
+    rows = distinct.select("runs").mapInArrow(count, "k long, x long, n long").groupBy("k", "x").agg(F.sum("n").alias("n")).collect()
     return Model({r.x: r.n for r in rows if r.k == -2}, {chr(r.x): r.n for r in rows if r.k == -1}, {(r.k, chr(r.x)): r.n for r in rows if r.k >= 0})
 
 
-def aligned_runs(garbled: str, clean: str) -> set[tuple[str, str]]:
-    """Differing runs of two texts with the same ASCII characters, by their place among these."""
-    sides = []
-    for text in (garbled, clean):
-        at, last, runs = 0, 0, {}
-        for m in _RUN.finditer(text):
-            at += m.start() - last
-            last = m.end()
-            runs[at] = m.group()
-        sides.append(runs)
-    g, c = sides
-    return {(g.get(k, ""), c.get(k, "")) for k in g.keys() | c.keys() if g.get(k) != c.get(k)}
-
-
-def _explains(g: str, c: str, t: tuple[str, str]) -> bool:
-    return bool(c) and g != c and undo(g, *t) == c
-
-
-def _steps(g: str, c: str, learned: Sequence[tuple[str, str]]) -> set[tuple[str, tuple[str, str]]]:
-    """The texts on the way from ``g`` back to ``c``, each with the learned transformation that it is undone by; UTF-8 may be garbled twice."""
-    out = set()
-    for t in learned:
-        if _explains(g, c, t):
-            out.add((g, t))
-        elif t[0] == "utf-8" and (x := undo(g, *t)):
-            out.update(step for u in learned if u[0] == "utf-8" and _explains(x, c, u) for step in ((g, t), (x, u)))
-    return out
+def form(h: int, at: Sequence[int], runs: Sequence[Sequence]) -> int:
+    """The same for all sentences with these ASCII characters whose runs have these lengths and repeat what they repeat at the same places."""
+    seen: dict = {}
+    return hash((h, *at, *map(len, runs), *[seen.setdefault(x, len(seen)) for r in runs for x in r]))
 
 
-def _twins(texts: DataFrame, model) -> DataFrame:
-    """(i, t, r): records in a group of twins, with the group's cleanest text."""
-    skeleton = F.regexp_replace("t", r"[^\x00-\x7F]+", "")
-    keyed = texts.select("i", "t", F.when(F.length(skeleton) >= _SKELETON, F.md5(skeleton)).alias("h")).where("h IS NOT NULL")
-    several = keyed.groupBy("h").agg(F.min(F.md5("t")).alias("a"), F.max(F.md5("t")).alias("b")).where("a <> b").select("h")
-    inside = keyed.join(several, "h", "left_semi").select("i", "t", "h")
+def _formed(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (h, size, at, runs) with the forms of its characters, of their bytes in UTF-8, and in encodings of two bytes."""
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doubt = []
-            for t in b.column(1).to_pylist():
-                runs = _RUN.findall(t)
-                doubt.append([float(len(_LOST.findall(t))), float(sum(map(len, runs))), -m.mean(runs)[0]])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(doubt, pa.list_(pa.float64()))], ["i", "t", "h", "doubt"])
+            own, utf8, wide = [], [], []
+            for h, at, runs in zip(*(b.column(c).to_pylist() for c in (0, 2, 3))):
+                own.append(form(h, at, runs))
+                utf8.append(form(h, at, [r.encode("utf-8", "surrogatepass") for r in runs]))
+                wide.append([])
+                if any(c >= "\u1100" for r in runs for c in r):
+                    for w in WIDE:
+                        try:
+                            wide[-1].append(form(h, at, [r.encode(w) for r in runs]))
+                        except UnicodeEncodeError:
+                            pass
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64()), pa.array(utf8, pa.int64()), pa.array(wide, pa.list_(pa.int64()))], ["h", "size", "at", "runs", "own", "utf8", "wide"])
+
+    return distinct.mapInArrow(forms, "h long, size int, at array<int>, runs array<string>, own long, utf8 long, wide array<long>")
+
+
+def twin_pairs(distinct: DataFrame) -> DataFrame:
+    """(kind, g, c): runs of sentences with the same ASCII characters and form, of which ``g`` may be ``c`` garbled.
+
+    In pairs of kind one the form is that of both as they stand, and which of
+    them is garbled isn't told; where the ASCII characters tell enough, equal
+    lengths will do, as only some words may be garbled. A form gives one pair or
+    two, so that sentences of one form, however many, aren't paired with each other.
+    """
+    ends = lambda df, k: df.groupBy(k.alias("k")).agg(F.min("runs").alias("lo"), F.max("runs").alias("hi")).where("lo <> hi").select(F.lit("one").alias("kind"), F.col("lo").alias("g"), F.col("hi").alias("c"))
+    told = distinct.where(F.col("size") + 2 * F.size("at") >= _TELLING)
+    out = ends(distinct, F.col("own")).unionByName(ends(told, F.xxhash64("h", "at", F.transform("runs", F.length))))
+    read = distinct.where(F.forall("runs", lambda r: F.length(r) >= 2)).groupBy(F.col("own").alias("k")).agg(F.min("runs").alias("lo"), F.max("runs").alias("hi"))
+    for kind, key in (("utf-8", F.col("utf8")), ("wide", F.explode("wide"))):
+        written = distinct.select(key.alias("k"), "runs").groupBy("k").agg(F.min("runs").alias("c"))
+        both = read.join(written, "k").select(F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("g"), "c")
+        out = out.unionByName(both.where("g <> c"))
+    return out
 
-    judged = inside.mapInArrow(judge, f"i {texts.schema['i'].dataType.simpleString()}, t string, h string, doubt array<double>")
-    best = judged.groupBy("h").agg(F.min(F.struct("doubt", "t")).alias("m")).select("h", F.col("m.t").alias("r"))
-    return judged.join(best, "h").select("i", "t", "r")
 
+def aligned(kind: str, g: Sequence[str], c: Sequence[str], model: Model) -> list[tuple[str, list[tuple[int, str]]]]:
+    """What aligning two sentences tells, character by character: (written, [(byte or original character, character read)]).
 
-def twin_runs(twins: DataFrame) -> DataFrame:
-    """(g, c): the different runs in which texts differ from the cleanest one of their ``twins`` (i, t, r)."""
+    Nothing is told where one character would stand for two, or two for one. In
+    pairs of kind one, runs may be the same in both; in others all characters differ.
+    """
+    out = []
+    if kind == "one":
+        other = [(x, y) for x, y in zip(g, c) if x != y]
+        g, c = [x for x, _ in other], [y for _, y in other]
+        if model.doubt(g) < model.doubt(c):
+            g, c = c, g
+    for written in {"utf-8": ("utf-8",), "wide": WIDE, "one": ("one",)}[kind]:
+        there: dict[int, str] = {}
+        back: dict[str, int] = {}
+        for read, original in zip(g, c):
+            try:
+                units = list(map(ord, original)) if written == "one" else list(original.encode(written))
+            except UnicodeEncodeError:
+                break
+            if len(units) != len(read) or any(there.setdefault(u, x) != x or back.setdefault(x, u) != u or (written == "one" and chr(u) == x) for u, x in zip(units, read)):
+                break
+        else:
+            if there and not any(u < 128 for u in there):
+                out.append((written, sorted(there.items())))
+    return out
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = sorted({x for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist()) if t != r for x in aligned_runs(t, r)})
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in p], pa.string()), pa.array([y for _, y in p], pa.string())], ["g", "c"])
 
-    return twins.mapInArrow(runs, "g string, c string").distinct()
+def grown(seen: dict[tuple[tuple[int, str], tuple[int, str]], int], least: int = 2) -> list[tuple[tuple[int, str], dict[str, int]]]:
+    """(seed, table) for each table of {character read: what it stands for}: from the assignment most often seen, by those seen ``least`` times together with it."""
+    often = sorted((a for a, b in seen if a == b and seen[a, b] >= least), key=lambda a: (-seen[a, a], a))
+    out: list[tuple[tuple[int, str], dict[str, int]]] = []
+    for a in often:
+        if any(t.get(a[1]) == a[0] for _, t in out):
+            continue
+        table = {a[1]: a[0]}
+        for b in often:
+            if seen.get((min(a, b), max(a, b)), 0) >= least:
+                table.setdefault(b[1], b[0])
+        out.append((a, table))
+    return out
 
 
-def learn_transforms(runs: DataFrame, min_support: int = 2) -> list[tuple[str, str]]:
-    """Transformations that explain at least ``min_support`` of the different ``runs`` (g, c) of twins, most first."""
+def named(written: str, seed: tuple[int, str], table: dict[str, int], number: int) -> list[Transform]:
+    """The transformations that a table amounts to: the encodings that explain it, the most of it first, or itself."""
+    if written == "one":
+        ways = [(Transform(w, CODECS[r]), {g for g, c in table.items() if CODECS[r].undo(g, w) == chr(c)}) for w in NARROW for r in READ if w != r]
+    else:
+        ways = [(Transform(written, CODECS[r]), {g for g, b in table.items() if CODECS[r].own.get(g) == b}) for r in READ]
+    out: list[Transform] = []
+    open_ = set(table)
+    while len(open_) >= 2:
+        t, agree = max(ways, key=lambda w: (not out and seed[1] in w[1], len(w[1] & open_)))
+        # Two garbled texts may look like each other's letters; letters are believed on more than bytes.
+        if len(agree & open_) < (6 if written == "one" else 2) or len(agree) < len(table) * (0.8 if written == "one" else 0.5):
+            break
+        out.append(t)
+        open_ -= agree
+    if out:
+        return out
+    # Letters take each other's place in two texts by chance; bytes don't.
+    return [Transform(written, Reading(f"table-{number}", dict(table)))] if written != "one" and len(table) >= 6 else []
+
+
+def learn_transforms(pairs: DataFrame, model, known: Sequence[Transform] = ()) -> list[Transform]:
+    """Transformations that twins show, the most often seen first, beside those ``known``.
+
+    Pairs of which a known transformation undoes something tell nothing more:
+    two garbled texts may look like each other's letters. What is collected is how often two assignments were seen together, twice or
+    more: bounded by the bytes and characters there are.
+    """
 
-    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both: Counter = Counter()
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
         for b in batches:
-            for g, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                # Text garbled twice is garbled once by either step; the outer one explains the inner.
-                own = [k for k, t in enumerate(TRANSFORMS) if _explains(g, c, t) or (t[0] == "utf-8" and (x := undo(g, *t)) and any(_explains(x, c, u) for u in TRANSFORMS if u[0] == "utf-8"))]
-                both.update((x, y) for x in own for y in own)
-        keys = list(both)
-        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.int32()) for i in (0, 1)] + [pa.array([both[k] for k in keys], pa.int64())], ["a", "b", "n"])
-
-    pairs = runs.mapInArrow(explain, "a int, b int, n long")
-    n = defaultdict(int, {(r.a, r.b): r.n for r in pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()})
-    kept: list[int] = []
-    for a in sorted((a for a in range(len(TRANSFORMS)) if n[a, a] >= min_support), key=lambda a: (-n[a, a], a)):
-        if not any(n[k, a] == n[a, a] for k in kept):
-            kept.append(a)
-    return [TRANSFORMS[a] for a in kept]
-
-
-def proven_stretches(runs: DataFrame, learned: Sequence[tuple[str, str]]) -> frozenset[tuple[str, str]]:
-    """(encoding read in, character) of the stretches that ``runs`` (g, c) of twins show; as many as there are characters at most."""
+            for kind, g, c in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if any(t.undo(r) is not None for t in known for r in (*g, *c)):
+                    continue
+                for written, told in aligned(kind, g, c, model.value):
+                    seen.update((written, x, y) for k, x in enumerate(told) for y in told[k:])
+        rows = [(w, x[0], x[1], y[0], y[1], n) for (w, x, y), n in seen.items()]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["w", "a", "x", "b", "y", "n"])
+
+    counted = pairs.mapInArrow(tell, "w string, a int, x string, b int, y string, n long").groupBy("w", "a", "x", "b", "y").agg(F.sum("n").alias("n")).where("n >= 2")
+    seen: dict[str, dict] = defaultdict(dict)
+    for r in counted.collect():
+        seen[r.w][(r.a, r.x), (r.b, r.y)] = r.n
+    found = [(own[seed, seed], t) for written, own in sorted(seen.items()) for k, (seed, table) in enumerate(grown(own)) for t in named(written, seed, table, k)]
+    out: dict[tuple[str, str], Transform] = {}
+    for _, t in sorted(found, key=lambda f: -f[0]):
+        out.setdefault((t.written, t.reading.name), t)
+    return list(out.values())
+
+
+def proven_stretches(pairs: DataFrame, learned: Sequence[Transform]) -> frozenset[tuple[str, str]]:
+    """(name of the reading, character) of the stretches that ``pairs`` show; as many as there are characters at most."""
 
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shown = set()
         for b in batches:
-            for g, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for x, (written, read) in _steps(g, c, learned):
-                    if written == "utf-8":
-                        shown.update((read, undo(m.group(), written, read)) for m in _PATTERNS[read].finditer(x))
-        rows = sorted((read, c) for read, c in shown if c)
+            for g, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                for t in learned:
+                    if t.written == "utf-8" and all(t.undo(x) == y for x, y in zip(g, c)):
+                        shown.update((t.reading.name, x) for y in c for x in y)
+        rows = sorted(shown)
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["read", "c"])
 
-    return frozenset((r.read, r.c) for r in runs.mapInArrow(prove, "read string, c string").distinct().collect())
+    return frozenset((r.read, r.c) for r in pairs.where("kind = 'utf-8'").mapInArrow(prove, "read string, c string").distinct().collect())
 
 
-def garbled(df: DataFrame, *, ident: Column, text: Column) -> DataFrame:
-    """(id, restored, n_stretches, lost, by_twin): the records of which some stretch is garbled.
+def _undone_twins(distinct: DataFrame, learned: Sequence[Transform], model) -> DataFrame:
+    """(h, at, runs, runs2): sentences that a learned transformation, or several in turn, make another, cleaner sentence of the corpus."""
 
-    ``restored`` is the original as far as it can be had: the clean twin's text
-    where there is one, else the text with its garbled stretches undone. A
-    clean twin also proves a record garbled in which no stretch was found;
-    ``lost`` tells that characters are gone for good (and no twin has them).
+    utf8 = [t for t in learned if t.written == "utf-8"]
 
-    Defined cases: null texts and ids are left out, texts in ASCII are never
-    garbled, repeated records come out each time; an empty table gives no rows;
-    other columns are ignored whatever their names. A word in capitals that ends
-    in an accented letter before punctuation is correct, as are unusual
-    characters that undo to nothing readable.
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, list[str], list[float]]] = []
+            for k, runs in enumerate(b.column(2).to_pylist()):
+                doubt = model.value.doubt(runs)
+                layer, depth, known = [runs], 0, {tuple(runs)}
+                while layer:  # text may be garbled several times over; each layer of UTF-8 taken off makes it shorter
+                    depth += 1
+                    shorter = []
+                    for x in layer:
+                        for t in learned if depth == 1 else utf8:
+                            new = [y if (y := t.undo(r)) is not None and all(map(_readable, y)) else r for r in x]
+                            if tuple(new) not in known:
+                                known.add(tuple(new))
+                                if (then := model.value.doubt(new)) < doubt:
+                                    out.append((k, new, then))
+                                if t.written == "utf-8":
+                                    shorter.append(new)
+                    layer = shorter
+            at = pa.array([k for k, *_ in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in range(3)], pa.array([x for _, x, _ in out], pa.list_(pa.string())), pa.array([d for *_, d in out], pa.list_(pa.float64()))], ["h", "at", "runs", "runs2", "doubt"])
+
+    turned = distinct.select("h", "at", "runs").mapInArrow(turn, "h long, at array<int>, runs array<string>, runs2 array<string>, doubt array<double>")
+    there = distinct.select("h", "at", F.col("runs").alias("runs2"))
+    return turned.join(there, ["h", "at", "runs2"]).groupBy("h", "at", "runs").agg(F.min_by("runs2", F.struct("doubt", "runs2")).alias("runs2"))
+
+
+def _whole_twins(distinct: DataFrame, learned: Sequence[Transform], model) -> DataFrame:
+    """The same for sentences with characters that are gone: the cleanest one that has the same ASCII characters, others at the same places, and all that isn't gone."""
+    lost = F.exists("runs", lambda r: r.rlike(r"[\x{FFFD}\x{80}-\x{84}\x{86}-\x{9F}]"))
+    told = F.col("size") + 2 * F.size("at") >= _TELLING
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone, kept = [], []
+            for runs in b.column(2).to_pylist():
+                gone.append([k for k, r in enumerate(runs) if _LOST.search(r)])
+                kept.append([min([r, *(x for t in learned if (x := t.undo(r)) is not None)], key=lambda x: model.value.doubt([x])) for k, r in enumerate(runs) if k not in gone[-1]])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(gone, pa.list_(pa.int32())), pa.array(kept, pa.list_(pa.string()))], ["h", "at", "runs", "gone", "kept"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doubt = [model.value.doubt(r) for r in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(doubt, pa.list_(pa.float64()))], ["h", "at", "runs2", "doubt"])
+
+    broken = distinct.where(lost & told).select("h", "at", "runs").mapInArrow(keep, "h long, at array<int>, runs array<string>, gone array<int>, kept array<string>")
+    places = broken.select("h", "at", "gone").distinct()
+    near = distinct.where(~lost & told).select("h", "at", F.col("runs").alias("runs2")).join(places.select("h", "at").distinct(), ["h", "at"], "left_semi")
+    near = near.mapInArrow(judge, "h long, at array<int>, runs2 array<string>, doubt array<double>").join(places, ["h", "at"])
+    near = near.withColumn("kept", F.filter("runs2", lambda r, k: ~F.array_contains("gone", k.cast("int"))))
+    # A character that is gone left one mark, or one for each of its bytes at most.
+    fits = F.forall(F.arrays_zip("runs", "runs2"), lambda x: (F.length(x["runs2"]) <= F.length(x["runs"])) & (F.length(x["runs"]) <= F.octet_length(x["runs2"])))
+    both = broken.join(near, ["h", "at", "gone", "kept"]).where(fits)
+    return both.groupBy("h", "at", "runs").agg(F.min_by("runs2", F.struct("doubt", "runs2")).alias("runs2"))
+
+
+def _near(df: DataFrame) -> DataFrame:
+    """``df``, which is written already, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= _BROADCAST_ROWS else df
+
+
+def garbled(df: DataFrame, *, ident: Column, text: Column, untaught: bool = False) -> DataFrame:
+    """(id, restored, n_stretches, lost, by_twin): the records of which some stretch is garbled.
+
+    ``restored`` is the original as far as it can be had: sentences of which a
+    clean twin is there are that twin, in others the stretches that a learned
+    transformation explains are undone. ``lost`` tells that characters are gone
+    for good, and no twin has them; ``by_twin`` that some sentence is a twin's.
+    With ``untaught``, transformations between known encodings that no twin
+    shows are tried as well, on more evidence; small corpora have few twins.
+
+    Defined cases: null texts and ids are left out, texts in ASCII without
+    entities are never garbled, repeated records come out each time; an empty
+    table gives no rows; other columns are ignored whatever their names. A word
+    in capitals that ends in an accented letter before punctuation is correct,
+    as are unusual characters that undo to nothing readable.
     """
     sc = df.sparkSession.sparkContext
     texts = df.select(ident.alias("i"), text.cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    model = sc.broadcast(_corpus_model(texts))
-    twins = durable(_twins(texts, model))
-    runs = durable(twin_runs(twins))
-    learned = learn_transforms(runs)
-    proven = proven_stretches(runs, learned)
+    sentences = durable(_sentences(texts))
+    distinct = durable(_formed(sentences.select("h", "size", "at", "runs").distinct()))
+    model = sc.broadcast(_corpus_model(distinct))
+    pairs = durable(twin_pairs(distinct))
+    learned = learn_transforms(pairs.where("kind = 'utf-8'"), model)
+    learned += learn_transforms(pairs.where("kind <> 'utf-8'"), model, learned)
+    proven = proven_stretches(pairs, learned)
+    rest = UNTAUGHT if untaught else ()
+    twins = durable(_undone_twins(distinct, learned, model).withColumn("sure", F.lit(True)).unionByName(_whole_twins(distinct, learned, model).withColumn("sure", F.lit(False))))
+    patch = F.struct("n", "h", "at", "runs", "runs2", "sure")
+    patches = durable(sentences.drop("size").join(_near(twins), ["h", "at", "runs"]).groupBy("i").agg(F.collect_set(patch).alias("p")))
     kind = texts.schema["i"].dataType.simpleString()
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        undo_all = Restorer(learned, model.value, proven)
+        undo_all = Restorer(learned, model.value, proven, rest)
         for b in batches:
             rows = []
-            for k, t in enumerate(b.column(1).to_pylist()):
-                new, n, lost = undo_all(t)
-                if n or lost:
-                    rows.append((k, new, n, lost))
+            for k, (t, patch) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                n, twin = 0, False
+                if patch:
+                    parts = _SENTENCE.split(t)
+                    for p in sorted(patch, key=lambda p: p["sure"]):
+                        plain, at, runs = dissect(parts[p["n"]]) if p["n"] < len(parts) else ("", [], [])
+                        if (_hash(plain), at, runs) == (p["h"], p["at"], p["runs"]):
+                            parts[p["n"]] = weave(plain, at, p["runs2"])
+                            n, twin = n + max(1, sum(x != y for x, y in zip(runs, p["runs2"]))), True
+                    t = "".join(parts)
+                new, more, lost = undo_all(t)
+                if n or more or lost:
+                    # A mark of the byte order is no part of the text.
+                    rows.append((k, new.removeprefix("\ufeff"), n + more, lost, twin))
             at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.bool_())],
-                ["i", "restored", "n", "lost"],
-            )
-
-    def by_twin_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Records that the search passes over, with the number of their runs that a learned transformation turns into their twin's."""
-        undo_all = Restorer(learned, model.value, proven)
-        for b in batches:
-            rows = []
-            for k, (t, r) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                if n := sum(bool(_steps(g, c, learned)) for g, c in aligned_runs(t, r)):
-                    _, found, lost = undo_all(t)
-                    if not found and not lost:
-                        rows.append((k, n))
-            at = pa.array([k for k, _ in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array([n for _, n in rows], pa.int64())], ["i", "r", "n"])
-
-    schema = f"i {kind}, restored string, n long, lost boolean"
-    found = texts.where(F.col("t").rlike(r"[^\x00-\x7F]")).mapInArrow(restore, schema)
-    # A twin's text is the original only if it isn't garbled itself.
-    clean = durable(twins.where("t <> r").select("i", "r").distinct())
-    bad = clean.select(F.md5("r").alias("i"), F.col("r").alias("t")).distinct().mapInArrow(restore, "i string, restored string, n long, lost boolean").select(F.col("i").alias("h"))
-    shown = twins.where("t <> r").mapInArrow(by_twin_only, f"i {kind}, r string, n long").join(bad, F.md5("r") == F.col("h"), "left_anti")
-    found = found.unionByName(shown.select("i", F.col("r").alias("restored"), "n", F.lit(False).alias("lost")))
-    originals = clean.join(bad, F.md5("r") == F.col("h"), "left_anti").groupBy("i").agg(F.min("r").alias("r"))
-    out = found.join(originals, "i", "left")
-    return out.select(
-        F.col("i").alias("id"), F.coalesce("r", "restored").alias("restored"), F.col("n").alias("n_stretches"), (F.col("lost") & F.col("r").isNull()).alias("lost"), F.col("r").isNotNull().alias("by_twin")
-    )
+            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *[pa.array([r[c + 1] for r in rows], x) for c, x in enumerate(kinds)]], ["id", "restored", "n_stretches", "lost", "by_twin"])
+
+    found = texts.where(F.col("t").rlike(_SUSPECT)).join(_near(patches), "i", "left").select("i", "t", "p")
+    return found.mapInArrow(restore, f"id {kind}, restored string, n_stretches long, lost boolean, by_twin boolean")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm.garble import aligned_runs, garbled, undo
+from orrery.llm.garble import CODECS, Model, aligned, dissect, garbled, grown, named, weave
 
 NOUNS = "trésorerie société marché Zürich Łódź São café forêt über łatwo señal qualité".split()
 RUSSIAN = "Компания сообщила о выручке за год и прогнозе на следующий квартал после сделки".split()
@@ -43,7 +43,7 @@ def corpus():
 def test_finds_and_restores(spark, corpus):
     rows, true = corpus
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc long, text string, h string, n int")
-    got = {r.id: r for r in garbled(df, ident=F.col("doc"), text=F.col("text")).collect()}
+    got = {r.id: r for r in garbled(df, ident=F.col("doc"), text=F.col("text"), untaught=True).collect()}
     assert got.keys() == true.keys()
     assert [i for i in true if got[i].restored != true[i]] == []
     assert got[2001].lost and not got[2000].lost
@@ -54,12 +54,12 @@ def test_empty_and_repeated(spark):
     schema = "doc long, text string"
     assert garbled(spark.createDataFrame([], schema), ident=F.col("doc"), text=F.col("text")).count() == 0
     row = (1, "cafÃ© " * 5_000 + "naÃ¯ve café " * 5_000 + "naïve café " * 50_000)
-    got = garbled(spark.createDataFrame([row, row], schema), ident=F.col("doc"), text=F.col("text")).collect()
+    got = garbled(spark.createDataFrame([row, row], schema), ident=F.col("doc"), text=F.col("text"), untaught=True).collect()
     assert [r.restored for r in got] == [row[1].replace("Ã©", "é").replace("Ã¯", "ï")] * 2
 
 
-def run(spark, rows):
-    return {r.id: r for r in garbled(spark.createDataFrame(rows, "doc long, text string"), ident=F.col("doc"), text=F.col("text")).collect()}
+def run(spark, rows, **kw):
+    return {r.id: r for r in garbled(spark.createDataFrame(rows, "doc long, text string"), ident=F.col("doc"), text=F.col("text"), **kw).collect()}
 
 
 def test_copies_of_a_garbled_text_do_not_make_its_characters_unusual(spark):
@@ -68,7 +68,7 @@ def test_copies_of_a_garbled_text_do_not_make_its_characters_unusual(spark):
     rows += [(300 + i, f"Den gode smørrebrød number {i} is on the menu of the day.") for i in range(10)]
     rows += [(400 + i, garble("One and the same notice about smørrebrød, sent over and over.", "utf-8", "cp1252")) for i in range(60)]
     rows += [(500, garble("Another text that has smørrebrød as well, without a twin.", "utf-8", "cp1252"))]
-    assert run(spark, rows).keys() == {*range(400, 460), 500}
+    assert run(spark, rows, untaught=True).keys() == {*range(400, 460), 500}
 
 
 def test_what_twins_prove_is_not_refused(spark):
@@ -91,7 +91,61 @@ def test_a_clean_twin_brings_a_record_back(spark):
     assert got[401].restored == short and got[401].by_twin and not got[401].lost and got[401].n_stretches == 1
 
 
-def test_alignment_and_undo():
-    assert aligned_runs("SÃ£o é â€“ x", "São é – x") == {("Ã£", "ã"), ("â€“", "–")}
-    assert aligned_runs("ï»¿a", "a") == {("ï»¿", "")}
-    assert undo("Ã©", "utf-8", "cp1252") == "é" and undo("é", "utf-8", "cp1252") is None and undo("日", "utf-8", "cp1252") is None
+def test_alignment_tells_what_bytes_were_read_as():
+    model = Model({}, {}, {})
+    assert aligned("utf-8", ["Ã£", "Ã©"], ["ã", "é"], model) == [("utf-8", [(0xA3, "£"), (0xA9, "©"), (0xC3, "Ã")])]
+    assert aligned("utf-8", ["Ã£", "ÃŠ"], ["ã", "ú"], model) == [("utf-8", [(0xA3, "£"), (0xBA, "Š"), (0xC3, "Ã")])]
+    assert aligned("utf-8", ["Ã£", "ÅŠ"], ["ã", "ú"], model) == []  # one byte would be two characters
+    s = "São é – x"
+    assert weave(*dissect(s)) == s and dissect(s) == ("So   x", [1, 3, 4], ["ã", "é", "–"]) and dissect("") == ("", [], [])
+    assert CODECS["cp1252"].undo("Ã©", "utf-8") == "é" and CODECS["cp1252"].undo("é", "utf-8") is None and CODECS["cp1252"].undo("日", "utf-8") is None
+
+
+def test_a_reading_that_no_encoding_has_is_learned(spark):
+    """Bytes read by a table of its own: what twins show of it is enough to restore texts without twins."""
+    rnd = random.Random(4)
+    odd = {b: chr(0x2800 + (b * 37) % 128) for b in range(128, 256)}
+    broken = lambda t: "".join(odd.get(b) or chr(b) for b in t.encode())
+    rows = [(i, clean_text(rnd)) for i in range(300)]
+    rows += [(400 + i, broken(rows[i][1])) for i in range(40)]
+    late = {500 + i: clean_text(rnd) for i in range(20)}
+    got = run(spark, rows + [(i, broken(t)) for i, t in late.items()])
+    assert got.keys() == {*range(400, 440), *late}
+    assert all(got[i].restored == t for i, t in late.items()) and all(got[400 + i].restored == rows[i][1] for i in range(40))
+
+
+def test_tables_are_named_by_the_encodings_that_explain_them():
+    told = [(CODECS["cp1252"].own[c], c) for c in "Ã©¨±€™œ"] + [(0x80, "\x80"), (0x99, "\x99"), (0x9C, "\x9c")]
+    seen = {(min(a, b), max(a, b)): 3 for a in told for b in told}
+    ((seed, table),) = grown(seen)
+    assert {t.reading.name for t in named("utf-8", seed, table, 0)} == {"cp1252", "latin-1"}
+
+
+def test_short_sentences_and_near_twins(spark):
+    """Sentences without ASCII letters have twins too, and records that share one sentence only."""
+    rnd = random.Random(6)
+    rows = [(i, "".join(rnd.choice("売上高は前年同期比で増加し利益率も改善した会社発表によると") for _ in range(12)) + f". {clean_text(rnd)}") for i in range(150)]
+    rows += [(300 + i, garble(rows[i][1].split(". ")[0] + ".", "utf-8", "mac_roman") + f" Another text altogether, number {i}.") for i in range(12)]
+    got = run(spark, rows)
+    assert got.keys() == set(range(300, 312)) and all(r.by_twin for r in got.values())
+    assert all(got[300 + i].restored.startswith(rows[i][1].split(". ")[0]) for i in range(12))
+
+
+def test_entities_that_stand_for_garbled_characters(spark):
+    rnd = random.Random(7)
+    rows = [(i, clean_text(rnd)) for i in range(200)]
+    rows += [(300 + i, garble(rows[i][1], "utf-8", "cp1252")) for i in range(30)]
+    rows += [(400, "The Caf&#195;&#169; near S&#xC3;&#xA3;o &#8211; open"), (401, "The Caf&#233; of O&#8217;Neill &amp; sons, &#233;&#8217; &lt;&gt;"), (402, "Caf&Atilde;&copy; and M&#252;nchen")]
+    got = run(spark, rows)
+    assert got.keys() == {*range(300, 330), 400, 402}
+    assert got[400].restored == "The Café near São &#8211; open" and got[402].restored == "Café and M&#252;nchen"
+
+
+def test_lost_characters_come_back_from_a_twin(spark):
+    rnd = random.Random(8)
+    rows = [(i, clean_text(rnd)) for i in range(200)]
+    rows += [(300 + i, garble(rows[i][1], "utf-8", "cp1252")) for i in range(20)]
+    rows += [(400, "Акции снова выросли в мае на 4 % in the first half of it."), (401, "Акции снова выросли в �������� на 4 % in the first half of it."), (402, "Акции снова ������� в мае на 4 % in the first half of it.")]
+    got = run(spark, rows)
+    assert got.keys() == {*range(300, 320), 401, 402}
+    assert got[402].restored == rows[-3][1] and not got[402].lost and got[401].lost and got[401].restored == rows[-2][1]
