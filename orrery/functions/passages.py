@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,14 +24,24 @@ CUSTOMER = (
 COMPETITOR = r"(?i)\b(compet\w+|rival|alternative to|substitutes?)\b"
 SUPPLIER = r"(?i)\b(supplier|foundry|we purchase|we source|vendor|manufactured (?:for|by) us|contract manufacturer)\b"
 
-_MARK = "\u0000"
+#: Where a sentence ends for quoting: not behind these abbreviations or a single capital, and before a capital, quote or bracket (fixed values).
+QUOTE_END = r"(?<!\bInc|\bCorp|\bLtd|\bCo|\bNo|\bU\.S|\s[A-Z])\.\s+(?=[A-Z(\"])"
+#: A percentage that is quoted: none that only bounds a share from below (fixed values).
+QUOTE_SHARE = r"(\d{1,3}(?:\.\d)?)\s?%(?!\s*(?i:or\s+(?:more|greater|higher)))"
 
 
 def sentences(passage: Column) -> Column:
     """Sentences of a passage, as an array; abbreviations don't end one."""
-    for a in ABBREVIATIONS:
-        passage = F.replace(passage, F.lit(a), F.lit(a.replace(".", _MARK)))
-    return F.transform(F.split(passage, r"(?<=[.!?])\s+"), lambda s: F.replace(s, F.lit(_MARK), F.lit(".")))
+    kept = "".join(rf"(?<!{re.escape(a)})" for a in ABBREVIATIONS)
+    return F.split(passage, rf"(?<=[.!?]){kept}\s+")
+
+
+def disclosure(passage: Column, party: Column) -> Column:
+    """(says, pct): the first sentence with the party's first word, and the first share in it that isn't a lower bound; null without either."""
+    word = F.regexp_replace(F.regexp_extract(party, r"(\S+)", 1), r"^[,.]+|[,.]+$", "")
+    says = F.when(word != "", F.get(F.filter(F.split(passage, QUOTE_END), lambda s: F.contains(s, word)), F.lit(0)))
+    pct = F.regexp_extract(says, QUOTE_SHARE, 1)
+    return F.struct(F.trim(says).alias("says"), F.when(pct != "", pct).alias("pct"))
 
 
 def naming_sentence(passage: Column, party: Column) -> Column:
@@ -51,9 +63,13 @@ def relation(sentence: Column) -> Column:
     return out.otherwise("unstated")
 
 
+#: Percentages, tags and entities as passages have them (fixed values).
+PERCENTAGE, TAG, ENTITY = r"(\d+(?:\.\d+)?)%", r"<[^>]+>", r"&#\d+;|&[a-z]+;"
+
+
 def percentage(sentence: Column) -> Column:
     """The first percentage in a sentence, as written; null without one."""
-    p = F.regexp_extract(sentence, r"(\d+(?:\.\d+)?)%", 1)
+    p = F.regexp_extract(sentence, PERCENTAGE, 1)
     return F.when(p != "", p)
 
 
@@ -66,8 +82,8 @@ def proximity_label(window: Column, at: Column, radius: int = 120) -> Column:
 
 def clean_html(html: Column) -> Column:
     """Text without tags and entities, white space as single spaces."""
-    t = F.regexp_replace(html, r"<[^>]+>", " ")
-    return F.regexp_replace(F.regexp_replace(t, r"&#\d+;|&[a-z]+;", " "), r"\s+", " ")
+    t = F.regexp_replace(html, TAG, " ")
+    return F.regexp_replace(F.regexp_replace(t, ENTITY, " "), r"\s+", " ")
 
 
 def quotable(sentence: Column) -> Column:
@@ -82,11 +98,3 @@ DESIGNATOR = r"^[\s,.]{0,3}(Inc|Corp|Corporation|Company|Co\b|Ltd|Limited|plc|PL
 def designated(after: Column) -> Column:
     """Whether the text right behind a name begins with a designator."""
     return F.coalesce(after.rlike(DESIGNATOR), F.lit(False))
-
-
-def windows(text: Column, words: Column, radius: int = 420) -> Column:
-    """Array of (word, at, window) for the first place of each of ``words`` in ``text``, with ``radius`` characters to either side."""
-    at = lambda w: F.position(w, text)
-    found = F.filter(words, lambda w: F.contains(text, w))
-    start = lambda w: F.greatest(at(w) - radius, F.lit(1))
-    return F.transform(found, lambda w: F.struct(w.alias("word"), (at(w) - 1).alias("at"), F.substr(text, start(w), at(w) + radius - start(w)).alias("window")))

@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 
 
 def hops(starts: DataFrame, edges: DataFrame, max_hops: int = 2) -> DataFrame:
-    """(sid, start, node, depth, path, share): ways back from ``starts`` (sid, start, as_of) along ``edges`` (src, dst, day, share).
+    """(sid, start, node, depth, path, share, filed): ways back from ``starts`` (sid, start, as_of) along ``edges`` (src, dst, day, share).
 
     Every edge of a way must be known by the start's date, which is the same as
     leaving later edges out before each step. An edge is used once in a way;
-    nodes may come again. ``share`` is the last edge's.
+    nodes may come again. ``share`` and ``filed`` are the last edge's.
     """
     e = edges.select("src", "dst", "day", "share")
-    at = starts.select("sid", "start", "as_of", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array("start").alias("path"), F.lit(None).cast("double").alias("share"), F.array().cast("array<string>").alias("used"))
+    at = starts.select("sid", "start", "as_of", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array("start").alias("path"), F.lit(None).cast("double").alias("share"), F.lit(None).cast("date").alias("filed"), F.array().cast("array<string>").alias("used"))
     out = None
     for _ in range(max_hops):
         key = F.concat_ws(">", "src", "dst", "day")
         step = at.join(e.withColumnRenamed("share", "s"), F.col("node") == F.col("dst")).where((F.col("day") <= F.col("as_of")) & ~F.array_contains("used", key))
-        at = step.select("sid", "start", "as_of", F.col("src").alias("node"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("src")).alias("path"), F.col("s").alias("share"), F.array_append("used", key).alias("used"))
+        at = step.select("sid", "start", "as_of", F.col("src").alias("node"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("src")).alias("path"), F.col("s").alias("share"), F.col("day").alias("filed"), F.array_append("used", key).alias("used"))
         out = at if out is None else out.unionByName(at)
     return out.drop("used", "as_of")
 
@@ -33,6 +33,12 @@ def laggers(starts: DataFrame, edges: DataFrame, max_hops: int = 2) -> DataFrame
     return one.select("sid", F.col("start").alias("leader"), F.col("node").alias("lagger"), F.col("depth").alias("lag_days"), (share / 100).alias("beta"))
 
 
+def shown_ways(starts: DataFrame, edges: DataFrame, max_hops: int = 2) -> DataFrame:
+    """(sid, start, node, depth, path, share, filed): the way that is shown to each node: among the shortest that with the largest last share (none counts as 0), then the latest filing."""
+    best = Window.partitionBy("sid", "start", "node").orderBy("depth", F.coalesce("share", F.lit(0.0)).desc(), F.col("filed").desc(), F.array_join("path", ">"))
+    return hops(starts, edges, max_hops).withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+
+
 def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
     """Undirected edges (a, b, ...) from either end."""
     return edges.select("a", "b", *extra).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *extra))

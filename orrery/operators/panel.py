@@ -9,6 +9,8 @@ the *inclusive* one ends with the session of (or last before) a date, the
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,26 @@ def session_ends(days: DataFrame, p: DataFrame) -> DataFrame:
     return ends.agg(F.count("d").cast("int").alias("ti"), F.count_if(F.col("d") < F.col("as_of")).cast("int").alias("tx")).withColumn("n", s.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar())
 
 
+def pinned_split(p: DataFrame, start: date, *, before: int | None = None, last: date | None = None) -> tuple[DataFrame, DataFrame]:
+    """``p`` before ``start`` and from then on, or a ValueError.
+
+    ``start`` must lie within the data and be a session: splitting at the next
+    one would shift the split unseen. ``before`` and ``last``, if given, pin how
+    many sessions the first part has and which is its last, so that history
+    changed underneath is noticed too.
+    """
+    at = p.select("d").distinct().agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count_if(F.col("d") == start).alias("there"), F.count_if(F.col("d") < start).alias("n"), F.max(F.when(F.col("d") < start, F.col("d"))).alias("last")).first()
+    if at.lo is None or not at.lo <= start <= at.hi:
+        raise ValueError(f"{start} is outside the data ({at.lo} to {at.hi})")
+    if not at.there:
+        raise ValueError(f"{start} is no session")
+    if before is not None and at.n != before:
+        raise ValueError(f"{at.n} sessions before {start}, not {before}")
+    if last is not None and at["last"] != last:
+        raise ValueError(f"the last session before {start} is {at['last']}, not {last}")
+    return p.where(F.col("d") < start), p.where(F.col("d") >= start)
+
+
 def log_returns(p: DataFrame) -> DataFrame:
     """(symbol, i, lr): logarithmic returns on the grid."""
     w = Window.partitionBy("symbol").orderBy("i")

@@ -78,13 +78,24 @@ def s6_listing_filter(spark, sf_dir):
 
 def s7_most_liquid(spark, sf_dir, n=50):
     """The ``n`` most liquid symbols that are no funds."""
-    funds = table(spark, sf_dir, "company_ref").where(F.col("title").rlike(FUND)).select(F.col("ticker").alias("symbol"))
+    funds = table(spark, sf_dir, "company_ref").where(is_fund(F.col("title"))).select(F.col("ticker").alias("symbol"))
     med = bars(spark, sf_dir).groupBy("symbol").agg(F.median("dollar_vol").alias("m")).join(funds, "symbol", "left_anti")
     return med.orderBy(F.col("m").desc_nulls_last(), "symbol").limit(n).select("symbol", F.round("m", 0).alias("median_dollar_vol"))
 
 
-FUND = r"(?i)\b(etf|trust|fund|ishares|index)\b"
-LEVERAGE = r"(?i)\b(2x|3x|ultra|leveraged|inverse|bull|bear)\b"
+#: What names a fund, and what a leveraged or inverse one; only both together name the latter (fixed values).
+FUND = r"(?i)\b(etfs?|etns?|trusts?|funds?|shares?|proshares|direxion|microsectors|graniteshares|tidal|themes|tradr|defiance)\b"
+LEVERAGE = r"(?i)(\b\d+(\.\d+)?x\b|-\d+(\.\d+)?x\b|\bbull\b|\bbear\b|\bultra\w*\b|\binverse\b|\bleveraged\b|\bshort\b)"
+
+
+def is_fund(name):
+    """Whether a name is a fund's; a null one isn't."""
+    return F.coalesce(name.rlike(FUND), F.lit(False))
+
+
+def is_leveraged(name):
+    """Whether a name is that of a leveraged or inverse fund."""
+    return is_fund(name) & F.coalesce(name.rlike(LEVERAGE), F.lit(False))
 
 
 def p2_log_returns(spark, sf_dir):
@@ -116,9 +127,13 @@ def p10_coverage(spark, sf_dir):
 
 
 def p16_funds(spark, sf_dir):
-    """Names that are funds, and leveraged ones among them."""
-    t = F.coalesce("title", F.lit(""))
-    return table(spark, sf_dir, "company_ref").select("ticker", t.rlike(FUND).alias("is_fund"), (t.rlike(FUND) & t.rlike(LEVERAGE)).alias("is_leveraged"))
+    """Names that are funds, and leveraged or inverse ones among them: those of listed companies, now and formerly, and of parties in filings."""
+    ref = table(spark, sf_dir, "company_ref")
+    names = ref.select(F.col("title").alias("name")).unionByName(ref.select(F.col("former_title").alias("name"))).unionByName(table(spark, sf_dir, "filing_mention").select(F.col("counterparty").alias("name")))
+    # Names of companies with words that funds' names have, each read as a fund's as well.
+    as_fund = names.where("name IS NOT NULL").distinct().select("name", F.explode(F.array(F.lit(""), F.lit(" ETF"), F.lit(" 2x Shares"), F.lit(" Bear"), F.lit(" -1.5x ETN"))).alias("more"))
+    n = F.concat("name", "more")
+    return as_fund.select(n.alias("name"), is_fund(n).alias("is_fund"), is_leveraged(n).alias("is_leveraged"))
 
 
 def j2_comovement(spark, sf_dir):
@@ -305,17 +320,19 @@ SELECT a, b, round(corr, 8) AS corr, n_sessions, CASE WHEN n_sessions > 3 THEN r
 SCAN = """scan AS (SELECT symbol, day, sum0 / nullif(sd * sqrt(3), 0) AS z FROM (
   SELECT p.symbol, a.d AS day, coalesce(sum(r) FILTER (WHERE p.i >= a.ti - 3), 0) AS sum0, stddev_samp(r) FILTER (WHERE p.i < a.ti - 3) AS sd FROM p JOIN pit a ON p.i BETWEEN a.ti - 3 - {trail} AND a.ti - 1 GROUP BY ALL))"""
 
+_FUND_SQL = r"(?i)\b(etfs?|etns?|trusts?|funds?|shares?|proshares|direxion|microsectors|graniteshares|tidal|themes|tradr|defiance)\b"
+_LEVERAGE_SQL = r"(?i)(\b[0-9]+([.][0-9]+)?x\b|-[0-9]+([.][0-9]+)?x\b|\b(bull|bear|inverse|leveraged|short)\b|\bultra[0-9a-z_]*\b)"
 ORACLE = {
     "s1_bar_scan": "SELECT symbol, date, close, volume FROM bar WHERE date BETWEEN DATE '2024-11-01' AND DATE '2024-11-30'",
     "s2_closes_panel": f"WITH {PANEL} SELECT symbol, strftime(d, '%Y-%m-%d') AS day, i, round(c, 6) AS close, round(r, 8) AS ret FROM p",
     "s5_liquid_symbols": f"WITH {BAR} SELECT symbol FROM b GROUP BY 1 HAVING median(dollar_vol) >= 10000000 UNION SELECT upper(trim(symbol)) FROM news_symbol WHERE upper(trim(symbol)) IN (SELECT ticker FROM company_ref)",
     "s6_listing_filter": "SELECT ticker, exchange FROM company_ref WHERE exchange IN ('NYSE', 'NASDAQ', 'ARCA') AND ticker NOT LIKE '%.%' AND ticker NOT LIKE '%/%'",
-    "s7_most_liquid": rf"WITH {BAR} SELECT symbol, round(median(dollar_vol), 0) AS median_dollar_vol FROM b WHERE symbol NOT IN (SELECT ticker FROM company_ref WHERE regexp_matches(title, '(?i)\b(etf|trust|fund|ishares|index)\b')) GROUP BY 1 ORDER BY median(dollar_vol) DESC NULLS LAST, symbol LIMIT 50",
+    "s7_most_liquid": rf"WITH {BAR} SELECT symbol, round(median(dollar_vol), 0) AS median_dollar_vol FROM b WHERE symbol NOT IN (SELECT ticker FROM company_ref WHERE regexp_matches(title, '{_FUND_SQL}')) GROUP BY 1 ORDER BY median(dollar_vol) DESC NULLS LAST, symbol LIMIT 50",
     "f2_log_returns": f"WITH {PANEL} SELECT symbol, i, round(ln(c) - ln(c0), 8) AS log_ret FROM p WHERE c IS NOT NULL AND c0 IS NOT NULL",
     "f4_window_ends": f"WITH {_ENDS} SELECT strftime(d, '%Y-%m-%d') AS day, ti, tx, n FROM ends",
     "f7_session_available": f"WITH {_ENDS}, w AS (SELECT d, CASE WHEN ti = tx THEN format('{{}} not found in data (last session available: {{}})', d, (SELECT max(d) FROM sess)) WHEN tx < 60 THEN format('only {{}} sessions precede {{}}, need 60', tx, d) ELSE '' END AS reason FROM ends) SELECT strftime(d, '%Y-%m-%d') AS day, reason = '' AS ok, reason FROM w",
     "f10_coverage": f"WITH {PANEL} SELECT symbol, count(r) AS n_returns FROM p GROUP BY 1 HAVING count(r) >= 0.9 * (SELECT n FROM ns)",
-    "f16_funds": r"WITH t AS (SELECT ticker, regexp_matches(coalesce(title, ''), '(?i)\b(etf|trust|fund|ishares|index)\b') AS f, regexp_matches(coalesce(title, ''), '(?i)\b(2x|3x|ultra|leveraged|inverse|bull|bear)\b') AS l FROM company_ref) SELECT ticker, f AS is_fund, f AND l AS is_leveraged FROM t",
+    "f16_funds": rf"WITH n AS (SELECT title AS name FROM company_ref UNION SELECT former_title FROM company_ref UNION SELECT counterparty FROM filing_mention), x AS (SELECT name || more AS name FROM n, (SELECT unnest(['', ' ETF', ' 2x Shares', ' Bear', ' -1.5x ETN']) AS more) WHERE name IS NOT NULL) SELECT name, regexp_matches(name, '{_FUND_SQL}') AS is_fund, regexp_matches(name, '{_FUND_SQL}') AND regexp_matches(name, '{_LEVERAGE_SQL}') AS is_leveraged FROM x",
     "j2_comovement": f"WITH {_EDGES}",
     "j2_comovement_blocked": f"WITH {_EDGES}",
     "a5_market_scan": f"WITH {PANEL}, pit AS (SELECT max(d) AS d, max(i) + 1 AS ti FROM sess GROUP BY date_trunc('month', d) HAVING max(i) + 1 < (SELECT n FROM ns) AND max(i) + 1 >= 63), {SCAN.format(trail=60)} SELECT strftime(day, '%Y-%m-%d') AS day, symbol, round(z, 7) AS z FROM scan WHERE abs(z) >= 2",

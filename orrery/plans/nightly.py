@@ -7,12 +7,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
+from orrery.functions.embedding import embed
 from orrery.operators.comovement import edges_blocked
 from orrery.operators.panel import closes, panel
-from orrery.operators.records import merge_latest
-from orrery.sources.sinks import replace_parquet, replace_snapshots
+from orrery.operators.records import insert_new, merge_latest
+from orrery.sources.readers import audit_log
+from orrery.sources.sinks import merge_days, publish, published, replace_snapshots
 
 
 @dataclass(frozen=True)
@@ -40,20 +41,38 @@ def run_steps(steps: Sequence[Step]) -> tuple[list[str], list[str]]:
     return done, errors
 
 
-def _there(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def merge_bars(spark: SparkSession, fresh: DataFrame, path: str) -> str:
-    """Merge ``fresh`` bars (symbol, timestamp, ...) into the table at ``path``."""
-    old = _there(spark, path)
-    replace_parquet(merge_latest(fresh.limit(0) if old is None else old, fresh, ["symbol", "timestamp"]), path)
+    """Merge ``fresh`` bars (symbol, timestamp, ...) into the table at ``path``, day by day."""
+    merge_days(fresh.where("timestamp IS NOT NULL"), path, ["symbol", "timestamp"], F.to_date("timestamp"), merge_latest)
     return f"bars up to {spark.read.parquet(path).agg(F.max('timestamp')).first()[0]}"
 
 
+def merge_news(spark: SparkSession, articles: DataFrame, tags: DataFrame, root: str) -> str:
+    """Articles and tags that aren't there yet, as a new version of either table."""
+    out = []
+    for name, fresh, keys in (("articles", articles, ["id"]), ("tags", tags, ["article_id", "symbol"])):
+        there = published(spark, f"{root}/{name}")
+        new = insert_new(fresh.limit(0) if there is None else there, fresh, keys)
+        publish(new if there is None else there.unionByName(new), f"{root}/{name}")
+        out.append(f"{published(spark, f'{root}/{name}').count()} {name}")
+    return ", ".join(out)
+
+
+def add_vectors(spark: SparkSession, root: str) -> str:
+    """Vectors of the articles that have none yet."""
+    a, there = published(spark, f"{root}/articles"), published(spark, f"{root}/vectors")
+    new = a if there is None else a.join(there.select("id"), "id", "left_anti")
+    new = new.select("id", embed(F.concat_ws(" ", F.coalesce("headline", F.lit("")), F.coalesce("summary", F.lit("")))).alias("vec"))
+    publish(new if there is None else there.unionByName(new), f"{root}/vectors")
+    return f"{published(spark, f'{root}/vectors').count()} vectors"
+
+
+def extract_fires(spark: SparkSession, log: DataFrame, kind: str, path: str) -> str:
+    """Candidates out of an audit log, as a table."""
+    publish(audit_log(log, kind), path)
+    return f"{published(spark, path).count()} candidates"
+
+
 def snapshot_comovement(spark: SparkSession, bars_path: str, path: str, *, trail: int = 250, min_abs_corr: float = 0.5) -> str:
     """Co-movement over the ``trail`` sessions before the last one, as that date's snapshot; snapshots of other dates stay."""
     b = spark.read.parquet(bars_path)
@@ -66,7 +85,12 @@ def snapshot_comovement(spark: SparkSession, bars_path: str, path: str, *, trail
     return f"snapshot of {last.d}"
 
 
-def nightly(spark: SparkSession, fresh: DataFrame, root: str, *, trail: int = 250) -> tuple[list[str], list[str]]:
-    """Bars, then the snapshot made of them."""
+def nightly(spark: SparkSession, fresh: DataFrame, root: str, *, trail: int = 250, log: DataFrame | None = None, news: tuple[DataFrame, DataFrame] | None = None) -> tuple[list[str], list[str]]:
+    """Candidates from ``log``, bars, the snapshot made of them, ``news`` (articles, tags), and the articles' vectors."""
     bars, snaps = f"{root}/long_bars.parquet", f"{root}/moves_with.parquet"
-    return run_steps([Step("bars", lambda: merge_bars(spark, fresh, bars)), Step("comovement", lambda: snapshot_comovement(spark, bars, snaps, trail=trail), ["bars"])])
+    steps = [Step("bars", lambda: merge_bars(spark, fresh, bars)), Step("comovement", lambda: snapshot_comovement(spark, bars, snaps, trail=trail), ["bars"])]
+    if log is not None:
+        steps.insert(0, Step("fires", lambda: extract_fires(spark, log, "alert", f"{root}/fires")))
+    if news is not None:
+        steps += [Step("news", lambda: merge_news(spark, *news, root)), Step("vectors", lambda: add_vectors(spark, root), ["news"])]
+    return run_steps(steps)

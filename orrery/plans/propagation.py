@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery.operators import evidence as ev
 from orrery.operators import statistics as st
 from orrery.operators.comovement import lagged_pearson
-from orrery.operators.panel import correlation
+from orrery.operators.panel import correlation, pinned_split
 from orrery.plans.market import _VERDICT, CORR, PANEL, bar_panel, candidates
 from orrery.plans.relations import _SUPPLY, _TAGS, _pmi_sql, dated_tags, pmi_edges, supply_edges
 from orrery.plans.tests_of_relations import _EX, excess, halves, lagged_pairs
@@ -227,11 +227,12 @@ def f17_liquid_sigma(spark, sf_dir):
 
 
 def f18_split(spark, sf_dir):
-    """Sessions and returns before and from the middle of 2024 on; either part must have some, and they must not overlap."""
-    p = bar_panel(spark, sf_dir)
-    part = F.when(F.col("d") < "2024-07-01", "discovery").otherwise("validation")
-    out = p.groupBy(part.alias("part")).agg(F.countDistinct("i").alias("n_sessions"), F.count("r").alias("n_returns"), F.min("i").alias("first"), F.max("i").alias("last"))
-    return out.withColumn("apart", F.when(F.col("part") == "discovery", F.col("last")).otherwise(F.col("first")) >= 0)
+    """Sessions and returns before and from the first session of the second half of 2024 on, or an error if the data can't be split there."""
+    p = durable(bar_panel(spark, sf_dir))
+    start = p.where(F.col("d") >= "2024-07-01").agg(F.min("d")).first()[0]
+    first, second = pinned_split(p, start)
+    part = lambda df, name: df.agg(F.lit(name).alias("part"), F.countDistinct("i").alias("n_sessions"), F.count("r").alias("n_returns"), F.date_format(F.min("d"), "yyyy-MM-dd").alias("first"), F.date_format(F.max("d"), "yyyy-MM-dd").alias("last"))
+    return part(first, "discovery").unionByName(part(second, "validation")).where("n_sessions > 0")
 
 
 _FUNCS = (j9_hop_map, e10_hop_horizon, e10_hop_horizons, e10_interaction, e1_threshold_test, e3_verdict_returns, j18_month_pmi, e7_comention_lead, e9_chains, e9_lag_chains, e11_shock_partners, e11_move_partners, w7_growth, f17_liquid_sigma, f18_split)
@@ -272,7 +273,7 @@ al AS (SELECT i - 1 AS i, avg(x) AS ya FROM ex GROUP BY 1), t AS (SELECT i, sg *
 SELECT round(sum(s) / sum(k), 8) AS mean, round(sqrt(sum(u * u)) / sum(k), 8) AS se, coalesce(CAST(sum(k) AS BIGINT), 0) AS n, count(*) AS n_clusters FROM g""",
     "w7_growth": f"WITH {PANEL} SELECT symbol, i, round(exp(sum(ln(1 + r)) OVER (PARTITION BY symbol ORDER BY i)), 6) AS growth FROM p WHERE r > -1",
     "f17_liquid_sigma": f"WITH {PANEL} SELECT symbol, round(stddev_samp(r), 8) AS sigma FROM p GROUP BY 1 HAVING stddev_samp(r) >= 1e-3",
-    "f18_split": f"WITH {PANEL} SELECT CASE WHEN d < DATE '2024-07-01' THEN 'discovery' ELSE 'validation' END AS part, count(DISTINCT i) AS n_sessions, count(r) AS n_returns, min(i) AS first, max(i) AS last, true AS apart FROM p GROUP BY 1",
+    "f18_split": f"WITH {PANEL}, cut AS (SELECT min(d) AS d0 FROM sess WHERE d >= DATE '2024-07-01') SELECT part, count(DISTINCT i) AS n_sessions, count(r) AS n_returns, strftime(min(d), '%Y-%m-%d') AS first, strftime(max(d), '%Y-%m-%d') AS last FROM (SELECT p.*, CASE WHEN d < d0 THEN 'discovery' ELSE 'validation' END AS part FROM p, cut) GROUP BY part",
     "e3_verdict_returns": f"""WITH {_VERDICT}, ex AS (SELECT symbol, i, r - avg(r) OVER (PARTITION BY i) AS x FROM p WHERE r IS NOT NULL),
 y AS (SELECT vd.cid, verdict, direction, h, sum(x) AS x FROM vd JOIN (SELECT unnest([2, 5, 10, 21]) AS h) k ON true JOIN ex ON ex.symbol = vd.symbol AND ex.i > vd.i AND ex.i <= vd.i + h GROUP BY ALL)
 SELECT verdict, h, count(*) AS n, round(avg(CASE WHEN direction = 'up' THEN x ELSE -x END), 8) AS mean_excess FROM y GROUP BY ALL""",

@@ -9,7 +9,7 @@ from orrery.functions import passages
 from orrery.functions.columns import norm_symbol
 from orrery.functions.vectors import search
 from orrery.operators.comovement import edges as comovement_edges
-from orrery.operators.graphs import degrees, hops, laggers, latest_snapshot, spanning_forest, two_hop
+from orrery.operators.graphs import degrees, hops, laggers, latest_snapshot, shown_ways, spanning_forest, two_hop
 from orrery.operators.panel import session_ends
 from orrery.operators.perspectives import PMI_STRONG
 from orrery.operators.shocks import scan
@@ -94,11 +94,13 @@ def g1_laggers(spark, sf_dir):
 
 
 def g7_supply_paths(spark, sf_dir):
-    """Every way of two steps along supply edges, as text."""
+    """The way that is shown from every customer to each supplier up to two steps back, with what the last filing on it says of its customer."""
     e = durable(supply_edges(spark, sf_dir))
     starts = e.select(F.col("dst").alias("sid"), F.col("dst").alias("start"), F.to_date(F.lit("2024-06-30")).alias("as_of")).distinct()
-    two = hops(starts, e).where("depth = 2")
-    return two.select("start", "node", F.array_join(F.reverse("path"), ">").alias("path")).distinct()
+    ways = shown_ways(starts, e).select("start", "node", F.col("depth").alias("hops"), "path", "filed", F.get("path", F.col("depth") - 1).alias("to"))
+    said = e.join(table(spark, sf_dir, "supply_edge").select("edge_id", "passage"), "edge_id").join(table(spark, sf_dir, "company_ref").select(F.col("ticker").alias("dst"), "title"), "dst", "left")
+    said = said.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("day").alias("filed"), passages.disclosure(F.col("passage"), F.col("title")).alias("x"))
+    return ways.join(said, ["node", "to", "filed"]).select("start", "node", "hops", F.array_join(F.reverse("path"), ">").alias("path"), _day("filed"), "x.says", "x.pct")
 
 
 def g8_two_hop(spark, sf_dir):
@@ -234,7 +236,14 @@ ORACLE = {
     "a16_seed_pmi": f"WITH {_TAGS}, old AS (SELECT * FROM dt WHERE day < DATE '2024-01-01'), {_pmi_sql('old', 4)}, bw AS (SELECT a, b, pmi FROM pmi UNION ALL SELECT b, a, pmi FROM pmi) SELECT * FROM (SELECT a AS seed, b AS partner, pmi, row_number() OVER (PARTITION BY a ORDER BY pmi DESC, b) AS rank FROM bw WHERE a IN (SELECT upper(trim(supplier)) FROM supply_edge)) WHERE rank <= 20",
     "a38_pmi_threshold": f"WITH {_TAGS}, {_pmi_sql()} SELECT median(pmi) AS median_pmi, count(*) AS n, count(*) FILTER (WHERE pmi >= 1.1172) AS n_strong FROM pmi",
     "g1_laggers": f"WITH {_SUPPLY}, {_WAYS.format(d="DATE '2024-06-30'")}, w AS (SELECT start, node, depth, share FROM one UNION ALL SELECT start, node, depth, share FROM two) SELECT start AS leader, node AS lagger, depth AS lag_days, round(share / 100, 6) AS beta FROM (SELECT start, node, depth, coalesce(share, 0) AS share, row_number() OVER (PARTITION BY start, node ORDER BY depth, coalesce(share, 0) DESC) AS k FROM w) WHERE k = 1",
-    "g7_supply_paths": f"WITH {_SUPPLY}, {_WAYS.format(d="DATE '2024-06-30'")} SELECT DISTINCT start, node, array_to_string(list_reverse(path), '>') AS path FROM two",
+    "g7_supply_paths": rf"""WITH {_SUPPLY}, o AS (SELECT dst AS start, src AS node, 1 AS depth, share, day AS filed, dst AS t, [dst, src] AS path, dst || '|' || src || '|' || day AS e1 FROM sup WHERE day <= DATE '2024-06-30'),
+w AS (SELECT start, node, depth, share, filed, t, path FROM o UNION ALL SELECT o.start, s.src, 2, s.share, s.day, s.dst, list_append(o.path, s.src) FROM o JOIN sup s ON s.dst = o.node AND s.day <= DATE '2024-06-30' WHERE o.e1 <> s.dst || '|' || s.src || '|' || s.day),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY depth, coalesce(share, 0) DESC, filed DESC, array_to_string(path, '>')) AS k FROM w) WHERE k = 1),
+pick AS (SELECT src, dst, day, passage FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, day ORDER BY share IS NULL, len DESC, edge_id) AS k FROM (SELECT upper(trim(supplier)) AS src, upper(trim(customer)) AS dst, filing_date AS day, TRY_CAST(replace(replace(pct_revenue, '%', ''), ' ', '') AS DOUBLE) AS share, length(coalesce(passage, '')) AS len, edge_id, passage FROM supply_edge) WHERE src <> '' AND dst <> '' AND day IS NOT NULL) WHERE k = 1),
+q AS (SELECT src, dst, day, nullif(regexp_replace(regexp_extract(title, '(\S+)', 1), '^[,.]+|[,.]+$', '', 'g'), '') AS word, string_split(regexp_replace(regexp_replace(regexp_replace(passage, '\b(Inc|Corp|Ltd|Co|No|U\.S)\.', '\1~', 'g'), '(\s[A-Z])\.', '\1~', 'g'), '\.\s+([A-Z("])', '#|#\1', 'g'), '#|#') AS parts FROM pick LEFT JOIN company_ref ON ticker = dst),
+s AS (SELECT src, dst, day, trim(list_filter(list_transform(parts, lambda x: replace(x, '~', '.')), lambda x: contains(x, word))[1]) AS says FROM q)
+SELECT * EXCLUDE (pct0), nullif(pct0, '') AS pct FROM (SELECT start, node, depth AS hops, array_to_string(list_reverse(path), '>') AS path, strftime(filed, '%Y-%m-%d') AS filed, says,
+  regexp_extract(list_filter(regexp_extract_all(says, '\d{{1,3}}(?:\.\d)?\s?%(?:\s*(?i:or\s+(?:more|greater|higher)))?'), lambda x: x LIKE '%\%' ESCAPE '\')[1], '^[\d.]+') AS pct0 FROM b JOIN s ON s.src = node AND s.dst = t AND s.day = filed)""",
     "g8_two_hop": f"WITH {_TAGS}, {_pmi_sql()}, e AS (SELECT * FROM pmi WHERE pmi >= 1 AND first_seen <= DATE '2023-12-31'), bw AS (SELECT a, b, pmi FROM e UNION ALL SELECT b, a, pmi FROM e), f AS (SELECT * FROM bw WHERE a IN (SELECT a FROM pmi)) SELECT f.a AS start, g.b AS node, max(least(f.pmi, g.pmi)) AS score, count(*) AS n_ways FROM f JOIN bw g ON g.a = f.b AND g.b <> f.a WHERE NOT EXISTS (SELECT 1 FROM f h WHERE h.a = f.a AND h.b = g.b) GROUP BY ALL",
     "j13_scan_candidates": f"""WITH {_SCAN}, {_SUPPLY}, w AS (SELECT s.symbol AS leader, s.day, z, e.src AS lagger FROM shock s JOIN sup e ON e.dst = s.symbol AND e.day <= s.day
   UNION SELECT s.symbol, s.day, z, f.src FROM shock s JOIN sup e ON e.dst = s.symbol AND e.day <= s.day JOIN sup f ON f.dst = e.src AND f.day <= s.day AND NOT (f.src = e.src AND f.dst = e.dst AND f.day = e.day))

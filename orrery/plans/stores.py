@@ -61,9 +61,10 @@ def n5_news_for_candidates(spark, sf_dir):
     c = candidates(spark, sf_dir, p).select("cid", "symbol", "as_of")
     text = F.format_string("%s shares move %s", "symbol", "as_of")
     q = c.select(F.col("cid").alias("qid"), "symbol", "as_of", embed(text).alias("qvec"))
-    tags = distinct_tags(spark, sf_dir).groupBy(F.col("article_id").alias("id")).agg(F.collect_set("symbol").alias("symbols"))
-    docs = _articles(spark, sf_dir).join(tags, "id").select("id", F.to_date("at").alias("day"), "symbols", embed(F.concat_ws(" ", "headline", "summary")).alias("vec"))
-    hits = search(durable(q), docs, k=5, match=F.array_contains("symbols", F.col("symbol")) & (F.col("day") < F.col("as_of")))
+    # Only tags of candidates, and of those articles only, are turned into vectors; pairs are found by symbol.
+    tags = distinct_tags(spark, sf_dir).select(F.col("article_id").alias("id"), "symbol").join(q.select("symbol").distinct(), "symbol", "left_semi")
+    docs = _articles(spark, sf_dir).join(tags, "id").select("id", F.to_date("at").alias("day"), "symbol", embed(F.concat_ws(" ", "headline", "summary")).alias("vec"))
+    hits = search(durable(q), docs, k=5, on="symbol", match=F.col("day") < F.col("as_of"))
     return hits.select(F.col("qid").alias("cid"), "id", "rank")
 
 
@@ -125,17 +126,6 @@ def t14_hash_split(spark, sf_dir):
     return bars(spark, sf_dir).select("symbol").distinct().select("symbol", F.when(F.pmod(F.xxhash64("symbol"), F.lit(2)) == 0, "train").otherwise("test").alias("part"))
 
 
-def x6_vocabulary(spark, sf_dir):
-    """Listed companies' first words in filing passages, each with the text around it and whether a designator follows."""
-    words = table(spark, sf_dir, "company_ref").select(F.initcap(F.regexp_extract("title", r"(\S+)", 1)).alias("w")).where("length(w) >= 4").distinct()
-    m = table(spark, sf_dir, "filing_mention").where("passage IS NOT NULL").select("id", "passage")
-    tokens = m.select("id", "passage", F.explode(F.array_distinct(F.regexp_extract_all("passage", F.lit(r"\p{Lu}\p{L}{3,}"), F.lit(0)))).alias("w"))
-    hit = tokens.join(words, "w").groupBy("id", "passage").agg(F.array_sort(F.collect_set("w")).alias("ws"))
-    out = hit.select("id", F.explode(passages.windows(F.col("passage"), F.col("ws"))).alias("x"))
-    after = F.substr("x.window", F.least(F.col("x.at"), F.lit(420)) + F.length("x.word") + 1)
-    return out.select("id", "x.word", "x.at", passages.designated(after).alias("designated"), F.substring("x.window", 1, 80).alias("near")).dropDuplicates(["id", "word", "near"])
-
-
 def x4_clean(spark, sf_dir):
     """Passages that were put into markup and taken out of it again."""
     m = table(spark, sf_dir, "filing_mention").where("passage IS NOT NULL")
@@ -158,7 +148,7 @@ def e17_golden(spark, sf_dir):
     return ev.golden(c, out["assessments"]).withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd"))
 
 
-_FUNCS = (k6_supply_documents, k7_comention_documents, j7_tagged_articles, k10_vector_documents, n5_news_for_candidates, g2_sector_and_scores, g10_movers, a18_edges_among, a29_bootstrap, a34_share_test, s8_controls, t14_hash_split, x6_vocabulary, x4_clean, n11_review, e17_golden)
+_FUNCS = (k6_supply_documents, k7_comention_documents, j7_tagged_articles, k10_vector_documents, n5_news_for_candidates, g2_sector_and_scores, g10_movers, a18_edges_among, a29_bootstrap, a34_share_test, s8_controls, t14_hash_split, x4_clean, n11_review, e17_golden)
 QUERIES = {f.__name__: f for f in _FUNCS}
 _SIC = "sic AS (SELECT symbol, sic FROM (SELECT upper(trim(symbol)) AS symbol, sic, row_number() OVER (PARTITION BY upper(trim(symbol)) ORDER BY valid_from DESC, known_at DESC, version_id DESC) AS k FROM sic_history) WHERE k = 1 AND sic IS NOT NULL)"
 ORACLE = {

@@ -119,7 +119,7 @@ def e8_lag_matrix(spark, sf_dir, top=1000):
     """Whether the ``top`` correlations of the first half at each lag keep their sign in the second, against the second with its sessions shuffled.
 
     ``p`` is that of as many agreeing signs or more by chance. ``holds`` is the
-    reference's rule: 60 % agree, with a mean of 0.03 and more and p under 0.01,
+    rule for structure: 60 % agree, with a mean of 0.03 and more and p under 0.01,
     and the shuffled sessions stay more than 2 points behind.
     """
     first, second, half = halves(spark, sf_dir)

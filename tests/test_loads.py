@@ -88,6 +88,28 @@ def test_sinks(spark, tmp_path):
     assert sinks.show(df.orderBy("k")) == "A 1\nB 2"
 
 
+def test_versions_are_switched_by_a_pointer(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert sinks.published(spark, path) is None
+    for n in range(4):
+        sinks.publish(spark.range(n + 1), path)
+        assert sinks.published(spark, path).count() == n + 1
+    assert len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) == 2
+    sinks.publish(sinks.published(spark, path).limit(1), path)  # read and written at once
+    assert sinks.published(spark, path).count() == 1
+
+
+def test_only_days_of_a_batch_are_written_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    put = lambda r: sinks.merge_days(spark.createDataFrame(r, "s string, t timestamp, c double"), path, ["s", "t"], F.to_date("t"), rec.merge_latest)
+    put([("A", T("2024-01-02T05:00:00"), 1.0), ("A", T("2024-01-03T05:00:00"), 2.0)])
+    first = sorted(p.name for p in (tmp_path / "t" / "day=2024-01-02").glob("*.parquet"))
+    put([("A", T("2024-01-03T05:00:00"), 9.0), ("B", T("2024-01-04T05:00:00"), 3.0)])
+    put([])
+    assert sorted((r.s, r.c) for r in spark.read.parquet(path).collect()) == [("A", 1.0), ("A", 9.0), ("B", 3.0)]
+    assert sorted(p.name for p in (tmp_path / "t" / "day=2024-01-02").glob("*.parquet")) == first
+
+
 def test_stream_merges_files_and_runs_again_without_change(spark, tmp_path):
     inbox, target, mark = (str(tmp_path / x) for x in ("inbox", "target", "mark"))
     put = lambda name, r: spark.createDataFrame(r, SCHEMA).coalesce(1).write.mode("append").parquet(inbox)
