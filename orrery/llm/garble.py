@@ -208,6 +208,9 @@ class Restorer:
         self.undone: dict[tuple[str, int], str | None] = {}
         self.sure = {r.name for r, n in self.utf8 if n == 1}
         self.seen: dict[str, tuple[str, ...]] = {}
+        self.still: dict[str, bool] = {}
+        #: Encodings whose second byte may be ASCII say nothing of a run by itself.
+        self.by_run = not any(t.written == "cp932" for t, *_ in self.wide)
 
     def _char(self, stretch: str, read: Reading) -> str | None:
         c = read.undo(stretch, "utf-8")
@@ -249,6 +252,17 @@ class Restorer:
             if not changed:
                 return text, total
 
+    def _inert(self, run: str) -> bool:
+        """Whether nothing could be made of a run of characters, whatever stands around it; kept, as runs recur."""
+        if (x := self.still.get(run)) is None:
+            x = not _LOST.search(run) and not self._reads(run)
+            if x and (self.wide or self.narrow):
+                now = self.model.mean([run])[0]
+                x = not any((y := self._whole(run, id(t), t)) is not None and self.model.mean(_RUN.findall(y))[0] > now for t, *_ in (*self.wide, *self.narrow))
+            if len(self.still) < 400_000:
+                self.still[run] = x
+        return x
+
     def _whole(self, text: str, k: int, t: Transform) -> str | None:
         """``text`` undone, if all of it can be and is readable."""
         if (text, k) in self.undone:
@@ -322,7 +336,7 @@ class Restorer:
     def __call__(self, text: str) -> tuple[str, int, bool]:
         """(text as far as it can be restored, stretches found, whether some are lost)."""
         new, e = self._undo_entities(text)
-        if new.isascii():
+        if new.isascii() or (self.by_run and all(map(self._inert, set(_RUN.findall(new))))):
             return new, e, False
         new, a = self._undo_other(new)
         new, b = self._undo_utf8(new)
@@ -436,14 +450,26 @@ def twin_pairs(distinct: DataFrame) -> DataFrame:
     lengths will do, as only some words may be garbled. A form gives one pair or
     two, so that sentences of one form, however many, aren't paired with each other.
     """
-    ends = lambda df, k: df.groupBy(k.alias("k")).agg(F.min("runs").alias("lo"), F.max("runs").alias("hi")).where("lo <> hi").select(F.lit("one").alias("kind"), F.col("lo").alias("g"), F.col("hi").alias("c"))
+    hashed = F.xxhash64("runs")
     told = distinct.where(F.col("size") + 2 * F.size("at") >= _TELLING)
-    out = ends(distinct, F.col("own")).unionByName(ends(told, F.xxhash64("h", "at", F.transform("runs", F.length))))
-    read = distinct.where(F.forall("runs", lambda r: F.length(r) >= 2)).groupBy(F.col("own").alias("k")).agg(F.min("runs").alias("lo"), F.max("runs").alias("hi"))
+    long = distinct.where(F.forall("runs", lambda r: F.length(r) >= 2))
+    lengths = F.xxhash64("h", "at", F.transform("runs", F.length))
+    several = lambda df, k: df.groupBy(k.alias("k")).agg(F.min(hashed).alias("lo"), F.max(hashed).alias("hi")).where("lo <> hi").select("k")
+    read = long.select(F.col("own").alias("k")).distinct()
+    # Forms and hashes first; only sentences of forms that meet are fetched.
+    met = {"own": several(distinct, F.col("own")), "lengths": several(told, lengths), "utf-8": distinct.select(F.col("utf8").alias("k")).distinct().join(read, "k"), "wide": distinct.select(F.explode("wide").alias("k")).distinct().join(read, "k")}
+    all_met = None
+    for name, keys in met.items():
+        named_keys = keys.select(F.lit(name).alias("by"), "k")
+        all_met = named_keys if all_met is None else all_met.unionByName(named_keys)
+    all_met = durable(all_met)
+    of = lambda df, k, by: df.select(k.alias("k"), "runs").join(_near(all_met.where(F.col("by") == by).select("k")), "k")
+    ends = lambda df: df.groupBy("k").agg(F.min("runs").alias("lo"), F.max("runs").alias("hi"))
+    one = ends(of(distinct, F.col("own"), "own")).unionByName(ends(of(told, lengths, "lengths")))
+    out = one.select(F.lit("one").alias("kind"), F.col("lo").alias("g"), F.col("hi").alias("c"))
     for kind, key in (("utf-8", F.col("utf8")), ("wide", F.explode("wide"))):
-        written = distinct.select(key.alias("k"), "runs").groupBy("k").agg(F.min("runs").alias("c"))
-        both = read.join(written, "k").select(F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("g"), "c")
-        out = out.unionByName(both.where("g <> c"))
+        both = ends(of(long, F.col("own"), kind)).join(of(distinct, key, kind).groupBy("k").agg(F.min("runs").alias("c")), "k")
+        out = out.unionByName(both.select(F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("g"), "c").where("g <> c"))
     return out
 
 
@@ -561,33 +587,43 @@ def proven_stretches(pairs: DataFrame, learned: Sequence[Transform]) -> frozense
 def _undone_twins(distinct: DataFrame, learned: Sequence[Transform], model) -> DataFrame:
     """(h, at, runs, runs2): sentences that a learned transformation, or several in turn, make another, cleaner sentence of the corpus."""
 
-    utf8 = [t for t in learned if t.written == "utf-8"]
-
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        becomes: dict[str, list[str | None]] = {}
+
+        def turned(run: str) -> list[str | None]:
+            """What each transformation makes of a run, readable or None; kept, as runs recur."""
+            if (x := becomes.get(run)) is None:
+                x = [y if (y := t.undo(run)) is not None and y != run and all(map(_readable, y)) else None for t in learned]
+                if len(becomes) < 200_000:
+                    becomes[run] = x
+            return x
+
         for b in batches:
             out: list[tuple[int, list[str], list[float]]] = []
             for k, runs in enumerate(b.column(2).to_pylist()):
-                doubt = model.value.doubt(runs)
-                layer, depth, known = [runs], 0, {tuple(runs)}
+                layer, known, first = [runs], {tuple(runs)}, True
                 while layer:  # text may be garbled several times over; each layer of UTF-8 taken off makes it shorter
-                    depth += 1
                     shorter = []
                     for x in layer:
-                        for t in learned if depth == 1 else utf8:
-                            new = [y if (y := t.undo(r)) is not None and all(map(_readable, y)) else r for r in x]
-                            if tuple(new) not in known:
-                                known.add(tuple(new))
-                                if (then := model.value.doubt(new)) < doubt:
-                                    out.append((k, new, then))
-                                if t.written == "utf-8":
-                                    shorter.append(new)
-                    layer = shorter
+                        options = [turned(r) for r in x]
+                        for n, t in enumerate(learned):
+                            if (first or t.written == "utf-8") and any(o[n] is not None for o in options):
+                                new = [r if o[n] is None else o[n] for r, o in zip(x, options)]
+                                if tuple(new) not in known:
+                                    known.add(tuple(new))
+                                    if (then := model.value.doubt(new)) < model.value.doubt(runs):
+                                        out.append((k, new, then))
+                                    if t.written == "utf-8":
+                                        shorter.append(new)
+                    layer, first = shorter, False
             at = pa.array([k for k, *_ in out], pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in range(3)], pa.array([x for _, x, _ in out], pa.list_(pa.string())), pa.array([d for *_, d in out], pa.list_(pa.float64()))], ["h", "at", "runs", "runs2", "doubt"])
 
     turned = distinct.select("h", "at", "runs").mapInArrow(turn, "h long, at array<int>, runs array<string>, runs2 array<string>, doubt array<double>")
-    there = distinct.select("h", "at", F.col("runs").alias("runs2"))
-    return turned.join(there, ["h", "at", "runs2"]).groupBy("h", "at", "runs").agg(F.min_by("runs2", F.struct("doubt", "runs2")).alias("runs2"))
+    # Of the corpus only hashes go to meet what the few garbled sentences become.
+    there = distinct.select(F.xxhash64("h", "at", "runs").alias("s"))
+    met = turned.withColumn("s", F.xxhash64("h", "at", "runs2")).join(there, "s", "left_semi")
+    return met.groupBy("h", "at", "runs").agg(F.min_by("runs2", F.struct("doubt", "runs2")).alias("runs2"))
 
 
 def _whole_twins(distinct: DataFrame, learned: Sequence[Transform], model) -> DataFrame:
@@ -609,8 +645,8 @@ def _whole_twins(distinct: DataFrame, learned: Sequence[Transform], model) -> Da
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(doubt, pa.list_(pa.float64()))], ["h", "at", "runs2", "doubt"])
 
     broken = distinct.where(lost & told).select("h", "at", "runs").mapInArrow(keep, "h long, at array<int>, runs array<string>, gone array<int>, kept array<string>")
-    places = broken.select("h", "at", "gone").distinct()
-    near = distinct.where(~lost & told).select("h", "at", F.col("runs").alias("runs2")).join(places.select("h", "at").distinct(), ["h", "at"], "left_semi")
+    places = durable(broken.select("h", "at", "gone").distinct())
+    near = distinct.where(~lost & told).select("h", "at", F.col("runs").alias("runs2")).join(_near(places.select("h", "at")), ["h", "at"], "left_semi")
     near = near.mapInArrow(judge, "h long, at array<int>, runs2 array<string>, doubt array<double>").join(places, ["h", "at"])
     near = near.withColumn("kept", F.filter("runs2", lambda r, k: ~F.array_contains("gone", k.cast("int"))))
     # A character that is gone left one mark, or one for each of its bytes at most.
