@@ -82,9 +82,9 @@ def analyse(perspectives: DataFrame, classify: Column | None = None, *, rank: Co
     """
     if classify is None:
         return perspectives.withColumns({"status": F.lit("not_run"), "note": F.lit(None).cast("string")})
-    order = [(rank if rank is not None else F.lit(None)).desc_nulls_last(), F.col("cid")]
-    k = F.row_number().over(Window.orderBy(*order))
-    picked = perspectives.select("cid", k.alias("k")).where(F.col("k") <= cap).select("cid")
+    # The first of each task go on, and of those the first: no task sees them all.
+    first = perspectives.select("cid", (rank if rank is not None else F.lit(None).cast("double")).alias("rank")).orderBy(F.col("rank").desc_nulls_last(), "cid").limit(cap)
+    picked = F.broadcast(first.select("cid"))
     noted = perspectives.join(picked, "cid", "left_semi").withColumn("note", classify)
     rest = perspectives.join(picked, "cid", "left_anti").withColumn("note", F.lit(None).cast("string")).withColumn("status", F.lit("not_run"))
     return noted.withColumn("status", F.when(F.col("note").isNotNull(), "ok").otherwise("error")).unionByName(rest)

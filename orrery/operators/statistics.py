@@ -132,8 +132,8 @@ def bootstrap_mean(df: DataFrame, value: str, *, replicates: int = 200, seed: in
     return ci.withColumn("mean", d.agg(F.avg("v").alias("m")).scalar()).select("mean", "lo", "hi")
 
 
-def best_lag(x: DataFrame, y: DataFrame, lags: Sequence[int], min_n: int) -> DataFrame:
-    """(key, lag, corr, n): for series (key, t, v) the lag of y behind x with the largest absolute correlation, the first of equal ones.
+def best_lag(x: DataFrame, y: DataFrame, lags: Sequence[int], min_n: int, *, signed: bool = False) -> DataFrame:
+    """(key, lag, corr, n): for series (key, t, v) the lag of y behind x with the largest absolute correlation (the largest, if ``signed``), the first of equal ones.
 
     Without a key, ``x`` is the one series that all of ``y`` are held against.
     """
@@ -143,7 +143,7 @@ def best_lag(x: DataFrame, y: DataFrame, lags: Sequence[int], min_n: int) -> Dat
     on = ["key", "t"] if "key" in x.columns else ["t"]
     j = a.withColumn("t", F.col("t") + F.col("lag")).join(y.select("key", "t", F.col("v").alias("vy")), on)
     c = j.groupBy("key", "lag").agg(correlation(F.col("vx"), F.col("vy")).alias("corr"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_n) & F.col("corr").isNotNull())
-    k = F.row_number().over(Window.partitionBy("key").orderBy(F.round(F.abs("corr"), 12).desc(), "lag"))
+    k = F.row_number().over(Window.partitionBy("key").orderBy(F.round(F.col("corr") if signed else F.abs("corr"), 12).desc(), "lag"))
     return c.withColumn("k", k).where("k = 1").drop("k")
 
 
