@@ -1,8 +1,8 @@
 """Pairwise co-movement of return series.
 
 Two ways to the same edges. ``edges`` joins the long panel with itself by
-session and lets Spark aggregate: right for some hundreds of symbols.
-``edges_blocked`` packs each symbol's window into a row, cuts the symbols into
+session and lets Spark aggregate: the plain statement that tests hold the other
+against. ``edges_blocked``, which the queries use, packs each symbol's window into a row, cuts the symbols into
 blocks and multiplies pairs of blocks, each in its own task, with masks for
 missing returns: the cost in shuffled data is symbols x blocks rather than
 pairs x sessions.
@@ -37,7 +37,7 @@ def fisher(corr: Column, n: Column) -> tuple[Column, Column]:
 
 def _threshold(min_abs_corr: float) -> float:
     if not math.isfinite(min_abs_corr):
-        raise ValueError(f"min_abs_corr must be finite, got {min_abs_corr!r}")
+        raise ValueError(f"no threshold for correlations: {min_abs_corr!r}")
     return max(min_abs_corr, FLOOR)
 
 
@@ -120,6 +120,61 @@ def edges_blocked(window: DataFrame, *, first: int, trail: int, min_abs_corr: fl
     return _finish(cells.groupBy("lo", "hi").applyInPandas(product, SCHEMA), least)
 
 
+def near_blocked(cands: DataFrame, values: DataFrame, *, trail: int, topk: int, least_n: float, block: int = 512) -> DataFrame:
+    """(cid, leader, corr, sl, sc): for each of ``cands`` (cid, symbol, ti) the ``topk`` symbols of ``values`` (symbol, i, r, pool) by absolute correlation over the ``trail`` sessions before ti.
+
+    ``sl`` and ``sc`` are the deviations of the leader's and the candidate's
+    returns in the window. Only symbols with ``pool`` are leaders, and only with
+    ``least_n`` returns in the window at least. Symbols are packed into rows
+    once, candidates carry their window, and each block of candidates meets each
+    block of symbols in a task of its own, which gives its own ``topk``.
+    """
+    packed = values.where(F.col("r").isNotNull()).groupBy("symbol").agg(F.collect_list(F.struct("i", "r")).alias("x"), F.first("pool").alias("pool"))
+    counts = cands.agg(F.count(F.lit(1)).alias("n")).scalar(), packed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    across, down = (F.greatest(F.ceil(c / block).cast("int"), F.lit(1)) for c in counts)
+    inside = F.filter("x", lambda e: (e["i"] >= F.col("ti") - trail) & (e["i"] < F.col("ti")))
+    own = cands.select("cid", "symbol", "ti").join(packed.select("symbol", "x"), "symbol", "left").select("cid", "symbol", "ti", inside.alias("x"))
+    kinds = {"cid": "string", "symbol": "string", "ti": "int", "x": packed.schema["x"].dataType.simpleString()}
+    row = lambda df, **cell: df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()], *[v.alias(c) for c, v in cell.items()])
+    left = row(own.withColumn("b", F.pmod(F.xxhash64("cid"), across).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), down - 1))), b=F.col("b"), d=F.col("d"))
+    right = row(packed.where("pool").withColumn("d", F.pmod(F.xxhash64("symbol"), down).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), across - 1))), b=F.col("b"), d=F.col("d"))
+
+    def product(f: pd.DataFrame) -> pd.DataFrame:
+        c, s = f[f["cid"].notna()], f[f["cid"].isna()]
+        out = [pd.DataFrame({"cid": [], "leader": [], "corr": [], "sl": [], "sc": []})]
+        if len(c) and len(s):
+            end = int(c["ti"].max())
+            begin = min(int(c["ti"].min()) - trail, end - trail)
+            names, m = s["symbol"].to_numpy(), np.full((len(s), end - begin), np.nan)
+            for n, x in enumerate(s["x"]):
+                at = np.array([e["i"] for e in x], int) - begin
+                keep = (at >= 0) & (at < end - begin)
+                m[n, at[keep]] = np.array([e["r"] for e in x], float)[keep]
+            for cid, symbol, ti, x in zip(c["cid"], c["symbol"], c["ti"], c["x"]):
+                if x is None or not len(x):
+                    continue
+                y = np.full(trail, np.nan)
+                y[np.array([e["i"] for e in x], int) - (int(ti) - trail)] = [e["r"] for e in x]
+                w = m[:, int(ti) - trail - begin : int(ti) - begin]
+                there = ~np.isnan(w)
+                both = there & ~np.isnan(y)
+                k = both.sum(1)
+                with np.errstate(all="ignore"):
+                    a, b = np.where(both, w, 0.0), np.where(both, y, 0.0)
+                    a, b = np.where(both, a - a.sum(1, keepdims=True) / k[:, None], 0.0), np.where(both, b - b.sum(1, keepdims=True) / k[:, None], 0.0)
+                    va, vb = (a * a).sum(1), (b * b).sum(1)
+                    corr = np.where((va > 0) & (vb > 0), (a * b).sum(1) / np.sqrt(va * vb), np.nan)
+                    n = there.sum(1)
+                    w = np.where(there, w, 0.0)
+                    sl = np.sqrt((np.where(there, w - w.sum(1, keepdims=True) / n[:, None], 0.0) ** 2).sum(1) / np.where(n > 1, n - 1, np.nan))
+                ok = np.flatnonzero((n >= least_n) & ~np.isnan(corr))
+                r = pd.DataFrame({"cid": cid, "leader": names[ok], "corr": corr[ok], "sl": sl[ok], "sc": np.nanstd(y, ddof=1) if (~np.isnan(y)).sum() > 1 else np.nan})
+                out.append(r.assign(o=-r["corr"].abs().round(12)).sort_values(["o", "leader"]).head(topk).drop(columns="o"))
+        return pd.concat([o for o in out if len(o)] or out)
+
+    return left.unionByName(right).groupBy("b", "d").applyInPandas(product, "cid string, leader string, corr double, sl double, sc double")
+
+
 def lagged_blocked(window: DataFrame, lags: list[int], *, first: int, width: int, least: float, block: int = 256) -> DataFrame:
     """As :func:`lagged` over ``width`` sessions from ``first`` on, for correlations of ``least`` and more, by products of blocks."""
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.comovement import near_blocked
 from orrery.operators.panel import correlation, session_ends
 from orrery.operators.shocks import standardised
 from orrery.sources.durable import durable
@@ -30,20 +31,15 @@ def neighbourhood(cands: DataFrame, p: DataFrame, excluded: DataFrame, *, trail:
     The candidate itself, all candidates and the symbols of ``excluded`` (symbol)
     are never neighbours, nor are symbols with returns in under 80 % of the window.
     """
-    ok = cands.where("error IS NULL")
-    grid = ok.select("cid", "symbol", F.explode(F.sequence(F.col("ti") - trail, F.col("ti") - 1)).alias("i"))
-    own = grid.join(p.select("symbol", "i", F.col("r").alias("rc")), ["symbol", "i"], "left")
-    away = excluded.select("symbol").unionByName(cands.select("symbol")).distinct()
-    pool = p.join(away, "symbol", "left_anti").select("i", F.col("symbol").alias("leader"), F.col("r").alias("rl"))
-    stats = own.join(pool, "i").groupBy("cid", "symbol", "leader").agg(
-        correlation(F.col("rc"), F.col("rl")).alias("corr"),
-        F.count("rl").alias("n"),
-        F.stddev_samp("rl").alias("sl"),
-    )
-    sigma = own.groupBy("cid").agg(F.stddev_samp("rc").alias("sc"))
+    ok = cands.where("error IS NULL").select(F.col("cid").cast("string").alias("cid"), "symbol", "ti")
+    away = excluded.select("symbol").unionByName(cands.select("symbol")).distinct().withColumn("away", F.lit(True))
+    # One session's moves of all symbols say nothing of who is in the pool, so it is told with each symbol.
+    values = p.select("symbol", "i", "r").join(away, "symbol", "left").select("symbol", "i", "r", F.col("away").isNull().alias("pool"))
+    some = near_blocked(ok, values, trail=trail, topk=topk, least_n=0.8 * trail)
     best = Window.partitionBy("cid").orderBy(F.round(F.abs("corr"), 12).desc(), "leader")
-    top = stats.where((F.col("n") >= 0.8 * trail) & F.col("corr").isNotNull()).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= topk)
-    return top.join(sigma, "cid").select("cid", "leader", F.col("symbol").alias("lagger"), "rank", "corr", F.try_divide(F.col("corr") * F.col("sl"), F.col("sc")).alias("beta"))
+    top = some.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= topk)
+    top = top.join(ok.select("cid", F.col("symbol").alias("lagger")), "cid").withColumn("cid", F.col("cid").cast(cands.schema["cid"].dataType))
+    return top.select("cid", "leader", "lagger", "rank", "corr", F.try_divide(F.col("corr") * F.nanvl("sl", F.lit(None).cast("double")), F.nanvl("sc", F.lit(None).cast("double"))).alias("beta"))
 
 
 def leader_state(cands: DataFrame, edges: DataFrame, p: DataFrame, *, trail: int = 60, move_win: int = 3, sigma: float = 2.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.columns import norm_symbol
 from orrery.operators import evidence as ev
-from orrery.operators.comovement import edges, edges_blocked, lagged, lagged_blocked
+from orrery.operators.comovement import edges_blocked, lagged_blocked
 from orrery.operators.panel import closes, log_returns, panel, session_ends
 from orrery.operators.perspectives import day_trade, quant
 from orrery.operators.shocks import scan
@@ -137,14 +137,13 @@ def p16_funds(spark, sf_dir):
 
 
 def j2_comovement(spark, sf_dir):
-    """Co-movement edges over the last 60 sessions before the last, by a join of the long panel."""
-    w, _ = _last_window(bar_panel(spark, sf_dir), TRAIL)
-    return edges(w, trail=TRAIL, min_abs_corr=0.3).select("a", "b", *_r("corr"), "n_sessions", *_r("ci_low", "ci_high", digits=7), "flag")
+    """Co-movement edges over the last 60 sessions before the last."""
+    return j2_comovement_blocked(spark, sf_dir)
 
 
 def j2_comovement_blocked(spark, sf_dir):
-    """The same by products of blocks."""
-    w, first = _last_window(bar_panel(spark, sf_dir), TRAIL)
+    """Co-movement edges over the last 60 sessions before the last, by products of blocks."""
+    w, first = _last_window(durable(bar_panel(spark, sf_dir)), TRAIL)
     return edges_blocked(w, first=first, trail=TRAIL, min_abs_corr=0.3).select("a", "b", *_r("corr"), "n_sessions", *_r("ci_low", "ci_high", digits=7), "flag")
 
 
@@ -162,7 +161,7 @@ def g5_followers(spark, sf_dir):
     day = p.where(F.col("i") == last - 1).select(F.col("d").alias("as_of")).distinct()
     leaders = scan(p, session_ends(day, p), trail=120)
     w = p.where((F.col("i") >= last - 121) & (F.col("i") < last - 1)).select("symbol", "i", "r")
-    e = durable(edges(w, trail=120, min_abs_corr=0.1))
+    e = durable(edges_blocked(w, first=last - 121, trail=120, min_abs_corr=0.1))
     both = e.select("a", "b", "corr").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
     up = (F.col("z") > 0) == (F.col("corr") > 0)
     return leaders.join(both, F.col("symbol") == F.col("a")).select(F.col("b").alias("follower"), F.when(up, "up").otherwise("down").alias("direction"), F.col("a").alias("origin_leader"), *_r("corr"))
@@ -223,15 +222,15 @@ def _standardised(p: DataFrame) -> DataFrame:
 
 
 def a25_lagged_blocked(spark, sf_dir):
-    """The same as a25_lagged by products of blocks."""
+    """Correlation of every pair at lags of 1, 2 and 5 sessions, of 0.25 and more, by products of blocks."""
     p = durable(bar_panel(spark, sf_dir))
     n = (p.agg(F.max("i")).first()[0] or 0) + 1
     return lagged_blocked(_standardised(p), [1, 2, 5], first=0, width=n, least=0.25).select("lag", "x", "y", *_r("corr", digits=7))
 
 
 def a25_lagged(spark, sf_dir):
-    """Correlation of every pair at lags of 1, 2 and 5 sessions, of 0.25 and more."""
-    return lagged(_standardised(bar_panel(spark, sf_dir)), [1, 2, 5]).where(F.abs("corr") >= 0.25).select("lag", "x", "y", *_r("corr", digits=7))
+    """The same under its first name."""
+    return a25_lagged_blocked(spark, sf_dir)
 
 
 def a25_lagged_all(spark, sf_dir):

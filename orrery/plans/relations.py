@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import passages
 from orrery.functions.columns import norm_symbol
 from orrery.functions.vectors import search
-from orrery.operators.comovement import edges as comovement_edges
+from orrery.operators.comovement import edges_blocked
 from orrery.operators.graphs import degrees, hops, laggers, latest_snapshot, shown_ways, spanning_forest, two_hop
 from orrery.operators.panel import session_ends
 from orrery.operators.perspectives import PMI_STRONG
@@ -148,7 +148,7 @@ def g6_network(spark, sf_dir):
     """The maximum spanning forest of co-movement over the last 120 sessions but one, with degrees."""
     p = durable(bar_panel(spark, sf_dir))
     last = p.agg(F.max("i")).first()[0] or 0
-    e = durable(comovement_edges(p.where((F.col("i") >= last - 120) & (F.col("i") < last)).select("symbol", "i", "r"), trail=120, min_abs_corr=0.15))
+    e = durable(edges_blocked(p.where((F.col("i") >= last - 120) & (F.col("i") < last)).select("symbol", "i", "r"), first=last - 120, trail=120, min_abs_corr=0.15))
     tree = spanning_forest(e.select(F.lit(1).alias("g"), "a", "b", F.round(F.abs("corr"), 9).alias("weight")), "g")
     d = degrees(e)
     return tree.join(d.select(F.col("symbol").alias("a"), F.col("degree").alias("degree_a")), "a").join(d.select(F.col("symbol").alias("b"), F.col("degree").alias("degree_b")), "b").select("a", "b", F.round("weight", 8).alias("weight"), "degree_a", "degree_b")

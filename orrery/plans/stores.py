@@ -11,7 +11,7 @@ from orrery.functions.embedding import embed
 from orrery.functions.vectors import search
 from orrery.operators import evidence as ev
 from orrery.operators import statistics as st
-from orrery.operators.comovement import edges as comovement_edges
+from orrery.operators.comovement import edges_blocked
 from orrery.operators.graphs import both_ways
 from orrery.operators.panel import session_ends
 from orrery.operators.shocks import scan
@@ -90,7 +90,7 @@ def a18_edges_among(spark, sf_dir):
     """For each symbol: edges among those it co-moves with, of how many there could be."""
     p = durable(bar_panel(spark, sf_dir))
     last = p.agg(F.max("i")).first()[0] or 0
-    e = durable(comovement_edges(p.where((F.col("i") >= last - 60) & (F.col("i") < last)).select("symbol", "i", "r"), trail=60, min_abs_corr=0.3).select("a", "b"))
+    e = durable(edges_blocked(p.where((F.col("i") >= last - 60) & (F.col("i") < last)).select("symbol", "i", "r"), first=last - 60, trail=60, min_abs_corr=0.3).select("a", "b"))
     near = durable(both_ways(e).withColumnsRenamed({"a": "centre", "b": "x"}))
     k = near.groupBy("centre").agg(F.count(F.lit(1)).alias("k"))
     among = near.join(e, F.col("x") == F.col("a")).join(near.select(F.col("centre").alias("c2"), F.col("x").alias("y")), (F.col("centre") == F.col("c2")) & (F.col("b") == F.col("y"))).groupBy("centre").agg(F.count(F.lit(1)).alias("n_edges"))

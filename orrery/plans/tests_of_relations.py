@@ -82,18 +82,11 @@ def e6_pooled_lag(spark, sf_dir):
 
 def e8_lagged_signs(spark, sf_dir, top=200):
     """Whether the ``top`` lagged correlations of the first half keep their sign in the second."""
-    p = durable(bar_panel(spark, sf_dir))
-    half = ((p.agg(F.max("i")).first()[0] or 0) + 1) // 2
-    x = p.select(F.col("symbol").alias("x"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))).alias("lag"), F.col("i").alias("i0"), "i", F.col("r").alias("rx"))
-    y = p.select(F.col("symbol").alias("y"), F.col("i").alias("j"), F.col("r").alias("ry"))
-    first = F.col("j") < half
-    second = F.col("i0") >= half
-    j = x.withColumn("j", F.col("i0") + F.col("lag")).join(y, "j").where("x <> y")
-    part = lambda when: F.round(correlation(F.when(when, F.col("rx")), F.when(when, F.col("ry"))), 9)
-    c = j.groupBy("lag", "x", "y").agg(part(first).alias("c1"), part(second).alias("c2"))
-    k = F.row_number().over(Window.partitionBy("lag").orderBy(F.abs("c1").desc_nulls_last(), "x", "y"))
-    best = c.withColumn("k", k).where(F.col("k") <= top)
-    return best.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.signum("c1") == F.signum("c2")).alias("n_agree"), F.round(F.avg(F.abs("c1")), 7).alias("mean_first"), F.round(F.avg(F.abs("c2")), 7).alias("mean_second"))
+    first, second, half = halves(spark, sf_dir)
+    best = durable(lagged_pearson(first, [1, 2, 5], first=0, width=half, top=top).select("lag", "x", "y", F.col("c").alias("c1")))
+    later = lagged_pairs(best.select("x", "y", "lag"), second).select("lag", "x", "y", F.col("c").alias("c2"))
+    out = best.join(later, ["lag", "x", "y"], "left")
+    return out.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.signum("c1") == F.signum("c2")).alias("n_agree"), F.round(F.avg(F.abs("c1")), 7).alias("mean_first"), F.round(F.avg(F.abs("c2")), 7).alias("mean_second"))
 
 
 #: Lags in sessions of the lag matrix.
