@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.sources.durable import durable
+
 
 def hops(starts: DataFrame, edges: DataFrame, max_hops: int = 2) -> DataFrame:
     """(sid, start, node, depth, path, share, filed): ways back from ``starts`` (sid, start, as_of) along ``edges`` (src, dst, day, share).
@@ -94,3 +96,35 @@ def spanning_forest(edges: DataFrame, group: str) -> DataFrame:
 
     kind = edges.schema[group].dataType.simpleString()
     return edges.select(group, "a", "b", "weight").groupBy(group).applyInPandas(forest, f"`{group}` {kind}, a string, b string, weight double")
+
+
+def forest_by_rounds(edges: DataFrame) -> DataFrame:
+    """(a, b, weight) of the maximum spanning forest of one graph of any size; ``edges`` has a, b and weight.
+
+    In each round every component takes its best edge out (Boruvka), by weight,
+    then by name, so that no two are equal; components joined that way become
+    one. Their number halves at least, so rounds are the logarithm of the nodes.
+    No task holds the graph. Repeated edges count once, with the larger weight;
+    edges with a null end and from a node to itself don't count.
+    """
+    ends = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("weight").cast("double").alias("weight"))
+    open_ = durable(ends.groupBy("a", "b").agg(F.max("weight").alias("weight")).withColumns({"x": F.col("a"), "y": F.col("b")}))
+    forest = None
+    while not open_.isEmpty():
+        best = F.struct((-F.col("weight")).alias("w"), "a", "b")
+        out = open_.select(F.col("x").alias("c"), F.col("y").alias("to"), best.alias("e")).unionByName(open_.select(F.col("y").alias("c"), F.col("x").alias("to"), best.alias("e")))
+        taken = durable(out.groupBy("c").agg(F.min(F.struct("e", "to")).alias("m")).select("c", "m.e", "m.to"))
+        own = taken.select("e.a", "e.b", (-F.col("e.w")).alias("weight")).distinct()
+        forest = own if forest is None else forest.unionByName(own)
+        # Components that took the same edge point at each other: the lesser name of the two leads.
+        back = taken.select(F.col("c").alias("to"), F.col("to").alias("back"))
+        root = durable(taken.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("p")))
+        while True:  # whoever leads one's leader, until nothing changes
+            up = root.select(F.col("c").alias("p"), F.col("p").alias("q"))
+            new = durable(root.join(up, "p").select("c", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
+            root = new.select("c", "p")
+            if new.where("moved").isEmpty():
+                break
+        lead = lambda c: root.select(F.col("c").alias(c), F.col("p").alias(f"{c}_"))
+        open_ = durable(open_.join(lead("x"), "x").join(lead("y"), "y").where("x_ <> y_").select("a", "b", "weight", F.col("x_").alias("x"), F.col("y_").alias("y")))
+    return ends.limit(0) if forest is None else forest

@@ -9,7 +9,7 @@ from orrery.operators import evidence as ev
 from orrery.operators import statistics as st
 from orrery.operators.comovement import lagged_pearson
 from orrery.operators.panel import correlation, pinned_split
-from orrery.plans.market import _VERDICT, CORR, PANEL, bar_panel, candidates
+from orrery.plans.market import CORR, PANEL, _MOVES, _VERDICT, bar_panel, candidates
 from orrery.plans.relations import _SUPPLY, _TAGS, _pmi_sql, dated_tags, pmi_edges, supply_edges
 from orrery.plans.tests_of_relations import _EX, excess, halves, lagged_pairs
 from orrery.sources.durable import durable
@@ -95,7 +95,7 @@ def e1_threshold_test(spark, sf_dir):
     g = y.select(flag.alias("f"), won.cast("double").alias("w"))
     a = g.agg(F.count_if("f").alias("n1"), F.avg(F.when(F.col("f"), F.col("w"))).alias("p1"), F.count_if(~F.col("f")).alias("n0"), F.avg(F.when(~F.col("f"), F.col("w"))).alias("p0"))
     zt, mde = st.proportion_test(F.expr("nullif(n1, 0)").cast("double"), F.col("p1"), F.expr("nullif(n0, 0)").cast("double"), F.col("p0"))
-    return a.select("n1", "p1", "n0", "p0", zt.alias("z"), mde.alias("least_detectable"))
+    return a.select("n1", F.round("p1", 8).alias("p1"), "n0", F.round("p0", 8).alias("p0"), F.round(zt, 6).alias("z"), F.round(mde, 8).alias("least_detectable"))
 
 
 def e3_verdict_returns(spark, sf_dir):
@@ -280,3 +280,8 @@ SELECT verdict, h, count(*) AS n, round(avg(CASE WHEN direction = 'up' THEN x EL
 }
 ORACLE["e10_hop_horizons"] = ORACLE["e10_hop_horizon"].replace(_SHOCK, _MOVE).replace("unnest([1, 5])", "unnest([1, 2, 3, 5, 10])")
 ORACLE["e11_move_partners"] = ORACLE["e11_shock_partners"].replace(_SHOCK, _MOVE)
+ORACLE["e1_threshold_test"] = f"""WITH {_MOVES}, f AS (SELECT cid, max(abs(z)) FILTER (WHERE symbol <> cid) AS near_, max(abs(z)) FILTER (WHERE symbol = cid) AS mine FROM moves GROUP BY cid),
+y AS (SELECT f.cid, near_, mine, direction, sum(p.r) AS fwd FROM f JOIN cand USING (cid) JOIN p ON p.symbol = cand.cid AND p.i > cand.i AND p.i <= cand.i + 10 GROUP BY ALL),
+g AS (SELECT coalesce(near_ >= 2 AND mine < 0.5, false) AS f, CAST((fwd > 0) = (direction = 'up') AS DOUBLE) AS w FROM y),
+a AS (SELECT count(*) FILTER (WHERE f) AS n1, avg(w) FILTER (WHERE f) AS p1, count(*) FILTER (WHERE NOT f) AS n0, avg(w) FILTER (WHERE NOT f) AS p0 FROM g), bb AS (SELECT *, (n1 * p1 + n0 * p0) / (n1 + n0) AS q FROM a), ss AS (SELECT *, sqrt(q * (1 - q) * (1.0 / nullif(n1, 0) + 1.0 / nullif(n0, 0))) AS s FROM bb)
+SELECT n1, round(p1, 8) AS p1, n0, round(p0, 8) AS p0, round((p1 - p0) / nullif(s, 0), 6) AS z, round(2.8 * s, 8) AS least_detectable FROM ss"""

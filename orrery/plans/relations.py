@@ -9,7 +9,7 @@ from orrery.functions import passages
 from orrery.functions.columns import norm_symbol
 from orrery.functions.vectors import search
 from orrery.operators.comovement import edges_blocked
-from orrery.operators.graphs import degrees, hops, laggers, latest_snapshot, shown_ways, spanning_forest, two_hop
+from orrery.operators.graphs import degrees, forest_by_rounds, hops, laggers, latest_snapshot, shown_ways, two_hop
 from orrery.operators.panel import session_ends
 from orrery.operators.perspectives import PMI_STRONG
 from orrery.operators.shocks import scan
@@ -149,7 +149,7 @@ def g6_network(spark, sf_dir):
     p = durable(bar_panel(spark, sf_dir))
     last = p.agg(F.max("i")).first()[0] or 0
     e = durable(edges_blocked(p.where((F.col("i") >= last - 120) & (F.col("i") < last)).select("symbol", "i", "r"), first=last - 120, trail=120, min_abs_corr=0.15))
-    tree = spanning_forest(e.select(F.lit(1).alias("g"), "a", "b", F.round(F.abs("corr"), 9).alias("weight")), "g")
+    tree = forest_by_rounds(e.select("a", "b", F.round(F.abs("corr"), 9).alias("weight")))
     d = degrees(e)
     return tree.join(d.select(F.col("symbol").alias("a"), F.col("degree").alias("degree_a")), "a").join(d.select(F.col("symbol").alias("b"), F.col("degree").alias("degree_b")), "b").select("a", "b", F.round("weight", 8).alias("weight"), "degree_a", "degree_b")
 
@@ -252,6 +252,12 @@ SELECT strftime(day, '%Y-%m-%d') AS as_of, lagger AS symbol, CASE WHEN z > 0 THE
     "g3_snapshot": f"""WITH {PANEL}, q AS (SELECT max(d) AS as_of, max(i) AS last FROM sess GROUP BY date_trunc('quarter', d) HAVING max(i) >= 41),
 e AS (SELECT as_of, x.symbol AS a, y.symbol AS b, {_C} AS corr FROM q JOIN p x ON x.i > last - 40 AND x.i <= last JOIN p y ON y.i = x.i AND y.symbol <> x.symbol GROUP BY ALL),
 f AS (SELECT * FROM e WHERE abs(corr) >= 0.4), m AS (SELECT a, max(as_of) AS as_of FROM f WHERE as_of <= DATE '2024-11-15' GROUP BY a) SELECT a AS symbol, strftime(as_of, '%Y-%m-%d') AS as_of, b AS other, round(corr, 7) AS corr FROM f JOIN m USING (a, as_of)""",
+    # An edge is in the forest if better ones don't connect its ends.
+    "g6_network": f"""WITH RECURSIVE {PANEL}, w AS (SELECT symbol, i, CASE WHEN abs(r) <= 10 THEN r END AS r FROM p, ns WHERE i >= n - 121 AND i < n - 1),
+c AS (SELECT x.symbol AS a, y.symbol AS b, abs({_C}) AS v FROM w x JOIN w y ON x.i = y.i AND x.symbol < y.symbol GROUP BY ALL), e AS (SELECT a, b, round(v, 9) AS weight, row_number() OVER (ORDER BY round(v, 9) DESC, a, b) AS k FROM c WHERE v >= 0.15),
+reach(k, node) AS (SELECT k, a FROM e UNION SELECT r.k, CASE WHEN e.a = r.node THEN e.b ELSE e.a END FROM reach r JOIN e ON e.k < r.k AND r.node IN (e.a, e.b)),
+deg AS (SELECT s, count(*) AS n FROM (SELECT a AS s FROM e UNION ALL SELECT b FROM e) GROUP BY s)
+SELECT a, b, round(weight, 8) AS weight, x.n AS degree_a, y.n AS degree_b FROM e JOIN deg x ON x.s = a JOIN deg y ON y.s = b WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.k = e.k AND r.node = e.b)""",
     "g9_universe": f"WITH {_TAGS}, {_pmi_sql()}, {_SUPPLY} SELECT src AS symbol FROM sup UNION SELECT dst FROM sup UNION SELECT a FROM pmi UNION SELECT b FROM pmi",
     "x11_normalised": f"WITH {_TAGS}, a AS (SELECT id, arg_max(struct_pack(h := headline), row(ingested_at, coalesce(updated_at, TIMESTAMPTZ '0001-01-01'), coalesce(headline, ''))).h AS h FROM news_article GROUP BY id) SELECT id, trim(regexp_replace(coalesce(h, ''), '\\s+', ' ', 'g')) AS headline, coalesce(symbols, '') AS symbols FROM a LEFT JOIN ({_PIC}) ON article_id = id",
     "x23_vector_search": "WITH s AS (SELECT q.vec_id AS qid, c.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings c ON c.label <> q.label WHERE q.vec_id % 50 = 0) SELECT * FROM (SELECT qid, id, round(score, 7) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5",

@@ -9,7 +9,7 @@ from orrery.operators import evidence as ev
 from orrery.operators import statistics as st
 from orrery.operators.graphs import hops, two_hop
 from orrery.operators.panel import correlation
-from orrery.plans.market import bar_panel, bars, candidates, latest_sic
+from orrery.plans.market import _MOVES, bar_panel, bars, candidates, latest_sic
 from orrery.plans.relations import dated_tags, pmi_edges, supply_edges
 from orrery.plans.tests_of_relations import split_pairs
 from orrery.sources.durable import durable
@@ -34,7 +34,7 @@ def e2_median_split(spark, sf_dir):
     high = F.col("score") > F.col("m")
     g = y.withColumn("m", m).agg(F.count_if(high).alias("n_high"), F.avg(F.when(high, F.col("won"))).alias("p_high"), F.count_if(~high).alias("n_low"), F.avg(F.when(~high, F.col("won"))).alias("p_low"))
     z, mde = st.proportion_test(F.expr("nullif(n_high, 0)").cast("double"), F.col("p_high"), F.expr("nullif(n_low, 0)").cast("double"), F.col("p_low"))
-    return g.select("*", z.alias("z"), mde.alias("least_detectable"))
+    return g.select("n_high", F.round("p_high", 8).alias("p_high"), "n_low", F.round("p_low", 8).alias("p_low"), F.round(z, 6).alias("z"), F.round(mde, 8).alias("least_detectable"))
 
 
 def e13_feature_auc(spark, sf_dir):
@@ -88,4 +88,10 @@ def e21_showcase(spark, sf_dir):
 
 _FUNCS = (a42_random_control, e2_median_split, e13_feature_auc, e19_details, e21_showcase)
 QUERIES = {f.__name__: f for f in _FUNCS}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "e2_median_split": f"""WITH {_MOVES}, f AS (SELECT cid, max(abs(z)) FILTER (WHERE symbol <> cid) - max(abs(z)) FILTER (WHERE symbol = cid) AS score FROM moves GROUP BY cid),
+y AS (SELECT f.cid, score, CAST((sum(p.r) > 0) = (any_value(direction) = 'up') AS DOUBLE) AS won FROM f JOIN cand USING (cid) JOIN p ON p.symbol = cand.cid AND p.i > cand.i AND p.i <= cand.i + 2 WHERE score IS NOT NULL GROUP BY f.cid, score),
+m AS (SELECT quantile_cont(score, 0.5) AS m FROM y), a AS (SELECT count(*) FILTER (WHERE score > m) AS n_high, avg(won) FILTER (WHERE score > m) AS p_high, count(*) FILTER (WHERE NOT score > m) AS n_low, avg(won) FILTER (WHERE NOT score > m) AS p_low FROM y, m),
+bb AS (SELECT *, (n_high * p_high + n_low * p_low) / (n_high + n_low) AS q FROM a), ss AS (SELECT *, sqrt(q * (1 - q) * (1.0 / nullif(n_high, 0) + 1.0 / nullif(n_low, 0))) AS s FROM bb)
+SELECT n_high, round(p_high, 8) AS p_high, n_low, round(p_low, 8) AS p_low, round((p_high - p_low) / nullif(s, 0), 6) AS z, round(2.8 * s, 8) AS least_detectable FROM ss""",
+}

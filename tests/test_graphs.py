@@ -1,9 +1,11 @@
+import random
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions.vectors import search
-from orrery.operators.graphs import degrees, hops, laggers, latest_snapshot, spanning_forest, two_hop
+from orrery.operators.graphs import degrees, hops, laggers, forest_by_rounds, latest_snapshot, spanning_forest, two_hop
 
 D = date.fromisoformat
 
@@ -49,9 +51,22 @@ def test_spanning_forest(spark):
     assert spanning_forest(e.limit(0), "g").count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_forest_by_rounds_equals_sorting_edges(spark, seed):
+    rnd = random.Random(seed)
+    nodes = [f"n{i:02d}" for i in range(60)]
+    pairs = {tuple(sorted(rnd.sample(nodes, 2))) for _ in range(150)}
+    e = spark.createDataFrame([(1, a, b, rnd.choice([0.1, 0.2, 0.5, 0.9])) for a, b in pairs], "g int, a string, b string, weight double")
+    want = {(r.a, r.b, r.weight) for r in spanning_forest(e, "g").collect()}
+    assert {(r.a, r.b, r.weight) for r in forest_by_rounds(e.drop("g")).collect()} == want
+    twice = e.drop("g").unionByName(e.drop("g").limit(30)).unionByName(spark.createDataFrame([("x", "x", 9.0), ("y", None, 9.0)], "a string, b string, weight double"))
+    assert {(r.a, r.b, r.weight) for r in forest_by_rounds(twice).collect()} == want
+    assert forest_by_rounds(e.drop("g").limit(0)).count() == 0
+
+
 def test_vector_search_is_exact_and_prefilters(spark):
     c = spark.createDataFrame([(1, [1.0, 0.0], D("2025-06-01")), (2, [0.9, 0.1], D("2025-06-15")), (3, [0.0, 1.0], D("2025-06-01")), (4, [0.0, 0.0], D("2025-06-01")), (5, None, D("2025-06-01"))], "id long, vec array<double>, day date")
     q = spark.createDataFrame([(7, [1.0, 0.0], D("2025-06-15")), (8, [0.0, 2.0], D("2026-01-01"))], "qid long, qvec array<double>, until date")
-    for block in (100, 1):
-        got = [(r.qid, r.id, r["rank"]) for r in search(q, c, k=2, match=F.col("day") < F.col("until"), block=block).orderBy("qid", "rank").collect()]
+    for block in (1 << 20, 100):
+        got = [(r.qid, r.id, r["rank"]) for r in search(q, c, k=2, match=F.col("day") < F.col("until"), block_bytes=block).orderBy("qid", "rank").collect()]
         assert got == [(7, 1, 1), (7, 3, 2), (8, 3, 1), (8, 2, 2)]
