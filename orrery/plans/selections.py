@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.columns import norm_symbol
+from orrery.operators import evidence as ev
 from orrery.operators import records as rec
 from orrery.operators import statistics as st
-from orrery.operators.panel import session_ends
+from orrery.operators.panel import panel, session_ends
 from orrery.operators.perspectives import PMI_STRONG, analyse, quant
 from orrery.plans import market
 from orrery.plans.market import _ENDS, _NEAR, CAND, PANEL, TRAIL, bar_panel, bars, candidates
 from orrery.plans.relations import _TAGS, _pmi_sql, dated_tags, pmi_edges
 from orrery.sources.durable import durable
+from orrery.sources.synthetic import synthetic
 from orrery.sources.tables import table
 
 
@@ -101,12 +103,22 @@ def e14_lead_lag(spark, sf_dir):
     return there.join(back.select("key", F.col("lag").alias("rev_lag"), F.col("corr").alias("rev")), "key").select(F.col("key").alias("event_type"), "lag", F.round("corr", 7).alias("corr"), "n", "rev_lag", F.round("rev", 7).alias("rev_corr"))
 
 
-_FUNCS = (f8_short_histories, j5_vector_counts, j6_uncovered, j11_real_and_control, a35_sign_test, a13_comention_counts, t7_top_followers, t8_analysed, t13_first_candidates, e14_lead_lag)
+def s17_synthetic_verdicts(spark, sf_dir):
+    """Verdicts on the made-up market, whose blocs of ten move with their candidate, against it, or apart."""
+    prices, c = synthetic(spark)
+    out = ev.run(c, durable(panel(prices)), spark.createDataFrame([], "symbol string"))
+    return ev.golden(c, out["assessments"]).withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd"))
+
+
+_FUNCS = (s17_synthetic_verdicts, f8_short_histories, j5_vector_counts, j6_uncovered, j11_real_and_control, a35_sign_test, a13_comention_counts, t7_top_followers, t8_analysed, t13_first_candidates, e14_lead_lag)
 QUERIES = {f.__name__: f for f in _FUNCS}
 _PAIRS = f"""WITH {PANEL}, v AS (SELECT strftime(date, '%Y-%m') AS month, symbol, median(dollar_vol) AS size FROM b WHERE symbol <> '' GROUP BY ALL HAVING median(dollar_vol) IS NOT NULL),
 dv AS (SELECT strftime(d, '%Y-%m') AS month, symbol, stddev_samp(r) AS dev FROM p GROUP BY ALL HAVING stddev_samp(r) IS NOT NULL), bo AS (SELECT * FROM v JOIN dv USING (month, symbol)),
 pr AS (SELECT month, symbol, dev AS real, lead(symbol) OVER w AS control, lead(dev) OVER w AS other FROM bo WINDOW w AS (PARTITION BY month ORDER BY size DESC, symbol))"""
 ORACLE = {
+    # Known from how the market is made.
+    "s17_synthetic_verdicts": """SELECT * FROM (VALUES ('SYNA', '2026-04-27', 'up', 'corroborated', '2.000000', 16, 0), ('SYNB', '2026-04-27', 'up', 'contradicted', '2.000000', 0, 20), ('SYNC', '2026-04-27', 'up', 'neutral', '0.000000', 0, 0),
+  ('SYND', '2026-04-27', 'up', 'neutral', '2.000000', 10, 10), ('SYNE', '2026-04-27', 'down', 'corroborated', '2.000000', 20, 0), ('SYNF', '2026-02-16', 'up', 'no_assessment', '0.000000', 0, 0)) v(symbol, as_of, direction, verdict, effective_evidence, n_supporting, n_contradicting)""",
     "f8_short_histories": f"WITH {_ENDS} SELECT symbol, strftime(d, '%Y-%m-%d') AS day, format('{{}}: only {{}} sessions up to {{}}, need 60', symbol, ti, d) AS error FROM ends JOIN (SELECT DISTINCT upper(trim(filer_ticker)) AS symbol, filing_date AS d FROM filing_mention WHERE trim(filer_ticker) <> '') USING (d) WHERE ti < 60",
     "j5_vector_counts": "SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS n, (SELECT count(DISTINCT vec_id) FROM embeddings) AS n_existing, (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS n_missing",
     "j6_uncovered": "SELECT upper(trim(supplier)) AS symbol FROM supply_edge WHERE trim(supplier) <> '' UNION SELECT upper(trim(customer)) FROM supply_edge WHERE trim(customer) <> '' EXCEPT SELECT upper(trim(symbol)) FROM bar",

@@ -9,6 +9,7 @@ from orrery.operators import evidence as ev
 from orrery.operators.comovement import edges, edges_blocked, lagged, lagged_blocked
 from orrery.operators.panel import closes, panel, session_ends
 from orrery.operators.shocks import scan
+from orrery.sources.synthetic import universe
 
 BARS = "symbol string, d date, c double"
 
@@ -23,23 +24,8 @@ def to_panel(spark, frame):
 
 
 def market():
-    """Six candidates, each with two blocs of ten that follow its factors; 40 others. The draws' order is part of the recipe."""
-    rng, n, vol = np.random.default_rng(20260906), 100, 0.015
-    days = pd.date_range("2026-01-05", periods=n, freq="B")
-    when = {"SYNA": (80, 1, 1), "SYNB": (80, -1, -1), "SYNC": (80, 0, 0), "SYND": (80, 1, -1), "SYNE": (80, -1, -1), "SYNF": (30, 0, 0)}
-    r = {}
-    for name in when:
-        factors = [rng.normal(0, vol, n) for _ in "XY"]
-        r[name] = 0.6 * factors[0] + 0.6 * factors[1] + rng.normal(0, vol * 0.3, n)
-        for bloc, factor in zip("XY", factors):
-            r.update({f"{name}{bloc}{j:02d}": factor + rng.normal(0, vol * 0.25, n) for j in range(10)})
-    r.update({f"BG{j:02d}": rng.normal(0, vol, n) for j in range(40)})
-    for name, (at, *signs) in when.items():
-        for bloc, sign in zip("XY", signs):
-            for j in range(10):
-                r[f"{name}{bloc}{j:02d}"][at] += 0.10 * sign
-        r[name][at] = 0.0
-    return 100 * (1 + pd.DataFrame(r, index=days)).cumprod(), {k: days[v[0]].date() for k, v in when.items()}
+    frame, when = universe()
+    return frame, {k: d for k, (d, _) in when.items()}
 
 
 def test_golden_verdicts(spark):
