@@ -66,6 +66,17 @@ def slopes(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     return d.groupBy(*by).agg(n.alias("n"), b.alias("slope"), se.alias("se"))
 
 
+def clustered_slopes(df: DataFrame, x: str, y: str, cluster: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., n, slope, se): least squares with an intercept, errors clustered by ``cluster``; null where x is constant. Rows without x or y don't count."""
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.lit(0).alias("_o"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.col(cluster).alias("_g"))
+    keys = [*by, "_o"]
+    fit = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"), F.try_divide(F.covar_pop("_x", "_y"), F.var_pop("_x")).alias("slope"), (F.var_pop("_x") * F.count(F.lit(1))).alias("sxx"))
+    away = F.col("_x") - F.col("mx")
+    u = away * (F.col("_y") - F.col("my") - F.col("slope") * away)
+    score = d.join(fit, keys).groupBy(*keys, "_g").agg(F.sum(u).alias("u")).groupBy(*keys).agg(F.sum(F.col("u") * F.col("u")).alias("uu"))
+    return fit.join(score, keys).select(*by, "n", "slope", F.try_divide(F.sqrt("uu"), F.col("sxx")).alias("se"))
+
+
 def ols(df: DataFrame, y: str, xs: Sequence[str], cluster: str | None = None) -> dict[str, tuple[float, float]]:
     """Coefficient and standard error of each regressor and of ``const``, clustered if asked."""
     names = [*xs, "const"]

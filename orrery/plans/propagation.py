@@ -11,7 +11,7 @@ from orrery.operators.comovement import lagged_pearson
 from orrery.operators.panel import correlation, pinned_split
 from orrery.plans.market import CORR, PANEL, _MOVES, _VERDICT, bar_panel, candidates
 from orrery.plans.relations import _SUPPLY, _TAGS, _pmi_sql, dated_tags, pmi_edges, supply_edges
-from orrery.plans.tests_of_relations import _EX, excess, halves, lagged_pairs
+from orrery.plans.tests_of_relations import _EX, _SLOPE, excess, halves, lagged_pairs
 from orrery.sources.durable import durable
 
 
@@ -98,16 +98,28 @@ def e1_threshold_test(spark, sf_dir):
     return a.select("n1", F.round("p1", 8).alias("p1"), "n0", F.round("p0", 8).alias("p0"), F.round(zt, 6).alias("z"), F.round(mde, 8).alias("least_detectable"))
 
 
-def e3_verdict_returns(spark, sf_dir):
-    """Mean excess return over 2, 5, 10 and 21 sessions after each verdict, signed by the candidate's direction."""
+def _verdict_rows(spark, sf_dir) -> DataFrame:
+    """(cid, as_of, verdict, h, s): each candidate's excess return over the next h sessions, signed by its direction."""
     p = durable(bar_panel(spark, sf_dir))
     out = ev.run(candidates(spark, sf_dir, p), p, spark.createDataFrame([], "symbol string"))
-    a = out["assessments"].select("cid", "symbol", "direction", "verdict").join(out["placed"].select("cid", "ti"), "cid")
+    a = out["assessments"].select("cid", "symbol", "as_of", "direction", "verdict").join(out["placed"].select("cid", "ti"), "cid")
     e = excess(spark, sf_dir).select("symbol", "i", "x")
     h = a.withColumn("h", F.explode(F.array(*map(F.lit, (2, 5, 10, 21)))))
-    y = h.join(e, "symbol").where((F.col("i") >= F.col("ti")) & (F.col("i") < F.col("ti") + F.col("h"))).groupBy("cid", "verdict", "direction", "h").agg(F.sum("x").alias("x"))
-    s = F.when(F.col("direction") == "up", F.col("x")).otherwise(-F.col("x"))
-    return y.groupBy("verdict", "h").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(s), 8).alias("mean_excess"))
+    y = h.join(e, "symbol").where((F.col("i") >= F.col("ti")) & (F.col("i") < F.col("ti") + F.col("h"))).groupBy("cid", "as_of", "verdict", "direction", "h").agg(F.sum("x").alias("x"))
+    return y.select("cid", "as_of", "verdict", "h", F.when(F.col("direction") == "up", F.col("x")).otherwise(-F.col("x")).alias("s"))
+
+
+def e3_verdict_returns(spark, sf_dir):
+    """Mean excess return over 2, 5, 10 and 21 sessions after each verdict, signed by the candidate's direction."""
+    return _verdict_rows(spark, sf_dir).groupBy("verdict", "h").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 8).alias("mean_excess"))
+
+
+def e3_verdict_gap(spark, sf_dir):
+    """How much more corroborated candidates return than contradicted ones over 2, 5, 10 and 21 sessions, signed by their direction, with errors clustered by date."""
+    rows = _verdict_rows(spark, sf_dir).where(F.col("verdict").isin("corroborated", "contradicted"))
+    rows = rows.withColumn("yes", (F.col("verdict") == "corroborated").cast("double"))
+    fit = st.clustered_slopes(rows, "yes", "s", "as_of", ["h"])
+    return fit.select("h", "n", F.round("slope", 8).alias("gap"), F.round("se", 8).alias("se"), F.round(F.try_divide(F.col("slope"), F.when(F.col("se") > 1e-9, F.col("se"))), 4).alias("z"))
 
 
 def month_pmi(tags: DataFrame, months: DataFrame, *, min_pair: int, min_freq: int) -> DataFrame:
@@ -137,8 +149,8 @@ def j18_month_pmi(spark, sf_dir):
     return out.select(F.date_format("m", "yyyy-MM-dd").alias("month"), "a", "b", "pmi")
 
 
-def e7_comention_lead(spark, sf_dir):
-    """Slope of a symbol's next-session excess return on the mean of its 20 best co-mention partners of that month."""
+def _comention_rows(spark, sf_dir) -> DataFrame:
+    """(symbol, i, year, x, y): the mean excess return of a symbol's 20 best co-mention partners of that month, and its own in the next session."""
     s = durable(month_pmi(dated_tags(spark, sf_dir), _months(spark, sf_dir), min_pair=5, min_freq=10))
     both = s.select("m", F.col("a").alias("symbol"), F.col("b").alias("partner"), "pmi").unionByName(s.select("m", F.col("b").alias("symbol"), F.col("a").alias("partner"), "pmi"))
     k = F.row_number().over(Window.partitionBy("m", "symbol").orderBy(F.col("pmi").desc(), "partner"))
@@ -146,7 +158,19 @@ def e7_comention_lead(spark, sf_dir):
     e = durable(excess(spark, sf_dir))
     x = best.join(e.select(F.col("symbol").alias("partner"), "i", F.trunc("d", "month").alias("m"), "x"), ["m", "partner"]).groupBy("symbol", "i").agg(F.avg("x").alias("x"))
     y = e.select("symbol", (F.col("i") - 1).alias("i"), F.col("x").alias("y"))
-    return st.slopes(x.join(y, ["symbol", "i"]), "x", "y").select("n", F.round("slope", 7).alias("slope"), F.round("se", 7).alias("se"))
+    year = e.select("i", F.year("d").alias("year")).distinct()
+    return x.join(y, ["symbol", "i"]).join(year, "i")
+
+
+def e7_comention_lead(spark, sf_dir):
+    """Slope of a symbol's next-session excess return on the mean of its 20 best co-mention partners of that month."""
+    return st.slopes(_comention_rows(spark, sf_dir), "x", "y").select("n", F.round("slope", 7).alias("slope"), F.round("se", 7).alias("se"))
+
+
+def e7_comention_years(spark, sf_dir):
+    """The same by year, pooled by inverse variance, with their heterogeneity."""
+    out = st.pooled(st.slopes(_comention_rows(spark, sf_dir), "x", "y", ["year"]), "slope", "se")
+    return out.select("k", *[F.round(c, 6).alias(c) for c in ("pooled", "se", "q", "i2")])
 
 
 def e9_chains(spark, sf_dir, top=100):
@@ -235,7 +259,7 @@ def f18_split(spark, sf_dir):
     return part(first, "discovery").unionByName(part(second, "validation")).where("n_sessions > 0")
 
 
-_FUNCS = (j9_hop_map, e10_hop_horizon, e10_hop_horizons, e10_interaction, e1_threshold_test, e3_verdict_returns, j18_month_pmi, e7_comention_lead, e9_chains, e9_lag_chains, e11_shock_partners, e11_move_partners, w7_growth, f17_liquid_sigma, f18_split)
+_FUNCS = (j9_hop_map, e10_hop_horizon, e10_hop_horizons, e10_interaction, e1_threshold_test, e3_verdict_returns, e3_verdict_gap, j18_month_pmi, e7_comention_lead, e7_comention_years, e9_chains, e9_lag_chains, e11_shock_partners, e11_move_partners, w7_growth, f17_liquid_sigma, f18_split)
 QUERIES = {f.__name__: f for f in _FUNCS}
 _HOP = """fe AS (SELECT src, dst, min(day) AS day FROM sup WHERE src <> dst GROUP BY ALL), h1 AS (SELECT dst AS lead, src AS member, 1 AS hop, day AS since FROM fe),
 h2 AS (SELECT h1.lead, fe.src AS member, 2 AS hop, min(greatest(h1.since, fe.day)) AS since FROM h1 JOIN fe ON fe.dst = h1.member AND fe.src <> h1.lead WHERE NOT EXISTS (SELECT 1 FROM h1 q WHERE q.lead = h1.lead AND q.member = fe.src) GROUP BY ALL),
@@ -285,3 +309,13 @@ y AS (SELECT f.cid, near_, mine, direction, sum(p.r) AS fwd FROM f JOIN cand USI
 g AS (SELECT coalesce(near_ >= 2 AND mine < 0.5, false) AS f, CAST((fwd > 0) = (direction = 'up') AS DOUBLE) AS w FROM y),
 a AS (SELECT count(*) FILTER (WHERE f) AS n1, avg(w) FILTER (WHERE f) AS p1, count(*) FILTER (WHERE NOT f) AS n0, avg(w) FILTER (WHERE NOT f) AS p0 FROM g), bb AS (SELECT *, (n1 * p1 + n0 * p0) / (n1 + n0) AS q FROM a), ss AS (SELECT *, sqrt(q * (1 - q) * (1.0 / nullif(n1, 0) + 1.0 / nullif(n0, 0))) AS s FROM bb)
 SELECT n1, round(p1, 8) AS p1, n0, round(p0, 8) AS p0, round((p1 - p0) / nullif(s, 0), 6) AS z, round(2.8 * s, 8) AS least_detectable FROM ss"""
+ORACLE["e7_comention_years"] = ORACLE["e7_comention_lead"].replace("t AS (SELECT x.x, e.x AS y FROM", "t AS (SELECT x.x, e.x AS y, (SELECT year(d) FROM sess WHERE sess.i = x.i) AS yr FROM").replace(
+    f"SELECT {_SL} FROM t",
+    f"yy AS (SELECT yr, {_SLOPE} FROM t GROUP BY 1), pw AS (SELECT slope AS e, 1 / (se * se) AS w FROM yy WHERE se > 0), po AS (SELECT count(*) AS k, sum(w * e) / sum(w) AS pooled, sqrt(1 / sum(w)) AS se, sum(w * e * e) - sum(w * e) ** 2 / sum(w) AS q FROM pw) SELECT k, round(pooled, 6) AS pooled, round(se, 6) AS se, round(q, 6) AS q, round(greatest(0.0, (q - (k - 1)) / nullif(q, 0) * 100), 6) AS i2 FROM po",
+)
+ORACLE["e7_comention_years"] = ORACLE["e7_comention_years"].replace(") yy AS (", "), yy AS (")
+ORACLE["e3_verdict_gap"] = ORACLE["e3_verdict_returns"].split("y AS (SELECT vd.cid")[0] + """y AS (SELECT vd.cid, vd.as_of, verdict, direction, h, sum(x) AS x FROM vd JOIN (SELECT unnest([2, 5, 10, 21]) AS h) k ON true JOIN ex ON ex.symbol = vd.symbol AND ex.i > vd.i AND ex.i <= vd.i + h WHERE verdict IN ('corroborated', 'contradicted') GROUP BY ALL),
+r AS (SELECT h, as_of, CASE WHEN verdict = 'corroborated' THEN 1.0 ELSE 0.0 END AS v, CASE WHEN direction = 'up' THEN x ELSE -x END AS w FROM y),
+ft AS (SELECT h, count(*) AS n, avg(v) AS mv, avg(w) AS mw, covar_pop(v, w) / nullif(var_pop(v), 0) AS gap, var_pop(v) * count(*) AS svv FROM r GROUP BY h),
+gs AS (SELECT h, as_of, sum((v - mv) * (w - mw - gap * (v - mv))) AS u FROM r JOIN ft USING (h) GROUP BY ALL), er AS (SELECT h, sqrt(sum(u * u)) AS su FROM gs GROUP BY h)
+SELECT h, n, round(gap, 8) AS gap, round(su / nullif(svv, 0), 8) AS se, round(gap / CASE WHEN su / nullif(svv, 0) > 1e-9 THEN su / svv END, 4) AS z FROM ft JOIN er USING (h)"""

@@ -80,6 +80,22 @@ def e6_pooled_lag(spark, sf_dir):
     return out.select("k", *[F.round(c, 6).alias(c) for c in ("pooled", "se", "q", "i2")])
 
 
+def e5_chain_years(spark, sf_dir):
+    """The slopes of e5 by year over customers with 2 suppliers or more, pooled by inverse variance, with their heterogeneity."""
+    m = durable(chain_moves(spark, sf_dir))
+    wide = m.groupBy("dst").agg(F.countDistinct("src").alias("k")).where("k >= 2")
+    by_year = st.slopes(m.join(wide, "dst", "left_semi").withColumn("year", F.year("d")), "x", "y", ["year"])
+    return st.pooled(by_year, "slope", "se").select("k", *[F.round(c, 6).alias(c) for c in ("pooled", "se", "q", "i2")])
+
+
+def e6_wide_lag(spark, sf_dir):
+    """Slope of suppliers' next-session excess return over customers with 3 suppliers or more, with errors clustered by session."""
+    m = durable(chain_moves(spark, sf_dir))
+    wide = m.groupBy("dst").agg(F.countDistinct("src").alias("k")).where("k >= 3")
+    fit = st.clustered_slopes(m.join(wide, "dst", "left_semi"), "x", "y", "i")
+    return fit.select("n", F.round("slope", 7).alias("slope"), F.round("se", 7).alias("se"))
+
+
 def e8_lagged_signs(spark, sf_dir, top=200):
     """Whether the ``top`` lagged correlations of the first half keep their sign in the second."""
     first, second, half = halves(spark, sf_dir)
@@ -185,7 +201,7 @@ def a43_labels(spark, sf_dir):
     return table(spark, sf_dir, "filing_mention").groupBy(F.coalesce(F.lower(F.trim("relation")), F.lit("")).alias("relation"), F.coalesce(F.lower(F.trim("confidence")), F.lit("")).alias("confidence")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("filer_ticker").alias("n_filers"))
 
 
-_FUNCS = (a19_first_events, a26_bands, a27_auc, a28_deciles, a30_clustered_mean, a37_concentration, a43_labels, e4_horizons, e5_chain_lag, e6_pooled_lag, e8_lag_matrix, e8_lagged_signs, e14_intraday_lag, e15_round_trips)
+_FUNCS = (a19_first_events, a26_bands, a27_auc, a28_deciles, a30_clustered_mean, a37_concentration, a43_labels, e4_horizons, e5_chain_lag, e6_pooled_lag, e5_chain_years, e6_wide_lag, e8_lag_matrix, e8_lagged_signs, e14_intraday_lag, e15_round_trips)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _PAIRS = f"""{PANEL}, hf AS (SELECT (max(i) + 1) // 2 AS h FROM p),
@@ -228,3 +244,7 @@ SELECT key AS event_type, CAST(lag AS INTEGER) AS lag, round(corr, 7) AS corr, n
 g AS (SELECT user_id, item, event_type, sum(px * qty) / sum(qty) AS px, sum(qty) AS qty FROM e GROUP BY ALL), j AS (SELECT a.item // 10 AS item_class, (b.px - a.px) * least(a.qty, b.qty) AS pnl FROM g a JOIN g b ON a.user_id = b.user_id AND a.item = b.item AND a.event_type = 'purchase' AND b.event_type = 'click')
 SELECT item_class, count(*) AS n, round(sum(pnl), 4) AS pnl, round(avg(CASE WHEN pnl > 0 THEN 1 ELSE 0 END), 7) AS win_rate, round(avg(pnl) FILTER (WHERE pnl > 0) / nullif(-avg(pnl) FILTER (WHERE pnl <= 0), 0), 6) AS payoff FROM j GROUP BY 1""",
 }
+ORACLE["e5_chain_years"] = ORACLE["e6_pooled_lag"].replace("FROM cm GROUP BY 1", "FROM cm WHERE dst IN (SELECT dst FROM cm GROUP BY dst HAVING count(DISTINCT src) >= 2) GROUP BY 1")
+ORACLE["e6_wide_lag"] = f"""WITH {_CHAIN}, w AS (SELECT * FROM cm WHERE x IS NOT NULL AND y IS NOT NULL AND dst IN (SELECT dst FROM cm GROUP BY dst HAVING count(DISTINCT src) >= 3)),
+f AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / nullif(var_pop(x), 0) AS b, var_pop(x) * count(*) AS sxx FROM w),
+g AS (SELECT i, sum((x - mx) * (y - my - b * (x - mx))) AS u FROM w, f GROUP BY i) SELECT n, round(any_value(b), 7) AS slope, round(sqrt(sum(u * u)) / nullif(any_value(sxx), 0), 7) AS se FROM f, g GROUP BY n"""

@@ -76,3 +76,16 @@ def test_best_lag_and_controls(spark):
     got = st.matched_controls(wanted, pool, nearest=4).collect()
     assert len(got) == 3 == len({r.control for r in got}) and all(r.control.startswith("p") for r in got)
     assert sorted(map(tuple, got)) == sorted(map(tuple, st.matched_controls(wanted, pool, nearest=4).collect()))
+
+
+def test_clustered_slopes_equal_the_regression(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(x), float(2 * x + rng.normal() + g), k) for k in (0, 1) for g in range(12) for x in rng.normal(size=7)]
+    df = spark.createDataFrame(rows, "g int, x double, y double, k int")
+    for k in (0, 1):
+        want = st.ols(df.where(f"k = {k}"), "y", ["x"], "g")["x"]
+        got = st.clustered_slopes(df, "x", "y", "g", ["k"]).where(f"k = {k}").first()
+        assert got.n == 84 and abs(got.slope - want[0]) < 1e-9 and abs(got.se - want[1]) < 1e-9
+    none = st.clustered_slopes(spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 3.0), (2, None, 1.0)], "g int, x double, y double"), "x", "y", "g").first()
+    assert none.n == 2 and none.slope is None and none.se is None
+    assert st.clustered_slopes(df.limit(0), "x", "y", "g").count() == 0
