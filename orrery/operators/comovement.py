@@ -120,6 +120,40 @@ def edges_blocked(window: DataFrame, *, first: int, trail: int, min_abs_corr: fl
     return _finish(cells.groupBy("lo", "hi").applyInPandas(product, SCHEMA), least)
 
 
+def parts_blocked(window: DataFrame, parts: list[tuple[int, int]], *, first: int, width: int, block: int = 256) -> DataFrame:
+    """(a, b, c): for pairs a < b of ``window`` (symbol, i, r) an array of their correlations, one for the sessions [lo, hi) of each of ``parts``, by products of blocks.
+
+    Sessions count from ``first`` on, of which there are ``width``. Pairwise
+    complete; null where either series is constant or nothing is common.
+    """
+
+    def product(f: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(f, width)
+        names, own = f["symbol"].to_numpy(), f["own"].to_numpy()
+        lo, hi = f["lo"].iat[0], f["hi"].iat[0]
+        p, q = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        each = []
+        for start, end in parts:
+            v = x[:, start:end]
+            there = ~np.isnan(v)
+            k = np.maximum(there.sum(1, keepdims=True), 1)
+            v = np.where(there, v - np.where(there, v, 0.0).sum(1, keepdims=True) / k, 0.0)
+            m = there.astype(float)
+            a, b, ma, mb = v[p], v[q], m[p], m[q]
+            with np.errstate(all="ignore"):
+                n, sa, sb, qa, qb = ma @ mb.T, a @ mb.T, ma @ b.T, (a * a) @ mb.T, ma @ (b * b).T
+                va, vb = qa - sa * sa / n, qb - sb * sb / n
+                each.append(np.where((va > 1e-12 * qa) & (vb > 1e-12 * qb), (a @ b.T - sa * sb / n) / np.sqrt(va * vb), np.nan))
+        i, j = np.nonzero(names[p][:, None] < names[q][None, :]) if lo == hi else np.nonzero(names[p][:, None] != names[q][None, :])
+        s, t = names[p[i]], names[q[j]]
+        c = np.stack([e[i, j] for e in each], 1) if len(i) else np.zeros((0, len(parts)))
+        return pd.DataFrame({"a": np.where(s < t, s, t), "b": np.where(s < t, t, s), "c": list(c)})
+
+    cells = _cells(window.select("symbol", "i", F.col("r").alias("v")), first, block)
+    out = cells.groupBy("lo", "hi").applyInPandas(product, "a string, b string, c array<double>")
+    return out.withColumn("c", F.transform("c", lambda v: F.nanvl(v, F.lit(None).cast("double"))))
+
+
 def near_blocked(cands: DataFrame, values: DataFrame, *, trail: int, topk: int, least_n: float, block: int = 512) -> DataFrame:
     """(cid, leader, corr, sl, sc): for each of ``cands`` (cid, symbol, ti) the ``topk`` symbols of ``values`` (symbol, i, r, pool) by absolute correlation over the ``trail`` sessions before ti.
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from orrery.operators import evidence as ev
 from orrery.operators import statistics as st
+from orrery.operators.comovement import parts_blocked
 from orrery.operators.graphs import hops, two_hop
-from orrery.operators.panel import correlation
 from orrery.plans.market import _MOVES, bar_panel, bars, candidates, latest_sic
 from orrery.plans.relations import dated_tags, pmi_edges, supply_edges
 from orrery.plans.tests_of_relations import split_pairs
@@ -42,10 +42,8 @@ def e13_feature_auc(spark, sf_dir):
     p = durable(bar_panel(spark, sf_dir))
     half = ((p.agg(F.max("i")).first()[0] or 0) + 1) // 2
     part = (half + 3) // 4 or 1
-    x = p.where(F.col("i") < half).select("i", F.col("symbol").alias("a"), F.col("r").alias("ra"))
-    y = p.where(F.col("i") < half).select("i", F.col("symbol").alias("b"), F.col("r").alias("rb"))
-    q = [correlation(F.when(F.floor(F.col("i") / part) == k, F.col("ra")), F.when(F.floor(F.col("i") / part) == k, F.col("rb"))).alias(f"q{k}") for k in range(4)]
-    quarters = x.join(y, "i").where("a < b").groupBy("a", "b").agg(*q)
+    some = parts_blocked(p.where(F.col("i") < half).select("symbol", "i", "r"), [(min(k * part, half), min((k + 1) * part, half)) for k in range(4)], first=0, width=max(half, 1))
+    quarters = some.select("a", "b", *[F.col("c")[k].alias(f"q{k}") for k in range(4)])
     v = bars(spark, sf_dir).groupBy("symbol").agg(F.log10(F.median("dollar_vol")).alias("v"))
     sic = latest_sic(spark, sf_dir).where("sic IS NOT NULL").select("symbol", F.substring("sic", 1, 2).alias("s"))
     end = lambda df, c, n: df.select(F.col("symbol").alias(c), F.col(df.columns[1]).alias(n))

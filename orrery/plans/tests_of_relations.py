@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators import statistics as st
-from orrery.operators.comovement import lagged_pearson
+from orrery.operators.comovement import lagged_pearson, parts_blocked
 from orrery.operators.panel import correlation
 from orrery.plans.market import CORR, PANEL, bar_panel, bars
 from orrery.plans.relations import _SUPPLY, supply_edges
@@ -17,11 +17,9 @@ from orrery.sources.tables import table
 def split_pairs(spark, sf_dir) -> DataFrame:
     """(a, b, c1, c2): correlation of every pair in the first and the second half of all sessions."""
     p = durable(bar_panel(spark, sf_dir))
-    half = ((p.agg(F.max("i")).first()[0] or 0) + 1) // 2
-    x = p.select("i", F.col("symbol").alias("a"), F.col("r").alias("ra"))
-    y = p.select("i", F.col("symbol").alias("b"), F.col("r").alias("rb"))
-    part = lambda when: correlation(F.when(when, F.col("ra")), F.when(when, F.col("rb")))
-    pairs = x.join(y, "i").where("a < b").groupBy("a", "b").agg(part(F.col("i") < half).alias("c1"), part(F.col("i") >= half).alias("c2"))
+    n = (p.agg(F.max("i")).first()[0] or 0) + 1
+    both = parts_blocked(p.select("symbol", "i", "r"), [(0, n // 2), (n // 2, n)], first=0, width=n)
+    pairs = both.select("a", "b", F.col("c")[0].alias("c1"), F.col("c")[1].alias("c2"))
     return pairs.where("c1 IS NOT NULL AND c2 IS NOT NULL").withColumns({"c1": F.round("c1", 9), "c2": F.round("c2", 9)})
 
 
