@@ -234,11 +234,12 @@ def lagged_blocked(window: DataFrame, lags: list[int], *, first: int, width: int
     return cells.groupBy("lo", "hi").applyInPandas(product, "lag int, x string, y string, corr double")
 
 
-def lagged_pearson(window: DataFrame, lags: list[int], *, first: int, width: int, top: int, min_n: int = 0, block: int = 128) -> DataFrame:
+def lagged_pearson(window: DataFrame, lags: list[int], *, first: int, width: int, top: int, min_n: int = 0, upto: int | None = None, block: int = 128) -> DataFrame:
     """(lag, x, y, c, n): the ``top`` correlations of x with y ``lag`` sessions later at each lag, by size, x and y.
 
     Pearson's over the n sessions of ``window`` (symbol, i, r) in which both have returns, to 9 digits; pairs of
-    fewer than ``min_n`` are left out, those without a correlation come last. Each product of blocks gives its own
+    fewer than ``min_n`` are left out, those without a correlation come last. With
+    ``upto`` only the sessions before it tell the correlation, and the others that a pair is there at all. Each product of blocks gives its own
     ``top``, of which the overall ones are part.
     """
 
@@ -247,6 +248,8 @@ def lagged_pearson(window: DataFrame, lags: list[int], *, first: int, width: int
         there = np.zeros(x.shape)
         for row, k in enumerate(f["k"]):
             there[row, np.asarray(k, int)] = 1.0
+        x = x[:, :upto]
+        told = x.shape[1]
         m = ~np.isnan(x)
         n = np.maximum(m.sum(axis=1, keepdims=True), 1)
         z = np.where(m, x - np.where(m, x, 0.0).sum(axis=1, keepdims=True) / n, 0.0)
@@ -257,7 +260,7 @@ def lagged_pearson(window: DataFrame, lags: list[int], *, first: int, width: int
         out = []
         for lag in lags:
             for a, b in ((p, q), (q, p))[: 1 if lo == hi else 2]:
-                za, ma, zb, mb = z[a, : max(width - lag, 0)], m[a, : max(width - lag, 0)], z[b, lag:], m[b, lag:]
+                za, ma, zb, mb = z[a, : max(told - lag, 0)], m[a, : max(told - lag, 0)], z[b, lag:], m[b, lag:]
                 with np.errstate(all="ignore"):
                     n = ma @ mb.T
                     sa, sb, qa, qb = za @ mb.T, ma @ zb.T, (za * za) @ mb.T, ma @ (zb * zb).T

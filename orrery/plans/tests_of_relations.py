@@ -96,8 +96,10 @@ def e6_wide_lag(spark, sf_dir):
 
 def e8_lagged_signs(spark, sf_dir, top=200):
     """Whether the ``top`` lagged correlations of the first half keep their sign in the second."""
-    first, second, half = halves(spark, sf_dir)
-    best = durable(lagged_pearson(first, [1, 2, 5], first=0, width=half, top=top).select("lag", "x", "y", F.col("c").alias("c1")))
+    p = durable(bar_panel(spark, sf_dir).select("symbol", "i", "r"))
+    n = (p.agg(F.max("i")).first()[0] or 0) + 1
+    second = p.where(F.col("i") >= n // 2)
+    best = durable(lagged_pearson(p, [1, 2, 5], first=0, width=n, top=top, upto=n // 2).select("lag", "x", "y", F.col("c").alias("c1")))
     later = lagged_pairs(best.select("x", "y", "lag"), second).select("lag", "x", "y", F.col("c").alias("c2"))
     out = best.join(later, ["lag", "x", "y"], "left")
     return out.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.signum("c1") == F.signum("c2")).alias("n_agree"), F.round(F.avg(F.abs("c1")), 7).alias("mean_first"), F.round(F.avg(F.abs("c2")), 7).alias("mean_second"))
