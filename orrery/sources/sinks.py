@@ -48,14 +48,14 @@ def publish(df: DataFrame, path: str, *, keep: int = 2) -> None:
     spark = df.sparkSession
     at, fs = _files(spark, path)
     jvm = spark.sparkContext._jvm
-    seen = sorted(s.getPath().getName() for s in fs.listStatus(at(path)) if s.isDirectory()) if fs.exists(at(path)) else []
+    seen = sorted(s.getPath().getName() for s in fs.listStatus(at(path)) if s.isDirectory() and s.getPath().getName().startswith("v")) if fs.exists(at(path)) else []
     name = f"v{int(seen[-1][1:9]) + 1 if seen else 0:08d}-{uuid.uuid4().hex[:8]}"
     df.write.option("compression", "zstd").parquet(f"{path}/{name}")
     part = at(f"{path}/_current.{uuid.uuid4().hex}")
     out = fs.create(part, True)
     out.write(bytearray(name.encode()))
     out.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(path).toUri() if at(path).toUri().getScheme() else jvm.java.net.URI.create("file:///"), spark.sparkContext._jsc.hadoopConfiguration())
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(part, at(f"{path}/_current"), overwrite)
