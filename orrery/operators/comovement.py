@@ -11,7 +11,8 @@ pairs x sessions.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from datetime import date
 
 import numpy as np
 import pandas as pd
@@ -154,6 +155,80 @@ def parts_blocked(window: DataFrame, parts: list[tuple[int, int]], *, first: int
     return out.withColumn("c", F.transform("c", lambda v: F.nanvl(v, F.lit(None).cast("double"))))
 
 
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pearson's correlation of each row of x with the same row of y, deviations taken over the common sessions themselves; NaN where either is constant there."""
+    there = ~np.isnan(x) & ~np.isnan(y)
+    n = np.maximum(there.sum(1, keepdims=True), 1)
+    at = there.argmax(1)[:, None]
+
+    def deviations(v: np.ndarray) -> np.ndarray:
+        v = np.where(there, v - np.take_along_axis(v, at, 1), 0.0)  # equal values become 0 without rounding
+        return np.where(there, v - v.sum(1, keepdims=True) / n, 0.0)
+
+    a, b = deviations(x), deviations(y)
+    with np.errstate(all="ignore"):
+        va, vb = (a * a).sum(1), (b * b).sum(1)
+        return np.where((va > 0) & (vb > 0), (a * b).sum(1) / (np.sqrt(va) * np.sqrt(vb)), np.nan)
+
+
+def _pairwise(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pearson's correlation of all rows of x with all rows of y, pairwise complete; NaN where there is none.
+
+    A pair whose common sessions vary little against the rest of a series is worked out by itself, since products would lose its digits.
+    """
+
+    def centred(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = ~np.isnan(v)
+        k = np.maximum(m.sum(1, keepdims=True), 1)
+        z = np.where(m, v - np.take_along_axis(v, m.argmax(1)[:, None], 1), 0.0)
+        return np.where(m, z - z.sum(1, keepdims=True) / k, 0.0), m.astype(float)
+
+    (a, ma), (b, mb) = centred(x), centred(y)
+    with np.errstate(all="ignore"):
+        n, sa, sb, qa, qb = ma @ mb.T, a @ mb.T, ma @ b.T, (a * a) @ mb.T, ma @ (b * b).T
+        va, vb = qa - sa * sa / n, qb - sb * sb / n
+        corr = np.where((n > 1) & (qa > 0) & (qb > 0), (a @ b.T - sa * sb / n) / np.sqrt(va * vb), np.nan)
+        i, j = np.nonzero((n > 1) & (qa > 0) & (qb > 0) & ~((va > 1e-3 * qa) & (vb > 1e-3 * qb)))
+    for s in range(0, len(i), 1 << 14):
+        k, l = i[s : s + (1 << 14)], j[s : s + (1 << 14)]  # noqa: E741
+        corr[k, l] = _exact(x[k], y[l])
+    return corr
+
+
+def latest_blocked(window: DataFrame, snapshots: Sequence[tuple[date, int, int]], *, first: int, width: int, least: float, block: int = 512) -> DataFrame:
+    """(as_of, a, b, corr): for pairs a < b of ``window`` (symbol, i, r) their correlations of ``least`` and more by size, over the sessions [lo, hi) of each of ``snapshots`` (as_of, lo, hi), as far as they may belong to the latest snapshot of a or b that has any.
+
+    By products of blocks, the latest snapshot first. Once a symbol has an edge
+    within a product, its earlier ones there can't be of its latest snapshot; an
+    edge is left out if that holds for both its ends, and a product ends when it
+    holds for all. Sessions count from ``first`` on, of which there are ``width``.
+    """
+    order = sorted(snapshots, reverse=True)
+
+    def product(f: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(f, width)
+        names, own = f["symbol"].to_numpy(), f["own"].to_numpy()
+        lo, hi = f["lo"].iat[0], f["hi"].iat[0]
+        p, q = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        seen = np.zeros(len(names), bool)
+        out = [pd.DataFrame({"as_of": [], "a": [], "b": [], "corr": []})]
+        for as_of, start, end in order:
+            corr = _pairwise(x[p, start - first : end - first], x[q, start - first : end - first])
+            hit = np.abs(corr) >= least
+            i, j = np.nonzero(hit & (names[p][:, None] < names[q][None, :]) if lo == hi else hit)
+            c, i, j = corr[i, j], p[i], q[j]
+            keep = ~(seen[i] & seen[j])
+            seen[i] = seen[j] = True
+            s, t = names[i[keep]], names[j[keep]]
+            out.append(pd.DataFrame({"as_of": as_of, "a": np.where(s < t, s, t), "b": np.where(s < t, t, s), "corr": c[keep]}))
+            if seen.all():
+                break
+        return pd.concat([o for o in out if len(o)] or out)
+
+    cells = _cells(window.select("symbol", "i", F.col("r").alias("v")), first, block)
+    return cells.groupBy("lo", "hi").applyInPandas(product, "as_of date, a string, b string, corr double")
+
+
 def near_blocked(cands: DataFrame, values: DataFrame, *, trail: int, topk: int, least_n: float, block: int = 512) -> DataFrame:
     """(cid, leader, corr, sl, sc): for each of ``cands`` (cid, symbol, ti) the ``topk`` symbols of ``values`` (symbol, i, r, pool) by absolute correlation over the ``trail`` sessions before ti.
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import passages
 from orrery.functions.columns import norm_symbol
 from orrery.functions.vectors import search
-from orrery.operators.comovement import edges_blocked
+from orrery.operators.comovement import edges_blocked, latest_blocked
 from orrery.operators.graphs import degrees, forest_by_rounds, hops, laggers, latest_snapshot, shown_ways, two_hop
 from orrery.operators.panel import session_ends
 from orrery.operators.perspectives import PMI_STRONG
@@ -131,16 +133,16 @@ def j16_known_suppliers(spark, sf_dir):
 
 def g3_snapshot(spark, sf_dir):
     """Co-movement as of each company's latest snapshot: one is taken at the end of every quarter, of the 40 sessions before it."""
-    p = durable(bar_panel(spark, sf_dir))
-    ends = p.groupBy(F.trunc("d", "quarter").alias("q")).agg(F.max("d").alias("as_of"), F.max("i").alias("last")).where("last >= 41")
-    w = p.join(ends.select("as_of", "last"), (p["i"] > F.col("last") - 40) & (p["i"] <= F.col("last"))).select(F.concat_ws("|", "as_of", "i").alias("i"), "symbol", "r", "as_of")
-    # Sessions of different snapshots never meet: the session's name carries the snapshot.
-    x = w.select("as_of", "i", F.col("symbol").alias("a"), F.col("r").alias("ra"))
-    y = w.select("i", F.col("symbol").alias("b"), F.col("r").alias("rb"))
-    from orrery.operators.panel import correlation
-
-    e = durable(x.join(y, "i").where("a < b").groupBy("as_of", "a", "b").agg(correlation(F.col("ra"), F.col("rb")).alias("corr")).where(F.abs("corr") >= 0.4))
-    asked = p.select("symbol").distinct().withColumn("day", F.to_date(F.lit("2024-11-15")))
+    p = durable(bar_panel(spark, sf_dir).select("symbol", "i", "d", "r"))
+    day = date(2024, 11, 15)
+    # Snapshots after the day are nobody's latest. There are four a year.
+    ends = p.groupBy(F.trunc("d", "quarter").alias("q")).agg(F.max("d").alias("as_of"), F.max("i").alias("last")).where((F.col("last") >= 41) & (F.col("as_of") <= F.lit(day)))
+    taken = [(r.as_of, r["last"] - 39, r["last"] + 1) for r in ends.select("as_of", "last").collect()]
+    first, end = min((lo for _, lo, _ in taken), default=0), max((hi for *_, hi in taken), default=0)
+    spans = F.broadcast(spark.createDataFrame([(lo, hi) for _, lo, hi in taken], "lo int, hi int"))
+    w = p.join(spans, (F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi")), "left_semi").select("symbol", "i", "r")
+    e = durable(latest_blocked(w, taken, first=first, width=end - first, least=0.4))
+    asked = p.select("symbol").distinct().withColumn("day", F.lit(day))
     return latest_snapshot(e, asked).select("symbol", _day("as_of"), "other", F.round("corr", 7).alias("corr"))
 
 
