@@ -8,7 +8,9 @@ Distinct values only are matched, each in two steps:
 2. Values without one go to token-set similarity: a distinctive word of the
    entry must be there up to one edit (also split, joined, or misread as
    scans do), and the value's descriptive words must fit the entry's, as a
-   whole, as an abbreviation or as another form of the word.
+   whole, as an abbreviation or as another form of the word. A name without a
+   distinctive word must be there as a whole, one of its words up to one edit
+   and the others as descriptive words.
 
 A value that two entries fit equally well denotes neither.
 
@@ -26,6 +28,7 @@ import unicodedata
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -41,8 +44,6 @@ LEGAL = frozenset(
 _TOKEN = re.compile(r"[a-z0-9]+")
 _JOINED = re.compile(r"(?<=[a-z])(?=[A-Z][a-z]{2})")
 _DIGITS = str.maketrans("01", "ol")
-#: As many words as a name may be split into.
-_JOINED_WORDS = 3
 
 
 def words(text: str) -> list[str]:
@@ -96,6 +97,8 @@ class Matcher:
         self.said: dict[str, int] = {}
         self.forms: dict[str, list[tuple[list[str], list[str]]]] = {}
         self.by_word: dict[str, set[str]] = defaultdict(set)
+        #: (identifier, other words) of names of which every word is common, by each of their words.
+        self.plain: dict[str, set[tuple[str, tuple[str, ...]]]] = defaultdict(set)
         self.near: dict[str, set[str]] = defaultdict(set)
         alias: dict[str, set[str]] = defaultdict(set)
         tickers: dict[str, set[str]] = defaultdict(set)
@@ -110,11 +113,16 @@ class Matcher:
                     self.by_word[t].add(ident)
                     if self.frequency.get(t, 1) == 1:
                         alias[t].add(ident)
+                if not rare:
+                    for k, t in enumerate(toks):
+                        if len(t) >= 3 and t not in LEGAL:
+                            self.plain[t].add((ident, (*toks[:k], *toks[k + 1 :])))
             tickers[f"({ident})"].add(ident)
             for p in prefixes:
                 tickers[f"{p}: {ident}"].add(ident)
                 tickers[f"{p}:{ident}"].add(ident)
-        for t in self.by_word:
+        self.longest = max(map(len, self.by_word.keys() | self.plain.keys()), default=0)
+        for t in self.by_word.keys() | self.plain.keys():
             for d in self._deletions(t) | {misread(t)}:
                 self.near[d].add(t)
         self.names, self.quoted = ahocorasick.Automaton(), ahocorasick.Automaton()
@@ -150,6 +158,14 @@ class Matcher:
             best = max(best, (len(hit) / len(descriptive) if descriptive else 1.0, sum(any(fits(t, w) for t in hit) for w in own) / max(1, len(own))))
         return best
 
+    def _spans(self, toks: Sequence[str]) -> Iterator[tuple[int, int]]:
+        """Places of the words and runs of words that, joined, are short enough to be one of the list's up to an edit or misreading."""
+        for i in range(len(toks)):
+            for j in range(i + 1, len(toks) + 1):
+                if len(misread("".join(toks[i:j]))) > self.longest + 1:
+                    break
+                yield i, j
+
     def _descriptive(self, toks: Sequence[str]) -> list[str]:
         """Words that describe rather than name, as far as the list knows such words."""
         return [t for t in toks if t not in LEGAL and not self.distinctive(t)]
@@ -169,22 +185,29 @@ class Matcher:
         """(best similarity, identifiers that reach it); 0 and none without one."""
         toks = [t for t in words(value) if t not in LEGAL]
         scores: dict[str, float] = {}
-        spans = [(i, i + n) for n in range(1, _JOINED_WORDS + 1) for i in range(len(toks) - n + 1)]
-        for i, j in spans:
+        for i, j in self._spans(toks):
             token = "".join(toks[i:j])
-            if len(token) < 3 or (j == i + 1 and token not in self.by_word and not self.rare(token)):
+            if len(token) < 3:
                 continue
             # A letter more or less makes another word of a short one.
-            near = {w for d in self._deletions(token) | {misread(token)} for w in self.near.get(d, ()) if misread(token) == misread(w) or within_one_edit(token, w)} if len(token) >= 5 else {token} & self.by_word.keys()
+            near = {w for d in self._deletions(token) | {misread(token)} for w in self.near.get(d, ()) if misread(token) == misread(w) or within_one_edit(token, w)} if len(token) >= 5 else {token}
+            naming = j > i + 1 or token in self.by_word or self.rare(token)
+            rest = [*toks[:i], *toks[j:]]
+            there = cache(lambda o, rest=rest: any(fits(t, o) for t in rest))
             for w in near:
-                rest = [*toks[:i], *toks[j:]]
-                for ident in self.by_word[w]:
+                exact = 1.0 if token == w else 0.8 if misread(token) == misread(w) else 0.5
+                for ident in self.by_word.get(w, ()) if naming else ():
                     share, cover = self._agree(ident, [w], rest)
                     if rest and share < 0.5:
                         continue
-                    exact = 1.0 if token == w else 0.8 if misread(token) == misread(w) else 0.5
                     score = exact + 0.4 * share * cover if rest else exact + 0.1
                     scores[ident] = max(scores.get(ident, 0.0), score)
+                for ident, own in self.plain.get(w, ()):
+                    if not all(map(there, own)):
+                        continue
+                    share = sum(any(fits(t, o) for o in own) for t in rest) / len(rest) if rest else 1.0
+                    if share >= 0.5:  # with other words beside it, less than any distinctive word scores
+                        scores[ident] = max(scores.get(ident, 0.0), exact + 0.4 if share == 1 else 0.4 * share)
         top = max(scores.values(), default=0.0)
         return top, sorted(i for i, s in scores.items() if s == top)
 

@@ -81,6 +81,34 @@ def test_parts_of_random_lists_equal_one_pass(spark):
     assert all(found(spark, values, entries, common=6, part_rows=n) == one for n in (7, 25))
 
 
+@pytest.mark.parametrize("part_rows", [1000, 30])
+def test_names_of_common_words_only_are_found(spark, part_rows):
+    kinds = ["Industries", "Motors", "Airlines", "Energy", "Optics", "Foods", "Chemicals", "Software", "Devices", "Packaging", "Logistics", "Networks", "Materials"]
+    names = [f"{n} {k} Inc" for n in ("Klevendne", "Siklomzend", *(f"{a}{b}rtvun" for a in "bdfg" for b in "aeo")) for k in kinds]
+    entries = [(f"T{i}", n) for i, n in enumerate(names)]
+    ticker = {n: t for t, n in entries}
+    want = {
+        "Klevendne Motrs": ticker["Klevendne Motors Inc"],
+        "Klevednne Motors Corp.": ticker["Klevendne Motors Inc"],
+        "Klevendne Motrs Canada ULC": ticker["Klevendne Motors Inc"],
+        "Siklomzend Airlns": ticker["Siklomzend Airlines Inc"],
+        "Motrs, Siklomzend": ticker["Siklomzend Motors Inc"],
+        "Klevednne": "UNMATCHED",
+        "Novilzi Motrs": "UNMATCHED",
+        "Klevednne Siklomzend": "UNMATCHED",
+    }
+    got = found(spark, list(want), entries, part_rows=part_rows)
+    assert {v: r for v, (r, _) in got.items()} == want
+
+
+@pytest.mark.parametrize("part_rows", [1000, 3])
+def test_names_in_any_number_of_pieces(spark, part_rows):
+    entries = [("KLV", "Klevendnerostimpal Industries"), ("RNR", "Burnhornturnwold Foods")] + [(f"Z{i}", f"Zq{c}rtvu Industries") for i, c in enumerate("abcdefghijklmnop")]
+    want = {"Kl ev en dne ro stim pal Industries": "KLV", "kl ev en dne rost impol": "KLV", "Bu rn ho rn tu rn wo ld": "RNR", "ur om tum wo ld": "UNMATCHED"}
+    got = found(spark, list(want), entries, part_rows=part_rows)
+    assert {v: r for v, (r, _) in got.items()} == want
+
+
 def test_empty_list_and_values(spark):
     ref = spark.createDataFrame([], "ticker string, title string")
     values = spark.createDataFrame([("a",)], "v string")
